@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, fusion, terms, topn
+from larkspur.llm import bpe, fusion, mixing, terms, topn
 from larkspur.session import table
 
 SQL: dict[str, str] = {}
@@ -121,3 +121,13 @@ SQL["p4_found"] = _WORDS_SQL + _MARKED_SQL + "SELECT field, term, mark FROM mark
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every story."""
     return bpe.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stories as one training set in which each source has its target share of tokens."""
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that training set reaches, per source."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
