@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, fusion, mixing, terms, topn
+from larkspur.llm import bpe, fusion, mixing, splits, terms, topn
 from larkspur.session import table
 
 SQL: dict[str, str] = {}
@@ -131,3 +131,18 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that training set reaches, per source."""
     return mixing.mix_report(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
+
+
+def _mail_overlaps(spark: SparkSession, sf_dir: str) -> splits.Overlaps:
+    return splits.find_overlaps(table(spark, sf_dir, "mails"), "mail_id", "body", "split", "source", "train", ["dev", "test"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails of an evaluation split and of the training split that are equal or nearly so."""
+    pairs = splits.overlapping_pairs(_mail_overlaps(spark, sf_dir))
+    return pairs.select(F.col("id_1").cast("int").alias("mail_id_1"), F.col("id_2").cast("int").alias("mail_id_2"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many mails of each evaluation split and source overlap with the training split."""
+    return splits.overlap_report(_mail_overlaps(spark, sf_dir))
