@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, fusion, mixing, splits, terms, topn
+from larkspur.llm import bpe, fusion, mixing, spans, splits, terms, topn
 from larkspur.session import table
 
 SQL: dict[str, str] = {}
@@ -146,3 +146,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many mails of each evaluation split and source overlap with the training split."""
     return splits.overlap_report(_mail_overlaps(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories that have a passage of at least 200 characters in common."""
+    pairs = spans.sharing_pairs(spans.find_shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return pairs.select(F.col("id_1").alias("doc_id_1"), F.col("id_2").alias("doc_id_2"))
+
+
+def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared passages of every story and how much of it they cover."""
+    documents = table(spark, sf_dir, "documents")
+    return spans.shared_coverage(documents, "doc_id", "text", spans.find_shared_spans(documents, "doc_id", "text"))
