@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, fusion, mixing, spans, splits, terms, topn
+from larkspur.llm import bpe, fusion, mailtext, mixing, spans, splits, terms, topn
 from larkspur.session import table
 
 SQL: dict[str, str] = {}
@@ -158,3 +158,8 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shared passages of every story and how much of it they cover."""
     documents = table(spark, sf_dir, "documents")
     return spans.shared_coverage(documents, "doc_id", "text", spans.find_shared_spans(documents, "doc_id", "text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every mail that its sender newly wrote."""
+    return mailtext.newly_written(table(spark, sf_dir, "mails"), "mail_id", "body", "subject", "sender", "received_at")
