@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, fusion, mailtext, mixing, spans, splits, terms, topn
+from larkspur.llm import bpe, fusion, mailtext, mixing, pagetext, spans, splits, terms, topn
 from larkspur.session import table
 
 SQL: dict[str, str] = {}
@@ -163,3 +163,8 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every mail that its sender newly wrote."""
     return mailtext.newly_written(table(spark, sf_dir, "mails"), "mail_id", "body", "subject", "sender", "received_at")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every page's text that belong to its article."""
+    return pagetext.main_content(table(spark, sf_dir, "pages"), "page_id", "url", "text", "html_source", "title")
