@@ -67,7 +67,7 @@ def legacy_query_tokens(text: Column) -> Column:
 
 
 def ngrams(tokens_: Column, n: int) -> Column:
-    """Runs of ``n`` tokens joined by blanks."""
-    count = F.size(tokens_) - (n - 1)
-    spans = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(spans, lambda i: F.array_join(F.slice(tokens_, i, F.lit(n)), " "))
+    """Runs of ``n`` tokens joined by blanks: the array zipped with itself shifted, so each token is read ``n`` times at most."""
+    rows = F.arrays_zip(*(F.slice(tokens_, F.lit(k + 1), F.greatest(F.size(tokens_) - k, F.lit(0))).alias(f"t{k}") for k in range(n)))
+    whole = F.slice(rows, F.lit(1), F.greatest(F.size(tokens_) - (n - 1), F.lit(0)))
+    return F.transform(whole, lambda r: F.concat_ws(" ", *(r[f"t{k}"] for k in range(n))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.session import cut
+from larkspur.session import cut, measured
 
 # Damping, tolerance and most rounds of the iterations, in-links a page may bring into the base set.
 DAMPING, TOLERANCE, MAX_ROUNDS, MAX_INLINKS = 0.85, 1e-5, 99, 50
@@ -44,25 +46,31 @@ def pagerank(edges: DataFrame, rounds: int | None = None, damping: float = DAMPI
     """
     degrees = out_degree(edges)
     shares = edges.join(degrees, "src").repartition("src").select("src", "dst", (1 / F.col("n")).alias("part")).persist()
-    nodes = cut(nodes_of(edges).join(degrees.select(F.col("src").alias("node"), F.lit(True).alias("links")), "node", "left"), "nodes")
-    n = nodes.count()
+    nodes, seen = measured(nodes_of(edges).join(degrees.select(F.col("src").alias("node"), F.lit(True).alias("links")), "node", "left"), "nodes", n=F.count("*"), sinks=F.count_if(F.col("links").isNull()))
+    n = seen["n"]
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
-    scores = nodes.select("node", "links", F.lit(1.0 / n).alias("score"))
+    scores, sink, lost = nodes.select("node", "links", F.lit(1.0 / n).alias("score")), seen["sinks"] / n, F.col("links").isNull()
     for _ in range(MAX_ROUNDS if rounds is None else rounds):
-        sink = scores.where(F.col("links").isNull()).agg(F.sum("score")).first()[0] or 0.0
         base = (1 - damping) / n + damping * sink / n
         incoming = scores.select(F.col("node").alias("src"), "score").join(shares, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("part")).alias("s"))
         fresh = scores.select("node", "links", F.col("score").alias("was")).join(incoming, "node", "left").withColumn("score", F.lit(base) + damping * F.coalesce("s", F.lit(0.0)))
-        fresh = cut(fresh.select("node", "links", "was", "score"), "rank")
-        total = fresh.agg(F.sum("score")).first()[0]
-        scores = fresh.withColumn("score", F.col("score") / total)
-        if rounds is None and fresh.agg(F.sqrt(F.sum(F.pow(F.col("score") / total - F.col("was"), 2)))).first()[0] <= tolerance:
+        fresh, seen = measured(
+            fresh.select("node", "links", "was", "score"), "rank", total=F.sum("score"), sink=F.coalesce(F.sum(F.when(lost, F.col("score"))), F.lit(0.0)),
+            square=F.sum(F.col("score") * F.col("score")), both=F.sum(F.col("score") * F.col("was")), old=F.sum(F.col("was") * F.col("was")),
+        )
+        scores, sink = fresh.select("node", "links", (F.col("score") / seen["total"]).alias("score")), seen["sink"] / seen["total"]
+        if rounds is None and _change(seen["square"], seen["both"], seen["old"], seen["total"]) <= tolerance:
             break
     shares.unpersist()
     return scores.select("node", "score")
 
 
+def _change(square: float, both: float, old: float, scale: float) -> float:
+    """Norm of the difference of scaled new values and old ones, from their sums of squares and products."""
+    return math.sqrt(max(square / scale**2 - 2 * both / scale + old, 0.0))
+
+
 def base_set(edges: DataFrame, root: DataFrame, most: int = MAX_INLINKS) -> DataFrame:
     """``node``: the root pages, all they link to, and up to ``most`` pages that link to each (the first by name)."""
     r = root.select("node").distinct()
@@ -93,20 +101,22 @@ def hits(edges: DataFrame, root: DataFrame, rounds: int | None = None, most: int
     hub = known.select("node", F.lit(1.0).alias("h"))
     if not known.limit(1).count():
         return known.select("node", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
+
+    def sums(v: str) -> dict:
+        return {"square": F.sum(F.col(v) * F.col(v)), "both": F.sum(F.col(v) * F.col("was")), "old": F.sum(F.col("was") * F.col("was")), "n": F.count("*")}
+
     for _ in range(MAX_ROUNDS if rounds is None else rounds):
         got = into.join(hub.withColumnRenamed("node", "src"), "src", "left").groupBy(F.col("dst").alias("node")).agg(F.sum(F.coalesce("h", F.lit(0.0))).alias("s"))
-        a = cut(auth.select("node", F.col("a").alias("was")).join(got, "node", "left").select("node", "was", F.coalesce("s", "was").alias("a")), "auth")
-        norm = a.agg(F.sqrt(F.sum(F.col("a") * F.col("a")))).first()[0] or 1.0
-        a = a.withColumn("a", F.col("a") / norm)
-        gave = out.join(a.select(F.col("node").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("s"))
-        h = cut(hub.select("node", F.col("h").alias("was")).join(gave, "node", "left").select("node", "was", F.coalesce("s", F.lit(0.0)).alias("h")), "hub")
-        norm = h.agg(F.sqrt(F.sum(F.col("h") * F.col("h")))).first()[0] or 1.0
-        h = h.withColumn("h", F.col("h") / norm)
-        auth, hub = a.select("node", "a"), h.select("node", "h")
+        a, sa = measured(auth.select("node", F.col("a").alias("was")).join(got, "node", "left").select("node", "was", F.coalesce("s", "was").alias("a")), "auth", **sums("a"))
+        norm_a = math.sqrt(sa["square"] or 0) or 1.0
+        auth = a.select("node", (F.col("a") / norm_a).alias("a"))
+        gave = out.join(auth.select(F.col("node").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("s"))
+        h, sh = measured(hub.select("node", F.col("h").alias("was")).join(gave, "node", "left").select("node", "was", F.coalesce("s", F.lit(0.0)).alias("h")), "hub", **sums("h"))
+        norm_h = math.sqrt(sh["square"] or 0) or 1.0
+        hub = h.select("node", (F.col("h") / norm_h).alias("h"))
         if rounds is None:
-            da, n = a.agg(F.sum(F.pow(F.col("a") - F.col("was"), 2)), F.count("*")).first()
-            dh = h.agg(F.sum(F.pow(F.col("h") - F.col("was"), 2))).first()[0]
-            if max(da / n, dh / n) ** 0.5 <= tolerance:
+            change = max(_change(sa["square"], sa["both"], sa["old"], norm_a), _change(sh["square"], sh["both"], sh["old"], norm_h))
+            if change / math.sqrt(sa["n"] or 1) <= tolerance:
                 break
     return hub.join(auth, "node", "left").select("node", F.col("h").alias("hub"), F.col("a").alias("authority"))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Settings used when this library starts its own session; an existing session keeps its own.
 DEFAULTS = {
@@ -32,6 +33,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the application's Python workers this package, wherever they run, once."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="larkspur-"), "larkspur")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,6 +63,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def measured(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``cut``, with aggregates of the rows taken while they are written, so that they cost no job of their own."""
+    seen = Observation()
+    written = cut(df.observe(seen, *(c.alias(n) for n, c in sums.items())), label)
+    return written, seen.get
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
