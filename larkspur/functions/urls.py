@@ -30,7 +30,7 @@ def _path(path: str) -> str:
                 out.append("")
         else:
             out.append(part)
-    joined = "/".join(out)
+    joined = quote("/".join(out), safe="/%:@!$&'()*+,;=~-._")
     return joined if joined.startswith("/") else "/" + joined
 
 

@@ -144,7 +144,7 @@ def read_linear_model(spark: SparkSession, path: str, header: int = 6) -> DataFr
 
     The file is one text whose lines are numbered where it is read.
     """
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("n", "value")).where(F.col("n") >= header)
     return lines.select((F.col("n") - header + 1).cast("int").alias("term_id"), F.trim("value").try_cast("double").alias("weight"))
 
