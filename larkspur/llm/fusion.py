@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from larkspur.session import cut
 
 #: A group of more rows than this is ranked over range partitions; smaller ones whole, by one task each.
 WHOLE_GROUP_ROWS = 1_000_000
+#: A score that more rows of a large group share than this is joined by broadcast.
+HEAVY_VALUE_ROWS = 100_000
 
 
 def _average_ranks(group: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -78,31 +80,29 @@ def _hot_ranks(rows: DataFrame, scores: list[str]) -> DataFrame:
     and value, and ranked from the counts within a partition plus what the partitions before it hold. The latter is
     one number for a group and partition, at most two a partition, so it is small enough to join by broadcast.
     """
-    spark = rows.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = rows.withColumn("_salt", F.pmod(F.xxhash64("d"), F.lit(n_parts)))
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = rows.groupBy("k").agg(F.count("*").alias("n"))
+    out = rows
     for i, s in enumerate(scores):
         counts = cut(
             rows.groupBy("k", F.col(s).alias("v")).agg(F.count("*").alias("c"))
             .repartitionByRange(n_parts, "k", "v").withColumn("p", F.spark_partition_id()),
             "counts",
         )
-        from pyspark.sql import Window
-
         before = (
             counts.groupBy("k", "p").agg(F.sum("c").alias("pc"))
             .withColumn("b", F.coalesce(F.sum("pc").over(Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .select("k", "p", "b")
         )
         inside = F.sum("c").over(Window.partitionBy("k", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-        ranks = (
+        ranks = cut(
             counts.withColumn("i", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), ["k", "p"])
-            .select("k", F.col("v").alias(s), (F.col("b") + F.col("i") + (F.col("c") + 1) / 2).alias(f"r{i}"))
+            .select("k", F.col("v").alias(s), "c", (F.col("b") + F.col("i") + (F.col("c") + 1) / 2).alias(f"r{i}")),
+            "values",
         )
-        # a value that very many rows share is joined in salted pieces
-        ranks = ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_parts - 1).cast("bigint"))))
-        out = out.join(ranks, ["k", s, "_salt"])
+        often = F.col("c") > HEAVY_VALUE_ROWS  # at most rows / HEAVY_VALUE_ROWS values, so they are broadcast instead of meeting in one task
+        heavy, light = ranks.where(often).drop("c"), ranks.where(~often).drop("c")
+        out = out.join(F.broadcast(heavy), ["k", s]).unionByName(out.join(light, ["k", s]))
     return out.join(F.broadcast(total), "k").select("k", "d", "n", *(f"r{i}" for i in range(len(scores))))
 
 

@@ -293,7 +293,7 @@ def main_content(df: DataFrame, ident: str, url: str, text: str, source: str, ti
     each = parsed.select("id", "site", F.explode("lines").alias("l"))
     prints = each.select("site", "id", F.col("l.print").alias("print")).distinct().groupBy("site", "print").agg(F.count("*").alias("n"))
     prints = cut(prints, "prints")
-    often = prints.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, SHARE_OF_PAGES * pages))
+    often = prints.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= max(float(SITE_PAGES), SHARE_OF_PAGES * pages))
     furniture = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in often.select("print").toLocalIterator()))
     sizes = parsed.groupBy("site").agg(F.count("*").alias("pages"))
     own = (
