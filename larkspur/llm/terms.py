@@ -122,7 +122,7 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[pa.Table] = []
         scored: list[pa.Table] = []
-        rows = floor = 0
+        rows = held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             total = _df_sum(counts)
@@ -130,6 +130,7 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
             if max_df is not None:  # records only add up, so a term past the limit here stays past it
                 over = total.filter(pc.greater(total["df"], max_df))["term"]
                 keep = keep.filter(pc.invert(pc.is_in(keep["term"], value_set=over.combine_chunks())))
+            total = pa.concat_tables([total.select(["term", "df"]), pa.table({"term": pa.array([None], pa.string()), "df": pa.array([held], pa.int64())})])
             empty = pa.nulls(len(total))
             yield from pa.table({"term": total["term"], "df": total["df"], "id": empty.cast(id_type), "tf": empty.cast(pa.int64()), "degree": empty.cast(pa.int64())}).to_batches()
             yield from keep.select(["term", "df", "id", "tf", "degree"]).to_batches()
@@ -137,6 +138,7 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
         for ids, texts in text_blocks(batches):
             words = words_of(texts)
             record, code, tf, degree = word_graph(words, window)
+            held += len(np.unique(record))
             df = np.bincount(code, minlength=len(words.vocabulary))
             counts.append(pa.table({"term": words.vocabulary, "df": pa.array(df, pa.int64())}))
             often = np.flatnonzero(tf >= min_tf)
@@ -149,7 +151,7 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
             rows += len(counts[-1]) + len(scored[-1])
             if rows > HELD_ROWS:
                 yield from flush()
-                counts, scored, rows = [], [], 0
+                counts, scored, rows, held = [], [], 0, 0
             elif len(counts) > 50:
                 counts = [_df_sum(counts)]
         if scored:
@@ -176,8 +178,8 @@ def distinctive_terms(df: DataFrame, ident: str, text: str, window: int = 4, min
     the counts. Null and empty texts have no terms; an empty table gives no rows; ``ident`` is unique; other columns are ignored.
     """
     rows = cut(_graph_rows(df, ident, text, window, min_tf, None), "graph")
-    total = rows.where(F.col("id").isNull()).groupBy("term").agg(F.sum("df").alias("df"))
-    records = df.where(F.col(text).rlike(r"[\p{L}\p{N}]")).count()
+    total = rows.where(F.col("id").isNull() & F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
+    records = rows.where(F.col("term").isNull()).agg(F.sum("df")).first()[0] or 0  # the row without term counts a task's records
     scored = rows.where(F.col("id").isNotNull()).drop("df").join(total, "term")
     score = F.round(F.col("degree") * F.log((1 + F.lit(records)) / F.col("df")), 6)
     return scored.select("id", "term", "tf", "degree", "df", score.alias("score"))
