@@ -122,7 +122,7 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[pa.Table] = []
         scored: list[pa.Table] = []
-        rows = held = 0
+        rows = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             total = _df_sum(counts)
@@ -130,7 +130,6 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
             if max_df is not None:  # records only add up, so a term past the limit here stays past it
                 over = total.filter(pc.greater(total["df"], max_df))["term"]
                 keep = keep.filter(pc.invert(pc.is_in(keep["term"], value_set=over.combine_chunks())))
-            total = pa.concat_tables([total.select(["term", "df"]), pa.table({"term": pa.array([None], pa.string()), "df": pa.array([held], pa.int64())})])
             empty = pa.nulls(len(total))
             yield from pa.table({"term": total["term"], "df": total["df"], "id": empty.cast(id_type), "tf": empty.cast(pa.int64()), "degree": empty.cast(pa.int64())}).to_batches()
             yield from keep.select(["term", "df", "id", "tf", "degree"]).to_batches()
@@ -138,7 +137,6 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
         for ids, texts in text_blocks(batches):
             words = words_of(texts)
             record, code, tf, degree = word_graph(words, window)
-            held += len(np.unique(record))
             df = np.bincount(code, minlength=len(words.vocabulary))
             counts.append(pa.table({"term": words.vocabulary, "df": pa.array(df, pa.int64())}))
             often = np.flatnonzero(tf >= min_tf)
@@ -151,7 +149,7 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
             rows += len(counts[-1]) + len(scored[-1])
             if rows > HELD_ROWS:
                 yield from flush()
-                counts, scored, rows, held = [], [], 0, 0
+                counts, scored, rows = [], [], 0
             elif len(counts) > 50:
                 counts = [_df_sum(counts)]
         if scored:
@@ -160,6 +158,28 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
     return run
 
 
+def _block_runner(window: int, min_tf: int):
+    """A row for each term of a block, with the block's records that hold it: what is said of a term is sent once a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_blocks(batches):
+            words = words_of(texts)
+            record, code, tf, degree = word_graph(words, window)
+            n = len(words.vocabulary)
+            df = np.bincount(code, minlength=n)
+            order = np.argsort(code, kind="stable")
+            order = order[tf[order] >= min_tf]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(code[order], minlength=n))])
+            entries = pa.StructArray.from_arrays(
+                [pa.array(ids, pa.int64()).take(pa.array(record[order])), pa.array(tf[order], pa.int64()), pa.array(degree[order], pa.int64())], ["id", "tf", "degree"]
+            )
+            held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+            yield pa.record_batch({"term": words.vocabulary, "df": pa.array(df, pa.int64()), "held": held})
+            yield pa.record_batch({"term": pa.array([None], pa.string()), "df": pa.array([len(np.unique(record))], pa.int64()), "held": pa.array([[]], held.type)})
+
+    return run
+
+
 def _df_sum(parts: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(parts).group_by("term").aggregate([("df", "sum")]).rename_columns(["term", "df"])
 
@@ -177,10 +197,11 @@ def distinctive_terms(df: DataFrame, ident: str, text: str, window: int = 4, min
     number of records holding the term. ``min_tf`` drops terms rarer in their record from the result, not from
     the counts. Null and empty texts have no terms; an empty table gives no rows; ``ident`` is unique; other columns are ignored.
     """
-    rows = cut(_graph_rows(df, ident, text, window, min_tf, None), "graph")
-    total = rows.where(F.col("id").isNull() & F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
-    records = rows.where(F.col("term").isNull()).agg(F.sum("df")).first()[0] or 0  # the row without term counts a task's records
-    scored = rows.where(F.col("id").isNotNull()).drop("df").join(total, "term")
+    rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).select("id", "text")
+    blocks = cut(rows.mapInArrow(_block_runner(window, min_tf), "term string, df bigint, held array<struct<id:bigint,tf:bigint,degree:bigint>>"), "graph")
+    total = blocks.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
+    records = blocks.where(F.col("term").isNull()).agg(F.sum("df")).first()[0] or 0  # the row without term counts a block's records
+    scored = blocks.drop("df").join(total, "term").select("term", "df", F.inline("held"))
     score = F.round(F.col("degree") * F.log((1 + F.lit(records)) / F.col("df")), 6)
     return scored.select("id", "term", "tf", "degree", "df", score.alias("score"))
 
