@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.mailtext import line_print
+from larkspur.llm.mailtext import LONGEST_FRAME_LINE, line_print
 from larkspur.session import cut
 
 # Elements of the page language.
@@ -164,7 +164,7 @@ def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[i
             flags |= HEADLINE * (block.tag == "h1") | HEADING * (block.tag in ("h2", "h3", "h4")) | LINKED * (block.linked >= 0.7 * len(line))
         ends = bool(SENTENCE.search(line))
         flags |= ENDS * ends | RUNNING * (ends and len(line) >= RUNNING_CHARS)
-        flags |= NOTE * bool(BYLINE.match(line) or DATELINE.match(line) or COMMENT.search(line) or AROUND.search(line))
+        flags |= NOTE * bool(len(line) <= LONGEST_FRAME_LINE and (BYLINE.match(line) or DATELINE.match(line) or COMMENT.search(line) or AROUND.search(line)))
         flags |= SITES * bool(LEGAL.search(line))
         flags |= TITLE * (len(line) > 8 and (name == line or name.startswith(line + " - ") or name.startswith(line + " | ")))
         out.append((number, line_print(line), block.path if block else "", block.section if block else -1, len(line), len(PUNCTUATION.findall(line)), flags))
