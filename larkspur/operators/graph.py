@@ -24,8 +24,20 @@ def out_degree(links: DataFrame) -> DataFrame:
 
 
 def inlinks(edges: DataFrame) -> DataFrame:
-    """``dst, n, sources``: the distinct pages that link to each page, in order."""
-    return edges.groupBy("dst").agg(F.sort_array(F.collect_set("src")).alias("sources")).select("dst", F.size("sources").cast("bigint").alias("n"), "sources")
+    """``dst, n``: how many distinct pages link to each page."""
+    return edges.distinct().groupBy("dst").agg(F.count("*").alias("n"))
+
+
+#: Neighbours one row or line of an adjacency list holds; a page with more has several.
+LIST_LENGTH = 1000
+
+
+def adjacency(edges: DataFrame, page: str = "src", neighbour: str = "dst", most: int = LIST_LENGTH) -> DataFrame:
+    """``page, part, neighbours``: sorted lists of distinct neighbours, in parts of about ``most``, so that no page's list is one unbounded row."""
+    e = edges.select(F.col(page).alias("page"), F.col(neighbour).alias("neighbour")).distinct()
+    size = e.groupBy("page").agg(F.ceil(F.count("*") / most).alias("parts"))
+    part = F.pmod(F.xxhash64("neighbour"), F.col("parts"))
+    return e.join(size, "page").groupBy("page", part.cast("int").alias("part")).agg(F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -37,14 +49,15 @@ def sink_pages(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")), "node", "left_anti")
 
 
-def pagerank(edges: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE, degrees: DataFrame | None = None) -> DataFrame:
     """``node, score``: PageRank over distinct edges, sinks spread over all pages, mass normalised each round.
 
     Runs ``rounds`` rounds, or without it until the change's Euclidean norm is at most ``tolerance``, at most ``MAX_ROUNDS``. Edges carry their
     share and stay partitioned by source; a page's incoming shares are added up before the shuffle, so a page that everything links to is no hot key.
     Each round's scores are written, so plans stay short and a lost executor repeats one round. No edge gives no rows.
+    ``degrees`` (``src, n``) may count links otherwise, for instance with their repetitions, as some link files do.
     """
-    degrees = out_degree(edges)
+    degrees = out_degree(edges) if degrees is None else degrees
     shares = edges.join(degrees, "src").repartition("src").select("src", "dst", (1 / F.col("n")).alias("part")).persist()
     nodes, seen = measured(nodes_of(edges).join(degrees.select(F.col("src").alias("node"), F.lit(True).alias("links")), "node", "left"), "nodes", n=F.count("*"), sinks=F.count_if(F.col("links").isNull()))
     n = seen["n"]

@@ -81,12 +81,17 @@ def term_vector(postings_: DataFrame, doc_id: int) -> DataFrame:
     return postings_.where(F.col("doc_id") == doc_id).select("term", "tf")
 
 
-def merge_partial_indexes(parts: list[DataFrame]) -> DataFrame:
-    """Partial postings (of different documents) as one, a row per term: a single shuffle by term, sorted within it."""
+#: Document numbers a posting block spans: what one row of a merged index can hold is bounded, however common its term.
+BLOCK_DOCUMENTS = 65_536
+
+
+def merge_partial_indexes(parts: list[DataFrame], block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
+    """``term, block, postings``: partial postings (of different documents) merged by one shuffle, a row per term and range of documents."""
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "positions"))).alias("postings"))
+    block = F.floor(F.col("doc_id") / block_documents)
+    return whole.groupBy("term", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "positions"))).alias("postings"))
 
 
 def as_block(postings_array: Column) -> Column:
@@ -118,8 +123,8 @@ class Index:
 def build_index(documents: DataFrame, ident: str, docno: str, text: str, model: str = "no_stopwords", avg_len_round: int | None = None, algorithm: str = "porter2") -> Index:
     """Builds the index once, to be read by any number of queries.
 
-    Each document's postings are formed from its own token array, so the one shuffle is that into term order, in which the
-    postings are written: a query's terms then read only the parts that hold them. Documents' lengths travel with their postings.
+    Postings are written in order of term and document, in ranges that split a common term, so that a query's terms read
+    only the parts that hold them. Documents' lengths travel with their postings, which saves queries a join.
     """
     kept = tokens(F.col(text), model)
     base = documents.select(F.col(ident).alias("doc_id"), F.col(docno).alias("docno"), kept.alias("t"))
@@ -128,7 +133,7 @@ def build_index(documents: DataFrame, ident: str, docno: str, text: str, model:
     if MODELS[model]["stem"]:
         rows = rows.join(stem_dictionary(rows, "term", algorithm), "term").withColumn("term", F.col("stem")).drop("stem")
     found = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
-    written = cut(found.sortWithinPartitions("term", "doc_id"), "postings")
+    written = cut(found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
     terms = cut(written.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"), F.sum("len").alias("tlen")), "terms")
     stats = docs.agg(F.count("*").alias("d"), F.avg("len").alias("a")).first()
     avg = stats["a"]

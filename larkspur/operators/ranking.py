@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import MODELS, query_tokens
 from larkspur.operators.index import Index, ranked
+from larkspur.session import cut
 
 # Parameters of the models.
 K1, K2, B = 1.2, 1.5, 0.75
@@ -46,15 +47,17 @@ def laplace(tf: Column, length: Column, v: int) -> Column:
     return F.log10((tf + 1) / (length + F.lit(v)))
 
 
-def jm_present(tf: Column, length: Column, ttf: Column, tlen: Column) -> Column:
-    """The background is what the other documents with the term hold; without any it is 0."""
-    background = F.when(tlen - length > 0, (ttf - tf) / (tlen - length)).otherwise(F.lit(0.0))
+def jm_present(tf: Column, length: Column, ttf: Column, tlen: Column, compat: bool = False) -> Column:
+    """The background is what the other documents with the term hold; without any it is 0 (``compat``: not a number)."""
+    none = F.lit(float("nan")) if compat else F.lit(0.0)
+    background = F.when(tlen - length > 0, (ttf - tf) / F.when(tlen - length > 0, tlen - length)).otherwise(none)
     return F.log10(F.lit(LAMBDA) * tf / length + F.lit(1 - LAMBDA) * background)
 
 
-def jm_absent(length: Column, ttf: Column, tlen: Column) -> Column:
-    """0 where the remaining documents with the term have no length."""
-    return F.when(tlen - length > 0, F.log10(F.lit(1 - LAMBDA) * ttf / F.when(tlen - length > 0, tlen - length))).otherwise(F.lit(0.0))
+def jm_absent(length: Column, ttf: Column, tlen: Column, compat: bool = False) -> Column:
+    """0 where the remaining documents with the term have no length (``compat``: not a number)."""
+    none = F.lit(float("nan")) if compat else F.lit(0.0)
+    return F.when(tlen - length > 0, F.log10(F.lit(1 - LAMBDA) * ttf / F.when(tlen - length > 0, tlen - length))).otherwise(none)
 
 
 def matches(index: Index, terms: DataFrame, positions: bool = False) -> DataFrame:
@@ -64,30 +67,29 @@ def matches(index: Index, terms: DataFrame, positions: bool = False) -> DataFram
     return known.join(index.postings.select(*columns), "term")
 
 
-def all_scores(index: Index, terms: DataFrame) -> DataFrame:
-    """``query_no, doc_id`` and the five models' scores of every document with a query term.
+def all_scores(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MODELS, compat: bool = False) -> DataFrame:
+    """``query_no, doc_id`` and the models' scores of every document with a query term.
 
     One join and one aggregation serve all topics and models. What absent terms add to the language models is not
     expanded into a grid of documents and terms: for Laplace it is a count, for Jelinek-Mercer a sum over the topic's own
     short list of terms, computed in the candidate's row.
     """
-    tf, length, df, qtf = F.col("tf"), F.col("len"), F.col("df"), F.col("qtf")
+    unknown = set(models) - set(TERM_MODELS)
+    if unknown:
+        raise ValueError(f"no models {sorted(unknown)}")
+    tf, length, df, qtf, ttf, tlen = (F.col(c) for c in ("tf", "len", "df", "qtf", "ttf", "tlen"))
+    parts = {
+        "okapi": okapi(tf, length, index.avg_len), "tfidf": tfidf(tf, length, index.avg_len, index.d, df), "bm25": bm25(tf, length, index.avg_len, index.d, df, qtf),
+        "laplace": laplace(tf, length, index.v) - F.log10(1 / (length + F.lit(index.v))), "jm": jm_present(tf, length, ttf, tlen, compat) - jm_absent(length, ttf, tlen),
+    }
     found = matches(index, terms)
-    present = found.groupBy("query_no", "doc_id").agg(
-        F.first("len").alias("len"),
-        F.sum(okapi(tf, length, index.avg_len)).alias("okapi"), F.sum(tfidf(tf, length, index.avg_len, index.d, df)).alias("tfidf"),
-        F.sum(bm25(tf, length, index.avg_len, index.d, df, qtf)).alias("bm25"),
-        F.sum(laplace(tf, length, index.v) - F.log10(1 / (length + F.lit(index.v)))).alias("laplace_gain"),
-        F.sum(jm_present(tf, length, F.col("ttf"), F.col("tlen")) - jm_absent(length, F.col("ttf"), F.col("tlen"))).alias("jm_gain"),
-    )
+    present = found.groupBy("query_no", "doc_id").agg(F.first("len").alias("len"), *(F.sum(parts[m]).alias(m) for m in models))
+    if not {"laplace", "jm"} & set(models):
+        return present.select("query_no", "doc_id", *models)
     asked = terms.join(index.terms, "term").groupBy("query_no").agg(F.collect_list(F.struct("ttf", "tlen")).alias("asked"))
-    both = present.join(asked, "query_no")
-    grid = F.aggregate("asked", F.lit(0.0), lambda acc, t: acc + jm_absent(F.col("len"), t["ttf"], t["tlen"]))
-    return both.select(
-        "query_no", "doc_id", "okapi", "tfidf", "bm25",
-        (F.col("laplace_gain") + F.size("asked") * F.log10(1 / (F.col("len") + F.lit(index.v)))).alias("laplace"),
-        (F.col("jm_gain") + grid).alias("jm"),
-    )
+    grid = F.aggregate("asked", F.lit(0.0), lambda acc, t: acc + jm_absent(F.col("len"), t["ttf"], t["tlen"], compat))
+    whole = {"laplace": F.col("laplace") + F.size("asked") * F.log10(1 / (F.col("len") + F.lit(index.v))), "jm": F.col("jm") + grid}
+    return present.join(asked, "query_no").select("query_no", "doc_id", *(whole[m].alias(m) if m in whole else F.col(m) for m in models))
 
 
 def run_of(index: Index, scores: DataFrame, score: str, most: int = RUN_LENGTH, digits: int = SCORE_DIGITS) -> DataFrame:
@@ -97,10 +99,8 @@ def run_of(index: Index, scores: DataFrame, score: str, most: int = RUN_LENGTH,
 
 
 def rank(index: Index, terms: DataFrame, model: str, most: int = RUN_LENGTH) -> DataFrame:
-    """The run of one term model; columns of the others are not computed."""
-    if model not in TERM_MODELS:
-        raise ValueError(f"no model {model!r}")
-    return run_of(index, all_scores(index, terms).select("query_no", "doc_id", model), model, most)
+    """The run of one term model."""
+    return run_of(index, all_scores(index, terms, (model,)), model, most)
 
 
 def min_windows(index: Index, terms: DataFrame) -> DataFrame:
@@ -128,15 +128,29 @@ def proximity(index: Index, terms: DataFrame, most: int = RUN_LENGTH) -> DataFra
 
 
 def borda(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MODELS, most: int = RUN_LENGTH) -> DataFrame:
-    """``query_no, doc_id, points``: each model gives a document 1001 less its rank, nothing beyond rank 1000; all candidates are kept."""
-    scores = all_scores(index, terms).select("query_no", "doc_id", *(F.round(m, SCORE_DIGITS).alias(m) for m in models))
-    from pyspark.sql import Window
+    """``query_no, doc_id, points``: each model gives a document 1001 less its rank, nothing beyond rank 1000; all candidates are kept.
 
-    points = F.lit(0)
+    Only each model's best documents are ranked, so a topic that most documents match is not sorted in one task.
+    """
+    scores = cut(all_scores(index, terms, models).select("query_no", "doc_id", *(F.round(m, SCORE_DIGITS).alias(m) for m in models)), "scores")
+    given = None
     for m in models:
-        place = F.row_number().over(Window.partitionBy("query_no").orderBy(F.col(m).desc(), "doc_id"))
-        points = points + F.greatest(F.lit(most + 1) - place, F.lit(0))
-    return scores.select("query_no", "doc_id", points.cast("bigint").alias("points"))
+        part = ranked(scores.select("query_no", "doc_id", m), ["query_no"], m, ["doc_id"], most).select("query_no", "doc_id", (F.lit(most + 1) - F.col("rank")).alias("p"))
+        given = part if given is None else given.unionByName(part)
+    points = given.groupBy("query_no", "doc_id").agg(F.sum("p").alias("points"))
+    return scores.select("query_no", "doc_id").join(points, ["query_no", "doc_id"], "left").select("query_no", "doc_id", F.coalesce("points", F.lit(0)).cast("bigint").alias("points"))
+
+
+def search(index: Index, text: str, n: int = RUN_LENGTH, model: str = "bm25", drop_first: int = 0) -> DataFrame:
+    """The ``n`` best documents for a free text."""
+    topic = index.docs.sparkSession.createDataFrame([("search", text)], "query_no string, text string")
+    return rank(index, query_terms(topic, drop_first=drop_first), model, n)
+
+
+def qrel_lines(scored: DataFrame, query_no: str, assessor: str, n: int = 200) -> DataFrame:
+    """``line``: the ``n`` best hand-scored documents (``docno, score``) as judgments ``query assessor document grade``."""
+    best = scored.orderBy(F.col("score").desc_nulls_last(), "docno").limit(n)
+    return best.select(F.concat_ws(" ", F.lit(query_no), F.lit(assessor), "docno", F.col("score").cast("int").cast("string")).alias("line"))
 
 
 def fuse_runs(runs: list[DataFrame], most: int = RUN_LENGTH) -> DataFrame:

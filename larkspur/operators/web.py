@@ -55,8 +55,8 @@ def joined_header(lines: Column) -> Column:
 
 
 def seed_hosts(urls: DataFrame, url: str) -> DataFrame:
-    """``host, n, seeds``: start pages by host, which is how a crawl is dealt out."""
-    return urls.where(F.col(url).isNotNull()).groupBy(host_key(F.col(url)).alias("host")).agg(F.count_distinct(url).alias("n"), F.sort_array(F.collect_set(url)).alias("seeds"))
+    """``host, url``: distinct start pages with the host a crawl deals them by. One host's pages are rows, not a list."""
+    return urls.where(F.col(url).isNotNull()).select(host_key(F.col(url)).alias("host"), F.col(url).alias("url")).distinct()
 
 
 _RULE = re.compile(r"^\s*(user-agent|allow|disallow)\s*:\s*([^#]*)", re.I)
@@ -149,6 +149,17 @@ class Page:
     source: str
 
 
+def http_fetch(url: str, timeout: float = 10.0, agent: str = "larkspur") -> Page | None:
+    """A page over HTTP; None where it can't be had."""
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+            return Page(r.status, r.headers.get("Content-Type", ""), r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"))
+    except (OSError, ValueError, LookupError):
+        return None
+
+
 def parse_page(url: str, page: Page) -> dict | None:
     """Title, text and canonical links on the same host of an HTML page; None for anything else."""
     if page.status != 200 or not page.content_type.lower().startswith("text/html"):

@@ -158,7 +158,7 @@ SQL: dict[str, str] = {
     "token_ngrams": f"""WITH {_tokens("tok", "true")} SELECT gram, count(*) AS n FROM (SELECT term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS gram FROM tok) WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) >= 5""",
     "postings_tf_positions": f"WITH {NOSTOP} SELECT term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id",
     "index_blocks": f"""WITH {NOSTOP}, p AS (SELECT term, doc_id, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS ps FROM tok GROUP BY term, doc_id)
-SELECT term, string_agg(CAST(doc_id AS VARCHAR) || ' ' || ps || ',', '' ORDER BY doc_id) AS block, count(*) AS df FROM p GROUP BY term""",
+SELECT term, string_agg(CAST(doc_id AS VARCHAR) || ' ' || ps || ',', '' ORDER BY doc_id) AS line, count(*) AS df FROM p GROUP BY term, doc_id // 65536""",
     "doc_lengths": f"WITH {NOSTOP} SELECT id AS doc_id, CAST(len(l) AS BIGINT) AS len FROM tok_l",
     "doc_lengths_distinct": f"WITH {NOSTOP} SELECT id AS doc_id, CAST(len(list_distinct(l)) AS BIGINT) AS len FROM tok_l",
     "corpus_stats": f"WITH {INDEX} SELECT d, v, floor(al * 100 + 0.5) / 100 AS avg_len FROM stats",
@@ -194,7 +194,8 @@ SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS n, unnest(l) A
 FROM (SELECT page_id, min(html_source) AS h FROM pages GROUP BY page_id)""",
     "html_pages": "SELECT page_id, min(url) AS url FROM pages WHERE regexp_matches(header, '^HTTP/[0-9.]+ 200\\b') AND regexp_matches(lower(header), 'content-type:\\s*text/html') GROUP BY page_id",
     "link_edges": f"WITH {EDGES} SELECT src, dst FROM e",
-    "inlinks": f"WITH {EDGES} SELECT dst, count(*) AS n, string_agg(src, ' ' ORDER BY src) AS sources FROM e GROUP BY dst",
+    "inlinks": f"WITH {EDGES} SELECT dst, count(*) AS n FROM e GROUP BY dst",
+    "inlink_lists": f"WITH {EDGES} SELECT dst AS page, 0 AS part, string_agg(src, ' ' ORDER BY src) AS neighbours FROM e GROUP BY dst",
     "outdegree": f"WITH {EDGES} SELECT src, count(*) AS n FROM e GROUP BY src",
     "sink_pages": f"WITH {EDGES} SELECT DISTINCT dst AS node FROM e WHERE dst NOT IN (SELECT src FROM e)",
     "pagerank_k": _pagerank(3),
@@ -205,7 +206,7 @@ SELECT url, wave, inlinks, arrive, row_number() OVER (ORDER BY wave, inlinks DES
     "merge_insert_if_absent": "SELECT DISTINCT l AS url FROM (SELECT unnest(out_links) AS l FROM pages) WHERE l IS NOT NULL AND l NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)",
     "robots_filter": """WITH u AS (SELECT DISTINCT url FROM (SELECT unnest(out_links) AS url FROM pages) WHERE url IS NOT NULL), p AS (SELECT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(.*)$', 1) AS path FROM u)
 SELECT url FROM p WHERE starts_with(path, '/sport/m') OR NOT (starts_with(path, '/sport') OR starts_with(path, '/tech'))""",
-    "seed_hosts": f"SELECT {HOST} AS host, count(DISTINCT url) AS n, string_agg(DISTINCT url, ' ' ORDER BY url) AS seeds FROM pages WHERE url IS NOT NULL GROUP BY ALL",
+    "seed_hosts": f"SELECT DISTINCT {HOST} AS host, url FROM pages WHERE url IS NOT NULL",
     "mail_clean": f"""SELECT mail_id, regexp_replace(regexp_replace(replace({_CLEAN}, chr(9), ' '), ' +', ' ', 'g'), '( ?\\n)+', chr(10), 'g') AS body FROM (SELECT mail_id, min(body) AS body FROM mails GROUP BY mail_id)""",
     "mail_labels_joined": """WITH n AS (SELECT lower(trim(label)) AS label, regexp_extract(path, '[^/]*$') AS file_name FROM mail_labels WHERE label IS NOT NULL AND path IS NOT NULL), one AS (SELECT file_name, min(label) AS label FROM n GROUP BY file_name)
 SELECT DISTINCT mail_id, file_name, one.label FROM mails JOIN one USING (file_name)""",

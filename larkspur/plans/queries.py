@@ -65,8 +65,8 @@ def index_blocks(spark: SparkSession, d: str) -> DataFrame:
     p = index.postings(index.positions(_documents(spark, d), "doc_id", "text"))
     odd, even = p.where("doc_id % 2 = 1"), p.where("doc_id % 2 = 0")
     block = index.as_block(F.col("postings"))
-    lines = index.merge_partial_indexes([odd, even]).select("term", block.alias("block"))
-    return lines.select("term", "block", F.size(index.from_block(F.col("block"))).cast("bigint").alias("df"))
+    lines = index.merge_partial_indexes([odd, even]).select("term", block.alias("line"))
+    return lines.select("term", "line", F.size(index.from_block(F.col("line"))).cast("bigint").alias("df"))
 
 
 def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +224,11 @@ def link_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inlinks(spark: SparkSession, d: str) -> DataFrame:
-    return graph.inlinks(_edges(spark, d)).select("dst", "n", F.array_join("sources", " ").alias("sources"))
+    return graph.inlinks(_edges(spark, d))
+
+
+def inlink_lists(spark: SparkSession, d: str) -> DataFrame:
+    return graph.adjacency(_edges(spark, d), "dst", "src").select("page", "part", F.array_join("neighbours", " ").alias("neighbours"))
 
 
 def outdegree(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +296,7 @@ def robots_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return web.seed_hosts(table(spark, d, "pages"), "url").select("host", "n", F.array_join("seeds", " ").alias("seeds"))
+    return web.seed_hosts(table(spark, d, "pages"), "url")
 
 
 # -- mails

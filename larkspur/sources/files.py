@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators.graph import adjacency
 from larkspur.operators.mail import split_mail, subject_lines
 
 
@@ -66,9 +67,8 @@ def read_adjacency(spark: SparkSession, path: str, reverse: bool = False) -> Dat
 
 
 def write_adjacency(edges: DataFrame, path: str) -> None:
-    """One line a page: itself and its neighbours in order."""
-    lines = edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("n")).select(F.concat_ws(" ", "src", F.array_join("n", " ")).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    """Lines of a page and its neighbours in order; a page with very many has several lines, which readers add up."""
+    adjacency(edges).select(F.concat_ws(" ", "page", F.array_join("neighbours", " ")).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:

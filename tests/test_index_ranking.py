@@ -100,3 +100,23 @@ def test_borda_points(spark):
 def test_run_lines(spark):
     run = spark.createDataFrame([("51", "D1", 1, 2.5)], "query_no string, docno string, rank int, score double")
     assert ranking.run_lines(run).first()["line"] == "51 Q0 D1 1 2.500000 Exp"
+
+
+def test_search_and_judgment_lines(spark):
+    idx = index.build_index(docs(spark), "doc_id", "docno", "text")
+    assert [r["docno"] for r in ranking.search(idx, "boat patrol").orderBy("rank").collect()] == ["B", "A"]
+    scored = spark.createDataFrame([("d1", 2.0), ("d2", 1.0), ("d0", 2.0)], "docno string, score double")
+    assert [r["line"] for r in ranking.qrel_lines(scored, "7", "me", 2).collect()] == ["7 me d0 2", "7 me d1 2"]
+
+
+def test_compatible_language_model_is_not_a_number_where_undefined(spark):
+    r = spark.range(1).select(ranking.jm_present(F.lit(2), F.lit(10), F.lit(2), F.lit(10), True).alias("a"), ranking.jm_absent(F.lit(10), F.lit(2), F.lit(10), True).alias("b")).first()
+    assert math.isnan(r["a"]) and math.isnan(r["b"])
+
+
+def test_borda_keeps_all_candidates(spark):
+    data = [(i, f"D{i}", "car " * (i + 1)) for i in range(6)]
+    idx = index.build_index(docs(spark, data), "doc_id", "docno", "text")
+    terms = spark.createDataFrame([("q", "car", 1)], "query_no string, term string, qtf bigint")
+    got = {r["doc_id"]: r["points"] for r in ranking.borda(idx, terms, ("okapi", "bm25"), most=3).collect()}
+    assert set(got) == set(range(6)) and sorted(got.values()) [:3] == [0, 0, 0] or sum(got.values()) == 12

@@ -106,7 +106,11 @@ def test_hits_norms_and_root(spark):
 def test_degrees_and_sinks(spark, rows):
     e = edges(spark, [("a", "b"), ("a", "c"), ("b", "c")])
     assert rows(graph.out_degree(e)) == [("a", 2), ("b", 1)] and rows(graph.sink_pages(e)) == [("c",)]
-    assert rows(graph.inlinks(e), "dst", "n", "sources") == [("b", 1, ["a"]), ("c", 2, ["a", "b"])]
+    assert rows(graph.inlinks(e)) == [("b", 1), ("c", 2)]
+    assert rows(graph.adjacency(e, "dst", "src")) == [("b", 0, ["a"]), ("c", 0, ["a", "b"])]
+    many = edges(spark, [("x", str(i)) for i in range(50)])
+    parts = graph.adjacency(many, most=10).collect()
+    assert len(parts) > 1 and sorted(n for p in parts for n in p["neighbours"]) == sorted(str(i) for i in range(50))
 
 
 @pytest.mark.parametrize("n", [0, 1, 57])
