@@ -31,6 +31,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n_per_group(ranking, ["queryno"], "projection", "docno", 5).select("queryno", "docno")
 
 
+_MEAN_RANKS = ", ".join(
+    f"rank() OVER (PARTITION BY queryno ORDER BY s{i}) + (count(*) OVER (PARTITION BY queryno, s{i}) - 1) / 2e0 AS r{i}" for i in range(len(SCORES))
+)
+#: Four scores that weigh alike, without the principal component: the mean of their mean ranks.
+SQL["p2_found"] = f"""
+WITH last AS (
+  SELECT queryno, docno, {", ".join(f"CASE WHEN {c} IS NULL OR isnan({c}) OR {c} = 0 THEN CAST('-infinity' AS DOUBLE) ELSE {c} END AS s{i}" for i, c in enumerate(SCORES))},
+         row_number() OVER (PARTITION BY queryno, docno ORDER BY scored_at DESC NULLS LAST, {", ".join(f"{c} DESC NULLS LAST" for c in SCORES)}) AS run
+  FROM data_matrix_with_queryno_docno
+), ranks AS (SELECT queryno, docno, count(*) OVER (PARTITION BY queryno) AS n, {_MEAN_RANKS} FROM last WHERE run = 1),
+placed AS (SELECT queryno, docno, row_number() OVER (PARTITION BY queryno ORDER BY round({" + ".join(f"r{i}" for i in range(len(SCORES)))}, 6) DESC, docno) AS place FROM ranks WHERE n >= 50)
+SELECT queryno, docno FROM placed WHERE place <= 5
+"""
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents of each query with the highest BM25 score."""
     rows = _latest_scores(spark, sf_dir, ["bm25_score"])
@@ -168,3 +183,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every page's text that belong to its article."""
     return pagetext.main_content(table(spark, sf_dir, "pages"), "page_id", "url", "text", "html_source", "title")
+
+
+SQL["p10_found"] = """
+WITH stretches AS (SELECT DISTINCT doc_id, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+shared AS (SELECT s FROM stretches GROUP BY s HAVING count(*) > 1)
+SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM stretches a JOIN shared USING (s) JOIN stretches b ON a.s = b.s AND a.doc_id < b.doc_id
+"""
