@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.stem import stem_dictionary
 from larkspur.functions.text import MODELS, STOP_WORDS, tokens
-from larkspur.session import cut
+from larkspur.session import cut, cut_buckets
 
 
 def positions(documents: DataFrame, ident: str, text: str, model: str = "no_stopwords", algorithm: str = "porter2") -> DataFrame:
@@ -123,17 +123,18 @@ class Index:
 def build_index(documents: DataFrame, ident: str, docno: str, text: str, model: str = "no_stopwords", avg_len_round: int | None = None, algorithm: str = "porter2") -> Index:
     """Builds the index once, to be read by any number of queries.
 
-    Postings are written in order of term and document, in ranges that split a common term, so that a query's terms read
-    only the parts that hold them. Documents' lengths travel with their postings, which saves queries a join.
+    Documents are dealt to buckets once; a bucket holds its documents' postings, in term order. All of a query's work on a document then
+    stays in its bucket, whatever terms it has in common, a common term is no hot key, and a query's terms read only the
+    parts of a bucket that hold them. Documents' lengths travel with their postings, which saves queries a join.
     """
     kept = tokens(F.col(text), model)
     base = documents.select(F.col(ident).alias("doc_id"), F.col(docno).alias("docno"), kept.alias("t"))
     docs = cut(base.select("doc_id", "docno", F.size("t").cast("bigint").alias("len")), "docs")
-    rows = base.select("doc_id", F.size("t").cast("bigint").alias("len"), F.posexplode("t").alias("pos", "term"))
+    rows = base.repartition("doc_id").select("doc_id", F.size("t").cast("bigint").alias("len"), F.posexplode("t").alias("pos", "term"))
     if MODELS[model]["stem"]:
         rows = rows.join(stem_dictionary(rows, "term", algorithm), "term").withColumn("term", F.col("stem")).drop("stem")
     found = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
-    written = cut(found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
+    written = cut_buckets(found, "doc_id", ["term", "doc_id"], "postings")
     terms = cut(written.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"), F.sum("len").alias("tlen")), "terms")
     stats = docs.agg(F.count("*").alias("d"), F.avg("len").alias("a")).first()
     avg = stats["a"]

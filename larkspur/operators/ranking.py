@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +65,11 @@ def jm_absent(length: Column, ttf: Column, tlen: Column, compat: bool = False) -
 
 
 def matches(index: Index, terms: DataFrame, positions: bool = False) -> DataFrame:
-    """Query terms joined with their postings and statistics; terms that no document holds fall out."""
-    known = terms.join(index.terms, "term")
+    """Query terms joined with their postings and statistics; terms that no document holds fall out.
+
+    The terms are written first: from a table's size Spark knows whether it may broadcast them, and then no posting moves.
+    """
+    known = cut(terms.join(index.terms, "term"), "known")
     columns = ["term", "doc_id", "tf", "len", *(["positions"] if positions else [])]
     return known.join(index.postings.select(*columns), "term")
 
@@ -106,19 +113,41 @@ def rank(index: Index, terms: DataFrame, model: str, most: int = RUN_LENGTH) ->
 def min_windows(index: Index, terms: DataFrame) -> DataFrame:
     """``query_no, doc_id, n_terms, len, min_window``: the smallest span (last position less first) that holds each matched query term once.
 
-    Documents with one matched term have none. Each document's occurrences are scanned once in order of position, keeping the last position of every term.
+    Documents with one matched term have none.
     """
     found = matches(index, terms, positions=True)
     per_doc = found.groupBy("query_no", "doc_id").agg(F.first("len").alias("len"), F.count("*").alias("n_terms"), F.collect_list("positions").alias("lists")).where("n_terms >= 2")
-    places = F.sort_array(F.flatten(F.transform("lists", lambda ps, t: F.transform(ps, lambda p: F.struct(p.alias("p"), t.alias("t"))))))
-    start = F.struct(F.transform("lists", lambda x: F.lit(-1)).alias("last"), F.lit(2147483647).alias("best"))
+    schema = f"query_no {terms.schema['query_no'].dataType.simpleString()}, doc_id bigint, n_terms bigint, len bigint, min_window int"
+    return per_doc.select("query_no", "doc_id", "n_terms", "len", "lists").mapInArrow(_window_runner, schema)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.transform(acc["last"], lambda v, i: F.when(i == x["t"], x["p"]).otherwise(v))
-        lowest = F.array_min(last)
-        return F.struct(last.alias("last"), F.when(lowest >= 0, F.least(acc["best"], x["p"] - lowest)).otherwise(acc["best"]).alias("best"))
+def _window_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array(smallest_windows(batch.column("lists")), pa.int32())
+        yield pa.record_batch({**{c: batch.column(c) for c in ("query_no", "doc_id", "n_terms", "len")}, "min_window": found})
 
-    return per_doc.select("query_no", "doc_id", "n_terms", "len", F.aggregate(places, start, step)["best"].alias("min_window"))
+
+def smallest_windows(lists: pa.ListArray) -> np.ndarray:
+    """The smallest covering span of each row's position lists, all rows of a batch at once.
+
+    Occurrences are ordered by row and position; for each list the last position so far is carried forward, and at every occurrence
+    from which all lists of its row have been met, the span reaches back to the least of those.
+    """
+    outer, inner, places = lists.offsets.to_numpy(), lists.values.offsets.to_numpy(), lists.values.values.to_numpy().astype(np.int64)
+    size = np.diff(outer)
+    row_of_list = np.repeat(np.arange(len(lists)), size)
+    list_no = np.arange(len(row_of_list)) - outer[:-1][row_of_list]
+    row, no = np.repeat(row_of_list, np.diff(inner)), np.repeat(list_no, np.diff(inner))
+    order = np.lexsort((places, row))
+    row, no, places = row[order], no[order], places[order]
+    floor = row * (int(places.max(initial=0)) + 1)
+    at = floor + places
+    least = at.copy()
+    for k in range(int(size.max(initial=0))):
+        last = np.maximum.accumulate(np.where(no == k, at, -1))
+        least = np.where(size[row] > k, np.minimum(least, last), least)
+    span = np.where(least >= floor, at - least, np.iinfo(np.int32).max)
+    return np.minimum.reduceat(span, np.flatnonzero(np.diff(row, prepend=-1))) if len(row) else np.zeros(0, dtype=np.int64)
 
 
 def proximity(index: Index, terms: DataFrame, most: int = RUN_LENGTH) -> DataFrame:
