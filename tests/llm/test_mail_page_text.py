@@ -26,9 +26,10 @@ def test_quotes_signatures_and_forwards(spark):
         "See below.\n\nFrom: A <a@b.example>\nSent: x\nTo: y\nSubject: z\n\nold body",
         "He wrote: never again.\nThanks, but the old plan was fine.\n-- this is only a dash --\nFrom: the depot To: the pier.",
         "<div>Hi there,</div>\n<div>&gt; quoted one</div>\r\n<div>&gt; quoted two</div>\n<p>text</p>",
+        "Ann wrote:\n<blockquote>old one\nold two</blockquote>\n<p>new</p>\n<blockquote>old three</blockquote>\n<blockquote>old four</blockquote>",
         None, "", " \n \n", "ok", "Buy now!\n\nTo be removed from our mailings click http://x.test/out?id=1",
     ]
-    assert own(spark, bodies) == {0: {1, 3}, 1: {5}, 2: {1}, 3: {1}, 4: {1, 2, 3, 4}, 5: {1, 4}, 9: {1}, 10: {1}}
+    assert own(spark, bodies) == {0: {1, 3}, 1: {5}, 2: {1}, 3: {1}, 4: {1, 2, 3, 4}, 5: {1, 4}, 6: {4}, 10: {1}, 11: {1}}
 
 
 def test_inherited_passages_however_wrapped(spark):
