@@ -129,13 +129,14 @@ AROUND = re.compile(
     r"(?:subscribe|sign up|log in|register) (?:to read|for our)\b|source\s*:\s*$)|\bstory continues below\b|\bmore stories this month\b|\bnever miss a story\b|\bof the week\s*:", re.I,
 )
 LEGAL = re.compile(r"^(?:copyright\b|©|\(c\) )|all rights reserved|\bcookies?\b.*\b(?:accept|settings|continuing|use)\b|not responsible for the content|no part of this site", re.I)
+NUMBER = re.compile(r"^[$€£+-]?\d")
 SENTENCE = re.compile(r"[.!?。！？…»]['\"”’»)]*$")
 #: Lines that stand on so large a part of all pages, or of a site's pages, belong to the sites. The first bounds how many there are.
 SHARE_OF_PAGES, SHARE_OF_SITE, SITE_PAGES = 0.004, 0.2, 3
 #: Characters from which a line of sentences counts as running text.
 RUNNING_CHARS = 60
 
-HEADLINE, LINKED, ENDS, RUNNING, NOTE, HEADING, TITLE, SITES = 1, 2, 4, 8, 16, 32, 64, 128
+HEADLINE, LINKED, ENDS, RUNNING, NOTE, HEADING, TITLE, SITES, DATA = 1, 2, 4, 8, 16, 32, 64, 128, 256
 
 
 def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[int, int, str, int, int, int, int]]:
@@ -165,6 +166,8 @@ def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[i
         ends = bool(SENTENCE.search(line))
         flags |= ENDS * ends | RUNNING * (ends and len(line) >= RUNNING_CHARS)
         flags |= NOTE * bool(len(line) <= LONGEST_FRAME_LINE and (BYLINE.match(line) or DATELINE.match(line) or COMMENT.search(line) or AROUND.search(line)))
+        numbers = [bool(NUMBER.match(w)) for w in line.split()] if len(line) < RUNNING_CHARS else []
+        flags |= DATA * bool(numbers and (2 * sum(numbers) >= len(numbers) or numbers[0] and len(numbers) <= 5))
         flags |= SITES * bool(LEGAL.search(line))
         flags |= TITLE * (len(line) > 8 and (name == line or name.startswith(line + " - ") or name.startswith(line + " | ")))
         out.append((number, line_print(line), block.path if block else "", block.section if block else -1, len(line), len(PUNCTUATION.findall(line)), flags))
@@ -202,19 +205,19 @@ def article_lines(lines: list[tuple], ratios: dict[str, float], furniture: set[i
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     threshold = max(mean - 0.5 * spread, 0.3 * max(values))
-    own = [x[1] in furniture or bool(x[6] & SITES) for x in lines]
+    own = [x[1] in furniture and not x[6] & DATA or bool(x[6] & SITES) for x in lines]  # counts and table rows recur with other numbers
     mass: dict[int, float] = {}
     for (_, _, _, section, chars, _, flags), value, site in zip(lines, values, own, strict=True):
         if value >= threshold and flags & RUNNING and not (flags & NOTE) and not site:
             mass[section] = mass.get(section, 0.0) + chars
     heads = [i for i, x in enumerate(lines) if x[6] & HEADLINE] or [i for i, x in enumerate(lines) if x[6] & TITLE]
-    if not mass:
+    if not mass and not any(x[6] & HEADLINE for x in lines):
         return []
-    main = max(mass, key=lambda s: mass[s])
-    if heads and mass.get(lines[heads[-1]][3], 0) >= 0.3 * mass[main]:
+    main = max(mass, key=lambda s: mass[s]) if mass else lines[heads[-1]][3]
+    if mass and heads and mass.get(lines[heads[-1]][3], 0) >= 0.3 * mass[main]:
         main = lines[heads[-1]][3]
     start = heads[-1] if heads else None
-    if start is None or not any(x[3] == main and x[6] & RUNNING for x in lines[start:]):
+    if mass and (start is None or not any(x[3] == main and x[6] & RUNNING for x in lines[start:])):
         start = next((i for i, x in enumerate(lines) if x[3] == main and x[6] & RUNNING and not own[i] and not x[6] & NOTE), None)
         if start is None:
             return []
@@ -245,7 +248,7 @@ def article_lines(lines: list[tuple], ratios: dict[str, float], furniture: set[i
                 continue
         kept.append(number)
         body = body or bool(flags & RUNNING) or chars > 20
-    return kept if body else []
+    return kept if body or len(kept) > 1 and lines[start][6] & HEADLINE else []
 
 
 _LINE = "array<struct<line_no:int,print:bigint,path:string,section:int,chars:int,marks:int,flags:int>>"
