@@ -362,8 +362,9 @@ def find_shared_spans(df: DataFrame, ident: str, text: str, length: int = 200, c
     )
     needed = shared.select("print").distinct()
     texts = rows.groupBy("print").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.max(F.length("text")).alias("length"))
-    held = rows.select("print", "text").join(needed, "print", "left_semi").dropDuplicates(["print"])
-    whole = cut(held, "texts")
+    # each text that is needed is read from its first record alone, by a key that no two records share
+    first = texts.join(needed, "print").select(F.col("first").alias("id"))
+    whole = cut(rows.join(first, "id", "left_semi").select("print", "text"), "texts")
     one = diagonals.join(whole.withColumnRenamed("print", "pa"), "pa").withColumn("ta", F.substring("text", F.col("from") + 1, F.col("size"))).drop("text")
     two = one.join(whole.withColumnRenamed("print", "pb"), "pb").withColumn("tb", F.substring("text", F.col("from") - F.col("diagonal") + 1, F.col("size")))
     matches = two.select("pa", "pb", "from", "diagonal", "ta", "tb").mapInArrow(_match_runner(length), "pa bigint, pb bigint, sa int, sb int, n int")
