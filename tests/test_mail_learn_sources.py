@@ -124,3 +124,13 @@ def test_merge_stream_inserts_once(spark, tmp_path, rows):
         fresh = spark.readStream.schema("url string, v int").parquet(str(tmp_path / "fresh"))
         incremental.merge_stream(fresh, str(tmp_path / "store"), "url", str(tmp_path / f"c{n}")).awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "store")), "url") == [("a",), ("b",)]
+
+
+def test_inlink_counts_by_window(spark, tmp_path, rows):
+    data = [("u", "1998-01-01 00:01:00"), ("u", "1998-01-01 00:02:00"), ("v", "1998-01-01 00:03:00"), ("u", "1998-01-01 05:00:00")]
+    df = spark.createDataFrame(data, "url string, t string")
+    df.select("url", F.col("t").cast("timestamp").alias("found_at")).coalesce(1).write.parquet(str(tmp_path / "links"))
+    links = spark.readStream.schema("url string, found_at timestamp").parquet(str(tmp_path / "links"))
+    q = incremental.inlink_counts(links).writeStream.outputMode("complete").format("memory").queryName("inlinks_by_window").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert rows(spark.table("inlinks_by_window"), "url", "n") == [("u", 1), ("u", 2), ("v", 1)]
