@@ -36,7 +36,7 @@ def test_inherited_passages_however_wrapped(spark):
     rng = random.Random(1)
     words = ["w" + str(rng.randint(0, 10**6)) for _ in range(60)]
     old = " ".join(words[:30])
-    reply = "A new line of mine.\n" + " ".join(words[5:15]) + "\n" + " ".join(words[15:28]) + "\nAnd one more new line."
+    reply = "A new line of mine, which says " + " ".join(words[30:45]) + ".\n" + " ".join(words[5:15]) + "\n" + " ".join(words[15:28]) + "\nAnd one more new line."
     bodies = [old, reply, reply, old]
     got = own(spark, bodies, {0: "Plan", 1: "RE: plan", 2: "other", 3: "Fwd: Plan"})
     assert got == {0: {1}, 1: {1, 4}, 2: {1, 2, 3, 4}, 3: {1}}  # another thread inherits nothing, a copy keeps its text
