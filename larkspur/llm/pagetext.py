@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,20 +259,29 @@ _LINE_ARROW = pa.list_(pa.struct([("line_no", pa.int32()), ("print", pa.int64())
 
 def _line_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("text", "html", "title")]
         for at in range(0, len(batch), 200):
-            rows = [[dict(zip(_LINE_FIELDS, x, strict=True)) for x in page_lines(t, h, n)] for t, h, n in zip(*(c[at : at + 200] for c in columns), strict=True)]
-            yield pa.record_batch({"id": batch.column("id").slice(at, 200), "site": batch.column("site").slice(at, 200), "lines": pa.array(rows, _LINE_ARROW)})
+            part = batch.slice(at, 200)
+            pages = [page_lines(t, h, n) for t, h, n in zip(*(part.column(c).to_pylist() for c in ("text", "html", "title")), strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in pages])])
+            fields = list(zip(*(line for x in pages for line in x), strict=True)) or [()] * len(_LINE_FIELDS)
+            kinds = [f.type for f in _LINE_ARROW.value_type]
+            lines = pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(fields, kinds, strict=True)], fields=list(_LINE_ARROW.value_type))
+            yield pa.record_batch({"id": part.column("id"), "site": part.column("site"), "lines": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lines)})
 
 
 def _article_runner(furniture):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everywhere = furniture.value
         for batch in batches:
-            out = []
-            for lines, ratios, own in zip(batch.column("lines").to_pylist(), batch.column("ratios").to_pylist(), batch.column("own").to_pylist(), strict=True):
-                ratio = {r["path"]: path_ratio(r["chars"], r["marks"], r["nodes"], r["linked"]) for r in ratios or ()}
-                out.append(article_lines([tuple(x[k] for k in _LINE_FIELDS) for x in lines], ratio, everywhere.union(own or ())))
+            held = batch.column("lines")
+            bounds = held.offsets.to_pylist()
+            rows = list(zip(*(held.values.field(i).to_pylist() for i in range(len(_LINE_FIELDS))), strict=True))
+            out, known = [], {}
+            for k, (site, ratios, own) in enumerate(zip(batch.column("site").to_pylist(), batch.column("ratios"), batch.column("own"), strict=True)):
+                if site not in known:
+                    ratio = {r["path"]: path_ratio(r["chars"], r["marks"], r["nodes"], r["linked"]) for r in ratios.as_py() or ()}
+                    known = {site: (ratio, everywhere.union(own.as_py() or ()))}
+                out.append(article_lines(rows[bounds[k] : bounds[k + 1]], *known[site]))
             yield pa.record_batch({"id": batch.column("id"), "own": pa.array(out, pa.list_(pa.int32()))})
 
     return run
@@ -309,6 +319,6 @@ def main_content(df: DataFrame, ident: str, url: str, text: str, source: str, ti
         .agg(F.sum("l.chars").alias("chars"), F.sum("l.marks").alias("marks"), F.count("*").alias("nodes"), F.sum(linked).alias("linked"))
         .groupBy("site").agg(F.collect_list(F.struct("path", "chars", "marks", "nodes", "linked")).alias("ratios"))
     )
-    whole = parsed.join(ratios, "site", "left").join(own, "site", "left").select("id", "lines", "ratios", "own")
+    whole = parsed.join(ratios, "site", "left").join(own, "site", "left").select("id", "site", "lines", "ratios", "own")
     found = whole.mapInArrow(_article_runner(furniture), "id bigint, own array<int>")
     return found.select(F.col("id").alias(ident), F.explode("own").alias("line_no"))
