@@ -241,11 +241,12 @@ def article_lines(lines: list[tuple], ratios: dict[str, float], furniture: set[i
             if main > 0 and section == main or after and after[6] & RUNNING and not own[i + 1] and not after[6] & NOTE and not own[i - 1]:
                 continue
             break
-        if flags & LINKED and not flags & ENDS:
+        if flags & LINKED and not flags & (ENDS | DATA):
             follows = lines[i + 1] if i + 1 < len(lines) else None
-            if flags & HEADING or (follows and follows[6] & LINKED and not follows[6] & ENDS):
+            bounded = main > 0 and section == main  # a section of its own holds no list of other stories
+            if not bounded and (flags & HEADING or (follows and follows[6] & LINKED and not follows[6] & ENDS)):
                 break
-            if chars > 30:
+            if chars > 30 and not (bounded and flags & HEADING):
                 continue
         kept.append(number)
         body = body or bool(flags & RUNNING) or chars > 20
