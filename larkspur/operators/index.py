@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.stem import stem_dictionary
-from larkspur.functions.text import MODELS, STOP_WORDS, tokens
+from larkspur.functions.text import MODELS, tokens
 from larkspur.session import cut, cut_buckets
 
 
@@ -154,11 +154,6 @@ def index_of(documents: DataFrame, key: str, model: str = "no_stopwords") -> Ind
     return _BUILT[name]
 
 
-def stop_word_rows(spark) -> DataFrame:
-    """The library's stop words as a table."""
-    return spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
-
-
 def ranked(scores: DataFrame, group: list[str], score: str, ties: list[str], most: int) -> DataFrame:
     """``rank`` from 1 by descending score within each group, up to ``most``; Spark drops what cannot qualify before its shuffle."""
     w = Window.partitionBy(*group).orderBy(F.col(score).desc_nulls_last(), *ties)

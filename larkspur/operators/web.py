@@ -9,10 +9,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.urls import canonical, canonical_url, host_key, twin_key, without_query
+from larkspur.functions.urls import canonical, canonical_url, host_key, twin_key
 from larkspur.session import cut
 
 
@@ -123,8 +123,6 @@ def placed(rows: DataFrame, order: list, name: str) -> DataFrame:
     The list of counts has one entry a partition.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from pyspark.sql import Window
-
     dealt = cut(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "dealt")
     before, total = {}, 0
     for r in sorted(dealt.groupBy("_p").count().collect()):
@@ -212,5 +210,3 @@ def crawl(seeds: DataFrame, url: str, fetch: Callable[[str], Page | None], rules
         whole = whole.unionByName(p)
     return whole
 
-
-__all__ = ["canonical_links", "crawl", "frontier_order", "html_pages", "insert_if_absent", "page_links", "robots_filter", "robots_table", "seed_hosts", "stripped_text", "without_query"]

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.graph import adjacency
-from larkspur.operators.mail import split_mail, subject_lines
+from larkspur.operators.mail import libsvm_lines, split_mail, subject_lines
+from larkspur.operators.ranking import run_lines
 
 
 def read_collection(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -48,8 +49,6 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
 
 def write_run(run: DataFrame, path: str, tag: str = "Exp") -> None:
     """A run as text, topics together and in rank order within each file."""
-    from larkspur.operators.ranking import run_lines
-
     run_lines(run.repartitionByRange("query_no", "rank").sortWithinPartitions("query_no", "rank"), tag).write.mode("overwrite").text(path)
 
 
@@ -134,8 +133,6 @@ def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_libsvm(matrix: DataFrame, path: str, label: str = "label", features: str = "features") -> None:
-    from larkspur.operators.mail import libsvm_lines
-
     libsvm_lines(matrix, label, features).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
