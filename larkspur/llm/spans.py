@@ -15,7 +15,7 @@ from larkspur.llm.hashing import mixed, paired, signed
 from larkspur.session import cut
 
 #: Characters of text whose symbols a task holds at once; a longer text is held alone.
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 100_000
 #: Occurrences of a key up to which they are compared two by two; those of more frequent keys meet by their whole stretches.
 COMPARED = 100
 #: Two groups of equal texts are spelt out as pairs up to so many; beyond, each text is paired with the other group's first.
@@ -185,8 +185,11 @@ def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
 
 
 def _joined_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All characters, each text followed by a separator of its own, and where each text begins and stops."""
-    parts, begin, stop, at = [], [], [], 0
+    """All characters, a separator of its own before and after each text, and where each text begins and stops.
+
+    A symbol that a text's edge decided has a separator among its deciding characters, so it is never taken for one that the text alone decided.
+    """
+    parts, begin, stop, at = [np.array([0x110000 + len(texts)], dtype=np.uint32)], [], [], 1
     for k, t in enumerate(texts):
         points = code_points(t)
         parts += [points, np.array([0x110000 + k], dtype=np.uint32)]

@@ -103,6 +103,19 @@ def test_equal_stretches_always_share_an_anchor(seed):
                 assert inside[0] & inside[1]
 
 
+def test_anchors_do_not_depend_on_the_block():
+    texts = [t for seed in range(4) for t in stories(random.Random(seed)) if len(t) >= 40]
+
+    def keys(block):
+        points, begin, stop = spans._joined_points(block)
+        key, start, end = spans.anchors(points, begin, stop, 40)
+        text = np.searchsorted(begin, start, side="right") - 1
+        return {(int(t), int(s - begin[t]), int(e - begin[t]), int(k)) for k, s, e, t in zip(key, start, end, text, strict=True)}
+
+    alone = {(i, *x[1:]) for i, t in enumerate(texts) for x in keys([t])}
+    assert alone == keys(texts)
+
+
 @pytest.mark.parametrize(("compared", "spelt_out", "block"), [(100, 10**6, 400_000), (1, 10**6, 700), (100, 5, 400_000)])
 def test_shared_spans_against_brute_force(spark, compared, spelt_out, block, monkeypatch):
     monkeypatch.setattr(spans, "BLOCK_CHARS", block)
