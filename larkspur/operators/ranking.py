@@ -165,8 +165,8 @@ def borda(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MODELS,
     for m in models:
         part = ranked(scores.select("query_no", "doc_id", m), ["query_no"], m, ["doc_id"], most).select("query_no", "doc_id", (F.lit(most + 1) - F.col("rank")).alias("p"))
         given = part if given is None else given.unionByName(part)
-    points = given.groupBy("query_no", "doc_id").agg(F.sum("p").alias("points"))
-    return scores.select("query_no", "doc_id").join(points, ["query_no", "doc_id"], "left").select("query_no", "doc_id", F.coalesce("points", F.lit(0)).cast("bigint").alias("points"))
+    every = scores.select("query_no", "doc_id", F.lit(0).alias("p")).unionByName(given)
+    return every.groupBy("query_no", "doc_id").agg(F.sum("p").alias("points"))
 
 
 def search(index: Index, text: str, n: int = RUN_LENGTH, model: str = "bm25", drop_first: int = 0) -> DataFrame:
