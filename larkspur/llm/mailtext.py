@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ from larkspur.session import cut
 INHERITED_WORDS = 15
 #: Words of the runs by which mails with a common passage meet; one is sampled from every passage of INHERITED_WORDS.
 SAMPLED_WORDS = 8
-#: Beyond this part of its words inherited, a mail is an edited copy of an earlier one, not an answer that quotes it.
-COPY_SHARE = 0.5
+#: A line is a mail's own beside an earlier one that holds less than this part of its words, in runs of so many; of a copy, a line of so few words may be replaced.
+HELD_SHARE, HELD_WORDS, REPLACED_WORDS = 0.25, 3, 4
 #: In so many mails a lonely marked line recurs that is no quotation, and a sender's ending that is no message.
 RECURRING_MARKED, RECURRING_ENDING = 5, 3
 
@@ -275,16 +275,28 @@ class SuffixAutomaton:
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words_by_line(body: str) -> tuple[list[str], list[int]]:
-    """The words of a body in order, quote marks and wrapping aside, and the line of each."""
+def words_of(lines: list[str], among: Iterable[int]) -> tuple[list[str], list[int]]:
+    """The words of the lines ``among`` in order, quote marks aside, and the line of each."""
     words, at = [], []
-    for i, line in enumerate(bare_lines(body)):
-        found = _WORD.findall(MARK.sub("", line).lower())
+    for i in among:
+        found = _WORD.findall(MARK.sub("", lines[i]).lower())
         words += found
         at += [i] * len(found)
     return words, at
 
 
+def words_by_line(body: str) -> tuple[list[str], list[int]]:
+    """The words of a body in order, quote marks and wrapping aside, and the line of each."""
+    lines = bare_lines(body)
+    return words_of(lines, range(len(lines)))
+
+
+def written_lines(lines: list[str]) -> list[int]:
+    """The non-blank lines (from 0) that no mark, introduction or header tells to be quoted."""
+    quoted, forwarded, _ = quoted_lines(lines, set())
+    return [i for i in range(forwarded) if lines[i].strip() and not quoted[i]]
+
+
 def sampled_runs(words: list[str], size: int = SAMPLED_WORDS, passage: int = INHERITED_WORDS) -> np.ndarray:
     """Hashes of runs of ``size`` words, of which every passage of ``passage`` words has one: the least of each window."""
     if len(words) < passage:
@@ -313,22 +325,92 @@ def _clue_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": pa.array(ids, pa.int64()), "kind": pa.array(kinds, pa.string()), "print": pa.array(prints, pa.int64())})
 
 
+def _unheld(lines: list[str], among: list[int], text: SuffixAutomaton) -> list[int]:
+    """Those of the lines ``among`` of whose words a text holds less than HELD_SHARE."""
+    words, at = words_of(lines, among)
+    total = np.bincount(at, minlength=len(lines)) if at else np.zeros(len(lines))
+    held = np.bincount(at, weights=text.inherited(words, HELD_WORDS), minlength=len(lines)) if at else total
+    return [i for i in among if total[i] and held[i] < HELD_SHARE * total[i]]
+
+
+def is_copy(lines: list[str], written: list[int], earlier: str) -> bool:
+    """Whether a mail of which the lines ``written`` are not marked as quoted repeats an earlier one, edits aside, and has no passage of its own beside it.
+
+    A passage is a line the earlier mail does not hold, unless it stands for a short line of that mail, or belongs to the signature and notices under the mail.
+    """
+    source = SuffixAutomaton()
+    source.add(words_by_line(earlier)[0])
+    new = set(_unheld(lines, written, source))
+    under = len(written)
+    while under and (written[under - 1] in new or not _WORD.search(lines[written[under - 1]])):
+        under -= 1
+    frame = next((i for i in written[under:] if any(p.search(lines[i]) for p in (DEVICE, NOTICE, RULE, CLOSING, CONTACT))), len(lines))
+    new = [i for i in sorted(new) if i < frame]
+    if not new:
+        return True
+    if any(len(_WORD.findall(lines[i])) > REPLACED_WORDS for i in new):
+        return False
+    back = SuffixAutomaton()
+    back.add(words_of(lines, written)[0])
+    theirs = bare_lines(earlier)
+    lost = [theirs[i].rstrip()[-1:] for i in _unheld(theirs, list(range(len(theirs))), back) if len(_WORD.findall(theirs[i])) <= REPLACED_WORDS]
+    for i in new:
+        end = lines[i].rstrip()[-1:]
+        same = next((k for k, x in enumerate(lost) if x == end or x.isalnum() and end.isalnum()), None)
+        if same is None:
+            return False
+        lost.pop(same)
+    return True
+
+
+def inherited_lines(body: str, earlier: list[str]) -> list[int]:
+    """The lines of a body (from 0) of whose words more than half are inherited from earlier mails, given in their order.
+
+    A copy inherits only what was there before the first mail it repeats. Inherited lines a mail begins with, which the earlier mails themselves have only as
+    quotations, stay: who wrote them is not known, and they stand here as the message.
+    """
+    lines = bare_lines(body)
+    words, at = words_by_line(body)
+    texts = [words_by_line(x)[0] for x in earlier]
+
+    def marked(parts: list[list[str]]) -> list[bool]:
+        automaton = SuffixAutomaton()
+        for part in parts:
+            automaton.add(part)
+        return automaton.inherited(words, INHERITED_WORDS)
+
+    def mostly(marks: list[bool]) -> list[int]:
+        total, held = np.bincount(at), np.bincount(at, weights=marks)
+        return np.flatnonzero((total > 0) & (held > total / 2)).tolist()
+
+    if not words or not any(marked(texts)):
+        return []
+    written = written_lines(lines)
+    first = next((k for k, x in enumerate(earlier) if is_copy(lines, written, x)), len(earlier))
+    found = mostly(marked(texts[:first])) if first else []
+    opening = []
+    for i in written:
+        if _WORD.search(lines[i]):
+            if i not in found:
+                break
+            opening.append(i)
+    if opening:
+        own = []
+        for x in earlier[:first]:
+            theirs = bare_lines(x)
+            own.append(words_of(theirs, written_lines(theirs))[0])
+        found = sorted(set(found) - (set(opening) - set(mostly(marked(own)))))
+    return found
+
+
 def _inherited_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, out = [], []
         for mail, body, earlier in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), batch.column("earlier").to_pylist(), strict=True):
-            automaton = SuffixAutomaton()
-            for text in earlier:
-                automaton.add(words_by_line(text)[0])
-            words, at = words_by_line(body)
-            marks = automaton.inherited(words, INHERITED_WORDS)
-            if not words or marks[0] or sum(marks) > COPY_SHARE * len(words):
-                continue  # an answer begins with words of its own
-            total, held = np.bincount(at), np.bincount(at, weights=marks)
-            found = np.flatnonzero((total > 0) & (held > total / 2))
-            if len(found):
+            found = inherited_lines(body, earlier)
+            if found:
                 ids.append(mail)
-                out.append(found.tolist())
+                out.append(found)
         yield pa.record_batch({"id": pa.array(ids, pa.int64()), "inherited": pa.array(out, pa.list_(pa.int64()))})
 
 
@@ -345,7 +427,7 @@ def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: st
     Quoted history goes by its marks and introductions, forwarded mail by its header, and, however it is wrapped, by what the
     mail inherits: words in a run of ``INHERITED_WORDS`` that an earlier mail of the thread (equal subject but for reply and forward prefixes) holds. A thread's mails meet by sampled
     runs of words, of which every such passage has one; each mail is then matched against the suffix automaton of the earlier mails it meets, so a thread of
-    any size is never one task. A mail that begins with inherited words, or inherits more than half of them, is an edited copy and keeps them. Closing, signature and notices are cut from the end,
+    any size is never one task. A mail that repeats an earlier one and has no passage of its own is an edited copy and keeps its words. Closing, signature and notices are cut from the end,
     as are the last lines that recur in several mails of a sender.
 
     Rows of one ``ident`` count once. Null, empty and blank bodies have no lines; a null subject is no thread and a null sender no sender;
@@ -368,9 +450,10 @@ def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: st
     order = F.struct(F.col("received").isNotNull(), "received", "id")
     runs = clues.where("kind = 'run'").select("id", "print").join(mails.select("id", "thread", order.alias("at")), "id")
     first = runs.groupBy("thread", "print").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    meets = runs.join(first, ["thread", "print"]).where(F.col("first") < F.col("at")).select("id", F.col("first.id").alias("source")).distinct()
+    meets = runs.join(first, ["thread", "print"]).where(F.col("first") < F.col("at")).select("id", F.col("first").alias("place"), F.col("first.id").alias("source")).distinct()
     texts = mails.select("id", "body")
-    earlier = meets.join(texts.select(F.col("id").alias("source"), F.col("body").alias("text")), "source").groupBy("id").agg(F.collect_list("text").alias("earlier"))
+    earlier = meets.join(texts.select(F.col("id").alias("source"), F.col("body").alias("text")), "source").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("earlier"))
+    earlier = earlier.withColumn("earlier", F.col("earlier.text"))
     inherited = earlier.join(texts, "id").select("id", "body", "earlier").mapInArrow(_inherited_runner, "id bigint, inherited array<bigint>")
     whole = texts.join(marks, "id", "left").join(inherited, "id", "left").join(endings, "id", "left").select("id", "body", "marks", "inherited", "endings")
     own = whole.mapInArrow(_own_runner, "id bigint, own array<int>")

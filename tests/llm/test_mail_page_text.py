@@ -42,6 +42,29 @@ def test_inherited_passages_however_wrapped(spark):
     assert got == {0: {1}, 1: {1, 4}, 2: {1, 2, 3, 4}, 3: {1}}  # another thread inherits nothing, a copy keeps its text
 
 
+def test_answers_to_unmarked_mails_of_any_share():
+    rng = random.Random(4)
+    words = ["w" + str(rng.randint(0, 10**6)) for _ in range(60)]
+    told = [" ".join(words[i : i + 10]) for i in range(0, 60, 10)]
+    old = "\n".join(["Hi all,", *told, "Ann"])
+    between = "A new line of mine.\n" + " ".join(words[5:15]) + "\n" + " ".join(words[15:28]) + "\nAnd one more new line."
+    assert mailtext.inherited_lines(between, [" ".join(words[:30])]) == [1, 2]
+    assert mailtext.inherited_lines("Yes.\n\n" + old, [old]) == list(range(2, 10))
+    assert mailtext.inherited_lines(old + "\n\nThat suits me well, come on Monday.", [old]) == list(range(8))
+    long_quote = "\n".join("> " + x for x in told)
+    other = " ".join("v" + str(i) for i in range(20))
+    assert set(mailtext.inherited_lines("Mine.\n" + long_quote + "\n" + other, [old, other])) == {1, 2, 3, 4, 5, 6, 7}
+    edited = old.replace("Hi", "Hello").replace(words[25], "x").replace("Ann", "Bea")
+    assert mailtext.inherited_lines(edited, [old]) == [] and mailtext.inherited_lines(old + "\n-- \nTo unsubscribe write to x@y.test", [old]) == []
+    assert mailtext.inherited_lines("Yes.\n\n" + old, [old, "Yes.\n\n" + old]) == list(range(2, 10))  # a copy of an answer
+
+
+def test_answer_below_an_unmarked_mail(spark):
+    rng = random.Random(5)
+    old = "\n".join(" ".join("w" + str(rng.randint(0, 10**6)) for _ in range(10)) for _ in range(4))
+    assert own(spark, [old, "Fine.\n\n" + old, old + "\n\nNo, not at all."], dict.fromkeys(range(3), "Plan")) == {0: {1, 2, 3, 4}, 1: {1}, 2: {6}}
+
+
 def test_recurring_marks_and_sender_endings(spark):
     bodies = [f"text number {i}\n> {i} units would be too many\nend {i * 'x'}.\nour motto is {i}" for i in range(5)] + ["plain\n\n> a lonely quotation here\n\nend."]
     got = own(spark, bodies, senders=dict.fromkeys(range(5), "s@x"))
