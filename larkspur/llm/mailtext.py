@@ -20,8 +20,12 @@ INHERITED_WORDS = 15
 SAMPLED_WORDS = 8
 #: A line is a mail's own beside an earlier one that holds less than this part of its words, in runs of so many; of a copy, a line of so few words may be replaced.
 HELD_SHARE, HELD_WORDS, REPLACED_WORDS = 0.25, 3, 4
-#: In so many mails a lonely marked line recurs that is no quotation, and a sender's ending that is no message.
-RECURRING_MARKED, RECURRING_ENDING = 5, 3
+#: In so many texts that are no copies of each other a lonely marked line recurs that is no quotation, and in so large a part of those that hold it.
+RECURRING_MARKED, LONELY_SHARE = 5, 0.5
+#: In so many mails a sender's ending recurs that is no message.
+RECURRING_ENDING = 3
+#: From so many words on a text has edited copies; those agree in the least of one of so many orders of their word triples.
+COPIED_WORDS, COPY_ORDERS = 20, 8
 
 # What mail programs and lists put around a message, in the languages the mailboxes hold.
 TAGS = re.compile(r"</?(?:div|p|br|span|b|i|u|em|strong|font|html|body|head|a|pre|blockquote|table|tr|td|ul|ol|li|hr)\b[^>]*>", re.I)
@@ -88,7 +92,7 @@ def quoted_lines(lines: list[str], recurring: set[int]) -> tuple[list[bool], int
     """Which lines are quoted or introduce a quotation; from which line on all is forwarded; the lonely marked lines.
 
     A run of marked lines is a quotation, with the introduction above it. A single marked line without introduction is one too,
-    unless the same words recur in mails all over the collection (``recurring``): then the mark is part of what was written.
+    unless the same words recur, mostly alone, in texts and threads all over the collection (``recurring``): then the mark is part of what was written.
     """
     n = len(lines)
     marked = [bool(MARK.match(x)) for x in lines]
@@ -309,20 +313,38 @@ def sampled_runs(words: list[str], size: int = SAMPLED_WORDS, passage: int = INH
     return np.unique(run[np.unique(window.argmin(axis=1) + np.arange(len(window)))])
 
 
+def copy_prints(words: list[str]) -> list[int]:
+    """COPY_ORDERS prints of a text, of which edited copies share some; other texts seldom share one."""
+    if len(words) < COPIED_WORDS:
+        return [xxhash.xxh64_intdigest(" ".join(words)) >> 1] * COPY_ORDERS
+    one = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    run = paired(paired(one[:-2], one[1:-1]), one[2:])
+    return [int(mixed(run ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min()) >> 1 for k in range(COPY_ORDERS)]
+
+
 def _clue_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, kinds, prints = [], [], []
+        ids, kinds, prints, texts = [], [], [], []
         for mail, body, threaded in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), batch.column("threaded").to_pylist(), strict=True):
             lines = bare_lines(body)
-            clues = {("mark", line_print(MARK.sub("", lines[i]))) for i in quoted_lines(lines, set())[2]}
-            clues |= {("end", p) for p in last_lines(body)}
+            lonely = quoted_lines(lines, set())[2]
+            words = words_of(lines, range(len(lines)))[0] if lonely or threaded else []
+            copies = copy_prints(words) if lonely else None
+            marked = {}
+            for i in lonely:
+                alone = not any(0 <= k < len(lines) and MARK.match(lines[k]) for k in (i - 1, i + 1))
+                p = line_print(MARK.sub("", lines[i]))
+                marked[p] = marked.get(p, True) and alone
+            clues = {("mark" if alone else "edge", p, True) for p, alone in marked.items()}
+            clues |= {("end", p, False) for p in last_lines(body)}
             if threaded:
-                clues |= {("run", int(p)) for p in signed(sampled_runs(words_by_line(body)[0]))}
-            for kind, p in clues:
+                clues |= {("run", int(p), False) for p in signed(sampled_runs(words))}
+            for kind, p, held in clues:
                 ids.append(mail)
                 kinds.append(kind)
                 prints.append(p)
-        yield pa.record_batch({"id": pa.array(ids, pa.int64()), "kind": pa.array(kinds, pa.string()), "print": pa.array(prints, pa.int64())})
+                texts.append(copies if held else None)
+        yield pa.record_batch({"id": pa.array(ids, pa.int64()), "kind": pa.array(kinds, pa.string()), "print": pa.array(prints, pa.int64()), "copies": pa.array(texts, pa.list_(pa.int64()))})
 
 
 def _unheld(lines: list[str], among: list[int], text: SuffixAutomaton) -> list[int]:
@@ -421,6 +443,19 @@ def _own_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": batch.column("id"), "own": pa.array(out, pa.list_(pa.int32()))})
 
 
+def recurring_marks(marked: DataFrame) -> DataFrame:
+    """``print`` of the marked lines that are part of what was written: lonely in most of the texts that hold them, and in enough texts.
+
+    Texts count once however many copies they have, and a thread once: of the orders of ``copies``, and the threads, the one with the fewest values counts.
+    """
+    orders = F.concat("copies", F.array(F.when(F.col("thread").isNull(), F.xxhash64("id")).otherwise(F.xxhash64("thread"))))
+    each = marked.select("print", (F.col("kind") == "mark").alias("alone"), F.posexplode(orders).alias("order", "value"))
+    each = each.groupBy("print", "order", "value").agg(F.max("alone").alias("alone"))
+    counts = each.groupBy("print", "order").agg(F.sum(F.col("alone").cast("int")).alias("alone"), F.count("*").alias("n"))
+    counts = counts.groupBy("print").agg(F.min("alone").alias("alone"), F.min(F.col("alone") / F.col("n")).alias("share"))
+    return counts.where((F.col("alone") >= RECURRING_MARKED) & (F.col("share") >= LONELY_SHARE)).select("print")
+
+
 def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: str, received: str) -> DataFrame:
     """``ident, line_no``: the non-blank lines (from 1) of each mail that its sender newly wrote.
 
@@ -440,10 +475,10 @@ def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: st
     mails = cut(rows.where(F.length(F.trim("body")) > 0).groupBy("id").agg(
         F.min(F.struct("received", "body", "sender", "thread")).alias("m")
     ).select("id", "m.*"), "mails")
-    clues = cut(mails.select("id", "body", F.col("thread").isNotNull().alias("threaded")).mapInArrow(_clue_runner, "id bigint, kind string, print bigint"), "clues")
-    marked = clues.where("kind = 'mark'").select("id", "print")
-    common = marked.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING_MARKED).select("print")
-    marks = marked.join(common, "print").groupBy("id").agg(F.collect_set("print").alias("marks"))
+    clues = cut(mails.select("id", "body", F.col("thread").isNotNull().alias("threaded")).mapInArrow(_clue_runner, "id bigint, kind string, print bigint, copies array<bigint>"), "clues")
+    marked = clues.where("kind in ('mark', 'edge')").join(mails.select("id", "thread"), "id")
+    common = recurring_marks(marked)
+    marks = marked.select("id", "print").join(common, "print").groupBy("id").agg(F.collect_set("print").alias("marks"))
     ended = clues.where("kind = 'end'").select("id", "print").join(mails.where(F.col("sender").isNotNull()).select("id", "sender"), "id")
     again = ended.groupBy("sender", "print").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING_ENDING).select("sender", "print")
     endings = ended.join(again, ["sender", "print"]).groupBy("id").agg(F.collect_set("print").alias("endings"))

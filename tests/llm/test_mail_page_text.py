@@ -71,6 +71,18 @@ def test_recurring_marks_and_sender_endings(spark):
     assert got == {**{i: {1, 2, 3} for i in range(5)}, 5: {1, 5}}
 
 
+def test_quotations_in_copies_and_hot_threads_are_no_recurring_marks(spark):
+    told = " ".join(f"word{i}" for i in range(40))
+    copy = f"{told}\n\n> the first quoted line here\n> the second quoted line here\n\n{told[::-1]}\n> one more quoted line\nend"
+    bodies = [copy.replace(f"word{3 * i} ", "x ") for i in range(6)]  # edited copies of one mail
+    assert own(spark, bodies) == {i: {1, 6, 8} for i in range(6)}
+    rng = random.Random(6)
+    bodies = [f"Answer {rng.random()} of mine.\n> shall we meet on the bridge\nNumber {i * 'y'} suits." for i in range(6)]
+    assert own(spark, bodies, dict.fromkeys(range(6), "Plan")) == {i: {1, 3} for i in range(6)}
+    edges = [f"Mine {rng.random()}.\n> some quoted line {i * 'z'}\n> which ends like this here\nWell {i * 'y'}." for i in range(6)]
+    assert own(spark, edges) == {i: {1, 4} for i in range(6)}
+
+
 def test_repeated_rows_count_once(spark):
     df = mails(spark, ["one\ntwo"])
     assert mailtext.newly_written(df.union(df), "mail_id", "body", "subject", "sender", "received_at").count() == 2
