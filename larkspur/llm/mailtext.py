@@ -22,8 +22,8 @@ SAMPLED_WORDS = 8
 HELD_SHARE, HELD_WORDS, REPLACED_WORDS = 0.25, 3, 4
 #: In so many texts that are no copies of each other a lonely marked line recurs that is no quotation, and in so large a part of those that hold it.
 RECURRING_MARKED, LONELY_SHARE = 5, 0.5
-#: In so many mails a sender's ending recurs that is no message.
-RECURRING_ENDING = 3
+#: In so many of a sender's mails that are no copies of each other an ending recurs that is no message, and in so large a part of them.
+RECURRING_ENDING, ENDING_SHARE = 3, 0.1
 #: From so many words on a text has edited copies; those agree in the least of one of so many orders of their word triples.
 COPIED_WORDS, COPY_ORDERS = 20, 8
 
@@ -191,8 +191,18 @@ def ending_from(lines: list[str], quoted: list[bool], stop: int) -> int:
     return stop
 
 
-def own_lines(body: str, recurring: set[int], inherited: set[int], endings: set[int]) -> list[int]:
-    """Numbers (from 1) of the non-blank lines the sender newly wrote."""
+def _before_names(lines: list[str], text: list[int], stop: int) -> int:
+    """Drops bare names, set off at the end, from ``text``; the line where the rest ends."""
+    while len(text) > 1:
+        last = text[-1]
+        if not (NAME.match(lines[last]) and not lines[last - 1].strip() and all(w[0].isupper() or lines[last].islower() for w in re.split(r"[ -]", lines[last].strip()))):
+            break
+        stop = text.pop()
+    return stop
+
+
+def own_lines(body: str, recurring: set[int], inherited: set[int], ending: int) -> list[int]:
+    """Numbers (from 1) of the non-blank lines the sender newly wrote; the last ``ending`` of them are one the sender uses again and again."""
     lines = bare_lines(body)
     quoted, forwarded, _ = quoted_lines(lines, recurring)
     for i in inherited:
@@ -200,19 +210,23 @@ def own_lines(body: str, recurring: set[int], inherited: set[int], endings: set[
             quoted[i] = True
     stop = ending_from(lines, quoted, forwarded)
     text = [i for i in range(stop) if lines[i].strip() and not quoted[i]]
-    while len(text) > 1:  # a bare name, set off at the end, or an ending the sender uses again and again
-        last = text[-1]
-        name = NAME.match(lines[last]) and not lines[last - 1].strip() and all(w[0].isupper() or lines[last].islower() for w in re.split(r"[ -]", lines[last].strip()))
-        if not (name or line_print(lines[last]) in endings):
-            break
+    stop = _before_names(lines, text, stop)
+    for _ in range(min(ending, len(text) - 1)):
         stop = text.pop()
+    stop = _before_names(lines, text, stop)
     return [i + 1 for i in range(stop) if lines[i].strip() and not quoted[i]]
 
 
-def last_lines(body: str, most: int = 4) -> list[int]:
-    """Prints of the last lines a sender wrote, the first line of a mail excepted."""
+def endings_of(body: str, recurring: set[int], inherited: set[int]) -> list[tuple[int, int, list[int]]]:
+    """For no line, the last line, the last two and so on of those a sender wrote, but the first: their number, their print, and the copy prints of the words before."""
     lines = bare_lines(body)
-    return [line_print(lines[i - 1]) for i in own_lines(body, set(), set(), set())[1:][-most:]]
+    text = [i - 1 for i in own_lines(body, recurring, inherited, 0)]
+    out = []
+    suffix = 0
+    for k in range(len(text), 0, -1):
+        out.append((len(text) - k, suffix, copy_prints(words_of(lines, text[:k])[0])))
+        suffix = xxhash.xxh64_intdigest(f"{suffix} {line_print(lines[text[k - 1]])}") >> 1
+    return out
 
 
 class SuffixAutomaton:
@@ -336,7 +350,6 @@ def _clue_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = line_print(MARK.sub("", lines[i]))
                 marked[p] = marked.get(p, True) and alone
             clues = {("mark" if alone else "edge", p, True) for p, alone in marked.items()}
-            clues |= {("end", p, False) for p in last_lines(body)}
             if threaded:
                 clues |= {("run", int(p), False) for p in signed(sampled_runs(words))}
             for kind, p, held in clues:
@@ -436,10 +449,24 @@ def _inherited_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.record_batch({"id": pa.array(ids, pa.int64()), "inherited": pa.array(out, pa.list_(pa.int64()))})
 
 
+def _ending_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, senders, depths, prints, texts = [], [], [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("id", "sender", "body", "marks", "inherited")]
+        for mail, sender, body, m, i in zip(*columns, strict=True):
+            for depth, suffix, copies in endings_of(body, set(m or ()), set(i or ())):
+                ids.append(mail)
+                senders.append(sender)
+                depths.append(depth)
+                prints.append(suffix)
+                texts.append(copies)
+        yield pa.record_batch({"id": pa.array(ids, pa.int64()), "sender": pa.array(senders, pa.string()), "depth": pa.array(depths, pa.int32()), "print": pa.array(prints, pa.int64()), "copies": pa.array(texts, pa.list_(pa.int64()))})
+
+
 def _own_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("body", "marks", "inherited", "endings")]
-        out = [own_lines(body, set(m or ()), set(i or ()), set(e or ())) for body, m, i, e in zip(*columns, strict=True)]
+        columns = [batch.column(c).to_pylist() for c in ("body", "marks", "inherited", "ending")]
+        out = [own_lines(body, set(m or ()), set(i or ()), e or 0) for body, m, i, e in zip(*columns, strict=True)]
         yield pa.record_batch({"id": batch.column("id"), "own": pa.array(out, pa.list_(pa.int32()))})
 
 
@@ -456,6 +483,16 @@ def recurring_marks(marked: DataFrame) -> DataFrame:
     return counts.where((F.col("alone") >= RECURRING_MARKED) & (F.col("share") >= LONELY_SHARE)).select("print")
 
 
+def recurring_endings(ended: DataFrame) -> DataFrame:
+    """``id, ending``: how many last lines of a mail its sender uses in enough mails, of which copies count once, and in a set part of them."""
+    often = ended.groupBy("sender", "print").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING_ENDING).drop("n")
+    each = ended.join(often, ["sender", "print"]).select("sender", "print", F.posexplode("copies").alias("order", "value")).distinct()
+    counts = each.groupBy("sender", "print", "order").agg(F.count("*").alias("n")).groupBy("sender", "print").agg(F.min("n").alias("n"))
+    total = counts.where("print = 0").select("sender", F.col("n").alias("all"))
+    again = counts.where(F.col("print") != 0).join(total, "sender").where((F.col("n") >= RECURRING_ENDING) & (F.col("n") >= ENDING_SHARE * F.col("all")))
+    return ended.join(again.select("sender", "print"), ["sender", "print"]).groupBy("id").agg(F.max("depth").alias("ending"))
+
+
 def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: str, received: str) -> DataFrame:
     """``ident, line_no``: the non-blank lines (from 1) of each mail that its sender newly wrote.
 
@@ -463,7 +500,7 @@ def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: st
     mail inherits: words in a run of ``INHERITED_WORDS`` that an earlier mail of the thread (equal subject but for reply and forward prefixes) holds. A thread's mails meet by sampled
     runs of words, of which every such passage has one; each mail is then matched against the suffix automaton of the earlier mails it meets, so a thread of
     any size is never one task. A mail that repeats an earlier one and has no passage of its own is an edited copy and keeps its words. Closing, signature and notices are cut from the end,
-    as are the last lines that recur in several mails of a sender.
+    as are the last lines that several mails of a sender have in common, however many, copies counting once.
 
     Rows of one ``ident`` count once. Null, empty and blank bodies have no lines; a null subject is no thread and a null sender no sender;
     a null date counts as earliest, and ``ident`` breaks ties; other columns are ignored.
@@ -479,9 +516,6 @@ def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: st
     marked = clues.where("kind in ('mark', 'edge')").join(mails.select("id", "thread"), "id")
     common = recurring_marks(marked)
     marks = marked.select("id", "print").join(common, "print").groupBy("id").agg(F.collect_set("print").alias("marks"))
-    ended = clues.where("kind = 'end'").select("id", "print").join(mails.where(F.col("sender").isNotNull()).select("id", "sender"), "id")
-    again = ended.groupBy("sender", "print").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING_ENDING).select("sender", "print")
-    endings = ended.join(again, ["sender", "print"]).groupBy("id").agg(F.collect_set("print").alias("endings"))
     order = F.struct(F.col("received").isNotNull(), "received", "id")
     runs = clues.where("kind = 'run'").select("id", "print").join(mails.select("id", "thread", order.alias("at")), "id")
     first = runs.groupBy("thread", "print").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -490,6 +524,11 @@ def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: st
     earlier = meets.join(texts.select(F.col("id").alias("source"), F.col("body").alias("text")), "source").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("earlier"))
     earlier = earlier.withColumn("earlier", F.col("earlier.text"))
     inherited = earlier.join(texts, "id").select("id", "body", "earlier").mapInArrow(_inherited_runner, "id bigint, inherited array<bigint>")
-    whole = texts.join(marks, "id", "left").join(inherited, "id", "left").join(endings, "id", "left").select("id", "body", "marks", "inherited", "endings")
+    known = cut(mails.select("id").join(marks, "id", "left").join(inherited, "id", "left"), "known")
+    whole = texts.join(known, "id")
+    busy = mails.groupBy("sender").agg(F.count("*").alias("n")).where((F.col("n") >= RECURRING_ENDING) & F.col("sender").isNotNull()).select("sender")
+    sent = mails.select("id", "sender", "body").join(busy, "sender").join(known, "id")
+    ended = cut(sent.mapInArrow(_ending_runner, "id bigint, sender string, depth int, print bigint, copies array<bigint>"), "ended")
+    whole = whole.join(recurring_endings(ended), "id", "left").select("id", "body", "marks", "inherited", "ending")
     own = whole.mapInArrow(_own_runner, "id bigint, own array<int>")
     return own.select(F.col("id").cast(df.schema[ident].dataType).alias(ident), F.explode("own").alias("line_no"))

@@ -83,6 +83,21 @@ def test_quotations_in_copies_and_hot_threads_are_no_recurring_marks(spark):
     assert own(spark, edges) == {i: {1, 4} for i in range(6)}
 
 
+def test_endings_of_copies_hot_senders_and_long_signatures(spark):
+    rng = random.Random(7)
+
+    def text():
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(25))
+
+    copy = "\n".join(text() + "." for _ in range(5))
+    assert own(spark, [copy, copy, copy.replace("a", "k", 2)], senders=dict.fromkeys(range(3), "s@x")) == {i: {1, 2, 3, 4, 5} for i in range(3)}
+    hot = [text() + ".\n" + ("Please let me know." if i < 3 else text() + ".") for i in range(40)]
+    df = spark.createDataFrame([(i, b, None, "s@x", None) for i, b in enumerate(hot)], "mail_id int, body string, subject string, sender string, received_at timestamp")
+    assert mailtext.newly_written(df, "mail_id", "body", "subject", "sender", "received_at").count() == 80
+    signature = "\n".join(f"the {x} line of my signature, always here." for x in "first second third fourth fifth sixth".split())
+    assert own(spark, [text() + ".\n" + signature for _ in range(4)], senders=dict.fromkeys(range(4), "s@x")) == {i: {1} for i in range(4)}
+
+
 def test_repeated_rows_count_once(spark):
     df = mails(spark, ["one\ntwo"])
     assert mailtext.newly_written(df.union(df), "mail_id", "body", "subject", "sender", "received_at").count() == 2
