@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +133,7 @@ AROUND = re.compile(
 LEGAL = re.compile(r"^(?:copyright\b|©|\(c\) )|all rights reserved|\bcookies?\b.*\b(?:accept|settings|continuing|use)\b|not responsible for the content|no part of this site", re.I)
 NUMBER = re.compile(r"^[$€£+-]?\d")
 SENTENCE = re.compile(r"[.!?。！？…»]['\"”’»)]*$")
-#: Lines that stand on so large a part of all pages, or of a site's pages, belong to the sites. The first bounds how many there are.
+#: Lines that stand in so large a part of all articles, or of a site's, belong to the sites; pages with one article count once. The first bounds how many there are.
 SHARE_OF_PAGES, SHARE_OF_SITE, SITE_PAGES = 0.004, 0.2, 3
 #: Characters from which a line of sentences counts as running text.
 RUNNING_CHARS = 60
@@ -175,6 +176,15 @@ def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[i
     return out
 
 
+def article_print(lines: list[tuple]) -> int:
+    """A print of a page's headline and longest line of running text, which copies of an article share; without a headline, of all its lines."""
+    heads = [x[1] for x in lines if x[6] & HEADLINE] or [x[1] for x in lines if x[6] & TITLE]
+    running = max((x for x in lines if x[6] & RUNNING), key=lambda x: (x[4], x[1]), default=None)
+    if heads and running:
+        return xxhash.xxh64_intdigest(f"{heads[-1]} {running[1]}") >> 1
+    return xxhash.xxh64_intdigest(" ".join(str(x[1]) for x in lines)) >> 1
+
+
 def path_ratio(chars: float, marks: float, nodes: float, linked: float) -> float:
     """A path's fused ratio: characters a node times punctuation a node, less the part that is linked."""
     return math.sqrt((chars / nodes) * (marks / nodes + 0.1)) * (1 - linked / max(chars, 1))
@@ -267,7 +277,7 @@ def _line_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fields = list(zip(*(line for x in pages for line in x), strict=True)) or [()] * len(_LINE_FIELDS)
             kinds = [f.type for f in _LINE_ARROW.value_type]
             lines = pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(fields, kinds, strict=True)], fields=list(_LINE_ARROW.value_type))
-            yield pa.record_batch({"id": part.column("id"), "site": part.column("site"), "lines": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lines)})
+            yield pa.record_batch({"id": part.column("id"), "site": part.column("site"), "article": pa.array([article_print(x) for x in pages], pa.int64()), "lines": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lines)})
 
 
 def _article_runner(furniture):
@@ -292,8 +302,8 @@ def main_content(df: DataFrame, ident: str, url: str, text: str, source: str, ti
     """``ident, line_no``: the non-blank lines (from 1) of each page's text that belong to its article.
 
     Lines are matched to the page's mark-up. Per site, the length and punctuation of text are summed for each root-to-leaf tag path; a path's ratio
-    of both, less what is linked, is smoothed along the page and a threshold on it selects the content's section. Lines that stand on a set share of all
-    pages, or of a site's, are the sites' own; of the former there are at most lines a page / share, so they are broadcast, the latter are joined by site.
+    of both, less what is linked, is smoothed along the page and a threshold on it selects the content's section. Lines that stand in a set share of all
+    articles, or of a site's, are the sites' own (pages of one article, under several addresses or on several sites, count once); of the former there are at most lines an article / share, so they are broadcast, the latter are joined by site.
 
     Rows of one ``ident`` count once. A page with null text has no lines; one with null, cut or invalid mark-up is read by its text as far as the mark-up
     fails; a null title or url only lacks what it would tell; an empty table gives no rows; other columns are ignored.
@@ -302,16 +312,15 @@ def main_content(df: DataFrame, ident: str, url: str, text: str, source: str, ti
         F.col(ident).cast("bigint").alias("id"), F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("site"),
         F.col(text).alias("text"), F.col(source).alias("html"), F.col(title).alias("title"),
     ).where(F.col("text").isNotNull())
-    parsed = cut(rows.mapInArrow(_line_runner, f"id bigint, site string, lines {_LINE}").dropDuplicates(["id"]), "pages")
-    pages = parsed.count()
-    each = parsed.select("id", "site", F.explode("lines").alias("l"))
-    prints = each.select("site", "id", F.col("l.print").alias("print")).distinct().groupBy("site", "print").agg(F.count("*").alias("n"))
-    prints = cut(prints, "prints")
-    often = prints.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= max(float(SITE_PAGES), SHARE_OF_PAGES * pages))
+    parsed = cut(rows.mapInArrow(_line_runner, f"id bigint, site string, article bigint, lines {_LINE}").dropDuplicates(["id"]), "pages")
+    articles = parsed.select("article").distinct().count()
+    each = parsed.select("site", "article", F.explode("lines").alias("l"))
+    prints = cut(each.select("site", "article", F.col("l.print").alias("print")).distinct(), "prints")
+    often = prints.select("article", "print").distinct().groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= max(float(SITE_PAGES), SHARE_OF_PAGES * articles))
     furniture = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in often.select("print").toLocalIterator()))
-    sizes = parsed.groupBy("site").agg(F.count("*").alias("pages"))
+    sizes = parsed.select("site", "article").distinct().groupBy("site").agg(F.count("*").alias("articles"))
     own = (
-        prints.where(F.col("n") >= SITE_PAGES).join(sizes, "site").where(F.col("n") >= SHARE_OF_SITE * F.col("pages"))
+        prints.groupBy("site", "print").agg(F.count("*").alias("n")).where(F.col("n") >= SITE_PAGES).join(sizes, "site").where(F.col("n") >= SHARE_OF_SITE * F.col("articles"))
         .groupBy("site").agg(F.collect_set("print").alias("own"))
     )
     linked = F.when(F.col("l.flags").bitwiseAND(LINKED) != 0, F.col("l.chars")).otherwise(0)

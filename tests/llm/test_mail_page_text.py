@@ -168,6 +168,19 @@ def test_article_of_pages(spark):
     assert got[24] == want[4] and got[23] == want[2] and not {20, 21, 22} & set(got)
 
 
+def test_copies_of_an_article_are_no_furniture(spark):
+    pages, want = [], {}
+    for i in range(12):
+        k = 0 if i < 6 else i  # six addresses of one article, on two hosts
+        title = f"Bridge {'abcdefghijkl'[k] * 4} opens"
+        body = [f"<p>{LONG} {w} of {'abcdefghijkl'[k] * 5}.</p>" for w in SEASONS[:4]]
+        source = page(title, body)
+        text = lines_of(source)
+        pages.append((i, f"http://h{i % 2}.example/{i}", text, source, title + " - Site", "x"))
+        want[i] = {n for n, line in enumerate(text.split("\n"), 1) if line.startswith(("Bridge", LONG[:20]))}
+    assert found(spark, pages) == want
+
+
 def test_blocks_of_broken_markup():
     texts = [b.text for b in pagetext.page_blocks("<ul><li>a<li><b>b</b> c</ul><!-- x --><script>1<2</script>d<br>e &amp; f<p>g<p>h <a href='x'>link</a><unknown>i</p><div")]
     assert texts[:5] == ["a", "b c", "d", "e & f", "g"] and "link" in " ".join(texts)
