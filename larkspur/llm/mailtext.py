@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.hashing import mixed, paired, signed
+from larkspur.llm.hashing import line_print, mixed, paired, signed
 from larkspur.session import cut
 
 #: Words a passage must share with an earlier mail of the thread to count as inherited.
@@ -24,18 +26,20 @@ HELD_SHARE, HELD_WORDS, REPLACED_WORDS = 0.25, 3, 4
 RECURRING_MARKED, LONELY_SHARE = 5, 0.5
 #: In so many of a sender's mails that are no copies of each other an ending recurs that is no message, and in so large a part of them.
 RECURRING_ENDING, ENDING_SHARE = 3, 0.1
+#: Characters of the mails of a thread that one automaton takes; a larger thread is dealt to parts.
+PART_CHARS = 1_000_000
 #: From so many words on a text has edited copies; those agree in the least of one of so many orders of their word triples.
 COPIED_WORDS, COPY_ORDERS = 20, 8
 
 # What mail programs and lists put around a message, in the languages the mailboxes hold.
-TAGS = re.compile(r"</?(?:div|p|br|span|b|i|u|em|strong|font|html|body|head|a|pre|blockquote|table|tr|td|ul|ol|li|hr)\b[^>]*>", re.I)
+TAGS = re.compile(r"</?(?:div|p|br|span|b|i|u|em|strong|font|html|body|head|a|pre|blockquote|table|tr|td|ul|ol|li|hr)\b[^<>]*>", re.I)
 MARK = re.compile(r"^\s*(?:[A-Za-z]{0,3}>|[|:](?=\s|$|>))")
 INTRO_END = re.compile(r"(?:\bwrote|\bwrites|\byou said|\ba écrit|\bescribió|\bschreibt|\bscrive|\bha scritto)\s*:\s*$", re.I)
-INTRO_SCHRIEB = re.compile(r"^\s*am\b.*\d.*\bschrieb\b.*:\s*$", re.I)
+INTRO_SCHRIEB = re.compile(r"^\s*am\b.{0,80}\d.{0,80}\bschrieb\b.{0,80}:\s*$", re.I)
 INTRO_DATE = re.compile(r"^\s*(?:on|am|le|el|il)\s+\S+\s+\d{1,2}\s+\S+\s+\d{4}.*$", re.I)
 DIVIDER = re.compile(
-    r"^\s*(?:-{2,}\s*(?:original|forwarded|weitergeleitete|message|ursprüngliche|mensaje|original-nachricht)\b.*-{2,}|begin forwarded message\s*:|"
-    r"\*{3,}\s*reply to\b.*\*{3,})\s*$", re.I,
+    r"^\s*(?:-{2,}\s*(?:original|forwarded|weitergeleitete|message|ursprüngliche|mensaje|original-nachricht)\b.{0,80}-{2,}|begin forwarded message\s*:|"
+    r"\*{3,}\s*reply to\b.{0,80}\*{3,})\s*$", re.I,
 )
 HEADER = re.compile(r"^\s*(?:from|von|de|sent|date|gesendet|datum|envoyé|enviado|fecha|to|an|à|para|cc|subject|betreff|objet|asunto)\s*:\s?", re.I)
 FIRST_HEADER = re.compile(r"^\s*(?:from|von|de)\s*:\s?", re.I)
@@ -46,19 +50,23 @@ CLOSING = re.compile(
 )
 DEVICE = re.compile(r"^\s*(?:--\s*)?(?:sent (?:from|with|via)\b|gesendet (?:von|mit)\b|envoyé (?:de|depuis)\b|enviado (?:desde|con)\b)", re.I)
 NOTICE = re.compile(
-    r"\bunsubscribe\b.*(?:http|write|@|list)|^\s*unsubscribe\s*:|\bremove me\s*:|removed from (?:our|this)\b.*\b(?:mailings?|list)\b|mailing list\b.*@|\bgroups links\s*:|posting guide\s*:|you (?:receive|are receiving) this\b|"
-    r"confidentiality notice|confidential and\b.*\bmeant|this message and its attachments|not the intended recipient|views expressed (?:above|in this)|nachricht ist vertraulich|"
+    r"\bunsubscribe\b.{0,200}(?:http|write|@|list)|^\s*unsubscribe\s*:|\bremove me\s*:|removed from (?:our|this)\b.{0,200}\b(?:mailings?|list)\b|mailing list\b.{0,200}@|\bgroups links\s*:|posting guide\s*:|you (?:receive|are receiving) this\b|"
+    r"confidentiality notice|confidential and\b.{0,200}\bmeant|this message and its attachments|not the intended recipient|views expressed (?:above|in this)|nachricht ist vertraulich|"
     r"\bce message est confidentiel|este mensaje es confidencial", re.I,
 )
-CONTACT = re.compile(r"^\s*(?:tel\.?|phone|fax|mobile?)\b.*\d|^\s*(?:https?://|www\.)\S+\s*$|^\s*\S+@\S+\.\S+\s*$|^\s*(?:office|dept\.?|department) of \S+(?: \S+)?\s*$", re.I)
+CONTACT = re.compile(r"^\s*(?:tel\.?|phone|fax|mobile?)\b.*\d|^\s*(?:https?://|www\.)\S+\s*$|^\s*\S{1,100}@\S{1,100}\.\S{1,100}\s*$|^\s*(?:office|dept\.?|department) of \S+(?: \S+)?\s*$", re.I)
 NAME = re.compile(r"^\s*[^\W\d_]+(?:[ -][^\W\d_]+){0,2}\s*$")
 
-#: A longer line is running text: it is no introduction, header, closing, contact or notice.
-LONGEST_FRAME_LINE = 600
+#: Characters with which a line begins that is a rule, a divider or a header, and words with which a dated introduction begins.
+RULED, HEADED, DATED = frozenset("-_*=~#bB"), frozenset("fFvVdD"), ("on ", "am ", "le ", "el ", "il ")
 
 
 def bare_lines(body: str) -> list[str]:
     """The lines of a body (ends at line feeds) without mark-up of their own, blanks collapsed; what a quotation element holds gets a quote mark."""
+    if "<" not in body:
+        if "&" in body:
+            body = unescaped(body)
+        return [" ".join(x.split()) for x in body.split("\n")]
     out = []
     depth = 0
     for line in body.split("\n"):
@@ -72,14 +80,21 @@ def bare_lines(body: str) -> list[str]:
         elif depth and line.strip():
             line = "> " + line
         if "&" in line:
-            line = line.replace("&gt;", ">").replace("&lt;", "<").replace("&nbsp;", " ").replace("&amp;", "&")
+            line = unescaped(line)
         out.append(" ".join(line.split()))
     return out
 
 
-def line_print(line: str) -> int:
-    """A print of a line that ignores case, spacing and the digits of numbers."""
-    return xxhash.xxh64_intdigest(re.sub(r"\d+", "#", " ".join(line.lower().split()))) >> 1
+def unescaped(text: str) -> str:
+    return text.replace("&gt;", ">").replace("&lt;", "<").replace("&nbsp;", " ").replace("&amp;", "&")
+
+
+def is_marked(line: str) -> bool:
+    return (">" in line or line[:1] in ("|", ":")) and MARK.match(line) is not None
+
+
+def unmarked(line: str) -> str:
+    return MARK.sub("", line) if ">" in line or line[:1] in ("|", ":") else line
 
 
 def _next_text(lines: list[str], i: int) -> int:
@@ -88,36 +103,44 @@ def _next_text(lines: list[str], i: int) -> int:
     return i
 
 
-def quoted_lines(lines: list[str], recurring: set[int]) -> tuple[list[bool], int, list[int]]:
+def _introduces(line: str) -> bool:
+    """Whether a line says that someone wrote what follows."""
+    if line[-1:] != ":" or not (INTRO_END.search(line) or INTRO_SCHRIEB.match(line)):
+        return False
+    if re.match(r"^\s*(?:he|she|they|you|we|i|on \w+ (?:he|she|they|i|we|you))\s+(?:wrote|writes)", line, re.I):
+        return False
+    return bool(re.search(r"\d|@|<", line) or line[:1].isalpha() and NAME.match(re.sub(r"\s*(?:wrote|writes|schreibt)\s*:\s*$", "", line, flags=re.I)))
+
+
+def _dated(line: str) -> bool:
+    return line[:3].lower() in DATED and INTRO_DATE.match(line) is not None
+
+
+def quoted_lines(lines: list[str]) -> tuple[list[bool], int, list[int]]:
     """Which lines are quoted or introduce a quotation; from which line on all is forwarded; the lonely marked lines.
 
-    A run of marked lines is a quotation, with the introduction above it. A single marked line without introduction is one too,
-    unless the same words recur, mostly alone, in texts and threads all over the collection (``recurring``): then the mark is part of what was written.
+    A run of marked lines is a quotation, with the introduction above it. A single marked line without introduction is lonely and counts as one too, until
+    it turns out that the same words recur, mostly alone, in texts and threads all over the collection: then the mark is part of what was written.
+    So may be the edges of a longer run, which are told apart in the same way.
     """
     n = len(lines)
-    marked = [bool(MARK.match(x)) for x in lines]
-    quoted = [False] * n
+    marked = [is_marked(x) for x in lines]
+    quoted = list(marked)
     lonely: list[int] = []
     introduced = [False] * n
-    for i in range(n):
-        if marked[i] or len(lines[i]) > LONGEST_FRAME_LINE:
+    for i, line in enumerate(lines):
+        if not line or marked[i]:
             continue
-        line = lines[i]
-        ends = INTRO_END.search(line) or INTRO_SCHRIEB.match(line)
-        dated = INTRO_DATE.match(line)
-        own = bool(ends and (re.search(r"\d|@|<", line) or NAME.match(re.sub(r"\s*(?:wrote|writes|schreibt)\s*:\s*$", "", line, flags=re.I)) and line[:1].isalpha()))
-        if own and re.match(r"^\s*(?:he|she|they|you|we|i|on \w+ (?:he|she|they|i|we|you))\s+(?:wrote|writes)", line, re.I):
-            own = False
-        if own:
+        if _introduces(line):
             following = _next_text(lines, i + 1)
             if following < n and marked[following]:
                 quoted[i] = introduced[following] = True
                 before = i - 1
-                if before >= 0 and INTRO_DATE.match(lines[before]) and not marked[before] and not INTRO_DATE.match(line):
+                if before >= 0 and not marked[before] and _dated(lines[before]) and not _dated(line):
                     quoted[before] = True
-            elif following < n and dated:
+            elif following < n and _dated(line):
                 quoted[i] = True
-        elif dated and len(line) < 80:
+        elif _dated(line):
             following = _next_text(lines, i + 1)
             if following < n and INTRO_END.search(lines[following]):
                 quoted[i] = True
@@ -129,65 +152,45 @@ def quoted_lines(lines: list[str], recurring: set[int]) -> tuple[list[bool], int
         j = i
         while j < n and marked[j]:
             j += 1
-        if j - i > 1 or introduced[i]:
-            for k in range(i, j):
-                quoted[k] = True
-        else:
+        if j - i > 1:
+            lonely += [k for k in (i, j - 1) if not introduced[k] and len(unmarked(lines[k]).split()) >= 3]
+        elif not introduced[i]:
             lonely.append(i)
-            if line_print(MARK.sub("", lines[i])) not in recurring:
-                quoted[i] = True
-        if j - i > 1:  # a longer run may hold a recurring line at its edge
-            for k in (i, j - 1):
-                if introduced[k] or len(MARK.sub("", lines[k]).split()) < 3:
-                    continue
-                lonely.append(k)
-                if line_print(MARK.sub("", lines[k])) in recurring:
-                    quoted[k] = False
         i = j
     forwarded = n
-    for i in range(n):
-        if marked[i] or len(lines[i]) > LONGEST_FRAME_LINE:
+    for i, line in enumerate(lines):
+        head = line[:1]
+        if marked[i] or head not in RULED and head not in HEADED:
             continue
         at = i
-        if DIVIDER.match(lines[i]) or (RULE.match(lines[i]) and i + 1 < n and FIRST_HEADER.match(lines[i + 1])):
+        divides = head in RULED and DIVIDER.match(line) is not None
+        if divides or (head in RULED and i + 1 < n and RULE.match(line) and FIRST_HEADER.match(lines[i + 1])):
             at = _next_text(lines, i + 1)
-            if DIVIDER.match(lines[i]) and at >= n:
-                forwarded = i
-                break
-        if at < n and FIRST_HEADER.match(lines[at]) and sum(1 for x in lines[at : at + 5] if HEADER.match(x)) >= 3:
-            forwarded = i
-            break
-        if DIVIDER.match(lines[i]):
+        if divides or at < n and FIRST_HEADER.match(lines[at]) and sum(1 for x in lines[at : at + 5] if HEADER.match(x)) >= 3:
             forwarded = i
             break
     return quoted, forwarded, lonely
 
 
+def _signs(line: str) -> bool:
+    """Whether a line is a name, a contact, a rule, a device's or a notice."""
+    return any(p.match(line) for p in (NAME, CONTACT, DEVICE, RULE)) or NOTICE.search(line) is not None
+
+
 def ending_from(lines: list[str], quoted: list[bool], stop: int) -> int:
     """The line where the sender's closing, signature or the notices begin, ``stop`` if there is none."""
-    text = [i for i in range(stop) if lines[i].strip() and not quoted[i]]
-    if not text:
-        return stop
-    lines = [x if len(x) <= LONGEST_FRAME_LINE else "." for x in lines]
+    text = [i for i in range(stop) if lines[i] and not quoted[i]]
     for place, i in enumerate(text):
         line = lines[i]
         rest = text[place + 1 :]
-        if DEVICE.match(line) or NOTICE.search(line) and place:
+        if DEVICE.match(line) or place and NOTICE.search(line):
+            return i
+        if CLOSING.match(line) and (place or rest) and (not rest or any(p.match(lines[rest[0]]) for p in (NAME, RULE, DEVICE, CONTACT))):
             return i
-        if CLOSING.match(line) and (place or len(text) > 1) and len(rest) <= 40:
-            if not rest or NAME.match(lines[rest[0]]) or RULE.match(lines[rest[0]]) or DEVICE.match(lines[rest[0]]) or CONTACT.match(lines[rest[0]]):
-                return i
-        if RULE.match(line) and rest and (place or len(rest) <= 6):
-            after = lines[rest[0]]
-            if NAME.match(after) or CONTACT.match(after) or NOTICE.search(after) or DEVICE.match(after) or RULE.match(after):
-                return i
-        if RULE.match(line) and not rest:
+        if line[0] in RULED and RULE.match(line) and (not rest or _signs(lines[rest[0]]) and (place or all(_signs(lines[k]) for k in rest))):
             return i
-        if CONTACT.match(line) and place and all(CONTACT.match(lines[k]) or NAME.match(lines[k]) or RULE.match(lines[k]) or NOTICE.search(lines[k]) or DEVICE.match(lines[k]) for k in rest):
-            at = i
-            if place and NAME.match(lines[text[place - 1]]) and place > 1:
-                at = text[place - 1]
-            return at
+        if place and CONTACT.match(line) and all(_signs(lines[k]) for k in rest):
+            return text[place - 1] if place > 1 and NAME.match(lines[text[place - 1]]) else i
     return stop
 
 
@@ -201,31 +204,71 @@ def _before_names(lines: list[str], text: list[int], stop: int) -> int:
     return stop
 
 
-def own_lines(body: str, recurring: set[int], inherited: set[int], ending: int) -> list[int]:
-    """Numbers (from 1) of the non-blank lines the sender newly wrote; the last ``ending`` of them are one the sender uses again and again."""
-    lines = bare_lines(body)
-    quoted, forwarded, _ = quoted_lines(lines, recurring)
-    for i in inherited:
-        if i < len(quoted):
+@dataclass
+class Mail:
+    """A mail's bare lines, which of them are marked as quoted, and where what is forwarded begins."""
+
+    lines: list[str]
+    quoted: list[bool]
+    forwarded: int
+    _words: tuple[list[str], list[int]] | None = None
+
+    @classmethod
+    def of(cls, body: str) -> Mail:
+        lines = bare_lines(body)
+        return cls(lines, *quoted_lines(lines)[:2])
+
+    @classmethod
+    def read(cls, text: str, quoted: list[int], forwarded: int) -> Mail:
+        """A mail from its bare lines, the numbers (from 0) of the quoted ones, and the line where what is forwarded begins."""
+        lines = text.split("\n")
+        flags = [False] * len(lines)
+        for i in quoted:
+            flags[i] = True
+        return cls(lines, flags, forwarded)
+
+    @property
+    def words(self) -> list[str]:
+        """The words in order, quote marks and wrapping aside."""
+        return self._placed()[0]
+
+    @property
+    def line_of(self) -> list[int]:
+        return self._placed()[1]
+
+    def _placed(self) -> tuple[list[str], list[int]]:
+        if self._words is None:
+            self._words = words_of(self.lines, range(len(self.lines)))
+        return self._words
+
+    def written(self) -> list[int]:
+        """The non-blank lines (from 0) that no mark, introduction or header tells to be quoted."""
+        return [i for i in range(self.forwarded) if self.lines[i] and not self.quoted[i]]
+
+    def own(self, inherited: Iterable[int] = (), ending: int = 0) -> list[int]:
+        """Numbers (from 1) of the non-blank lines the sender newly wrote; the last ``ending`` of them are one the sender uses again and again."""
+        quoted = list(self.quoted)
+        for i in inherited:
             quoted[i] = True
-    stop = ending_from(lines, quoted, forwarded)
-    text = [i for i in range(stop) if lines[i].strip() and not quoted[i]]
-    stop = _before_names(lines, text, stop)
-    for _ in range(min(ending, len(text) - 1)):
-        stop = text.pop()
-    stop = _before_names(lines, text, stop)
-    return [i + 1 for i in range(stop) if lines[i].strip() and not quoted[i]]
+        stop = ending_from(self.lines, quoted, self.forwarded)
+        text = [i for i in range(stop) if self.lines[i] and not quoted[i]]
+        stop = _before_names(self.lines, text, stop)
+        for _ in range(min(ending, len(text) - 1)):
+            stop = text.pop()
+        _before_names(self.lines, text, stop)
+        return [i + 1 for i in text]
 
 
-def endings_of(body: str, recurring: set[int], inherited: set[int]) -> list[tuple[int, int, list[int]]]:
+def endings_of(mail: Mail, inherited: Iterable[int] = ()) -> list[tuple[int, int, list[int]]]:
     """For no line, the last line, the last two and so on of those a sender wrote, but the first: their number, their print, and the copy prints of the words before."""
-    lines = bare_lines(body)
-    text = [i - 1 for i in own_lines(body, recurring, inherited, 0)]
+    text = [i - 1 for i in mail.own(inherited)]
+    words, at = words_of(mail.lines, text)
+    before = copy_prints_of_prefixes(words, np.searchsorted(at, text, side="right").tolist()) if words else [[0] * COPY_ORDERS] * len(text)
     out = []
     suffix = 0
     for k in range(len(text), 0, -1):
-        out.append((len(text) - k, suffix, copy_prints(words_of(lines, text[:k])[0])))
-        suffix = xxhash.xxh64_intdigest(f"{suffix} {line_print(lines[text[k - 1]])}") >> 1
+        out.append((len(text) - k, suffix, before[k - 1]))
+        suffix = xxhash.xxh64_intdigest(f"{suffix} {line_print(mail.lines[text[k - 1]])}") >> 1
     return out
 
 
@@ -297,85 +340,139 @@ def words_of(lines: list[str], among: Iterable[int]) -> tuple[list[str], list[in
     """The words of the lines ``among`` in order, quote marks aside, and the line of each."""
     words, at = [], []
     for i in among:
-        found = _WORD.findall(MARK.sub("", lines[i]).lower())
+        found = _WORD.findall(unmarked(lines[i]).lower())
         words += found
         at += [i] * len(found)
     return words, at
 
 
-def words_by_line(body: str) -> tuple[list[str], list[int]]:
-    """The words of a body in order, quote marks and wrapping aside, and the line of each."""
-    lines = bare_lines(body)
-    return words_of(lines, range(len(lines)))
+def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of several texts, and the number of its text."""
+    known: dict[str, int] = {}
+    for t in texts:
+        for w in t:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+    size = [len(t) for t in texts]
+    return np.fromiter((known[w] for t in texts for w in t), np.uint64, sum(size)), np.repeat(np.arange(len(texts)), size)
 
 
-def written_lines(lines: list[str]) -> list[int]:
-    """The non-blank lines (from 0) that no mark, introduction or header tells to be quoted."""
-    quoted, forwarded, _ = quoted_lines(lines, set())
-    return [i for i in range(forwarded) if lines[i].strip() and not quoted[i]]
+def run_hashes(one: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    out = one[: max(len(one) - size + 1, 0)].copy()
+    for k in range(1, size):
+        out = paired(out, one[k : k + len(out)])
+    return out
 
 
-def sampled_runs(words: list[str], size: int = SAMPLED_WORDS, passage: int = INHERITED_WORDS) -> np.ndarray:
-    """Hashes of runs of ``size`` words, of which every passage of ``passage`` words has one: the least of each window."""
-    if len(words) < passage:
+def sampled_runs(texts: list[list[str]], size: int = SAMPLED_WORDS, passage: int = INHERITED_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of ``size`` words, of which every passage of ``passage`` words has one, the least of its window; and the number of the text of each."""
+    one, text = word_hashes(texts)
+    if len(one) < passage:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    run = run_hashes(one, size)
+    window = np.lib.stride_tricks.sliding_window_view(run, passage - size + 1)
+    start = np.flatnonzero(text[: len(window)] == text[passage - 1 :])
+    at = np.unique(window[start].argmin(axis=1) + start)
+    order = np.lexsort((run[at], text[at]))
+    run, text = run[at][order], text[at][order]
+    new = np.ones(len(run), dtype=bool)
+    new[1:] = (run[1:] != run[:-1]) | (text[1:] != text[:-1])
+    return run[new], text[new]
+
+
+def passages_around(words: list[str], runs: set[int], size: int = SAMPLED_WORDS, passage: int = INHERITED_WORDS) -> np.ndarray:
+    """Hashes of all passages of ``passage`` words that hold one of the ``runs`` whole."""
+    one, _ = word_hashes([words])
+    if len(one) < passage:
         return np.zeros(0, dtype=np.uint64)
-    one = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    run = one[: len(one) - size + 1].copy()
-    for k in range(1, size):
-        run = paired(run, one[k : len(one) - size + 1 + k])
-    window = np.lib.stride_tricks.sliding_window_view(mixed(run), passage - size + 1)
-    return np.unique(run[np.unique(window.argmin(axis=1) + np.arange(len(window)))])
+    held = np.isin(run_hashes(one, size), np.fromiter(runs, np.int64, len(runs)).view(np.uint64))
+    some = np.lib.stride_tricks.sliding_window_view(held, passage - size + 1).any(axis=1)
+    return np.unique(run_hashes(one, passage)[some])
 
 
-def copy_prints(words: list[str]) -> list[int]:
-    """COPY_ORDERS prints of a text, of which edited copies share some; other texts seldom share one."""
-    if len(words) < COPIED_WORDS:
-        return [xxhash.xxh64_intdigest(" ".join(words)) >> 1] * COPY_ORDERS
-    one = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    run = paired(paired(one[:-2], one[1:-1]), one[2:])
-    return [int(mixed(run ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min()) >> 1 for k in range(COPY_ORDERS)]
+def copy_prints_of_prefixes(words: list[str], sizes: list[int]) -> list[list[int]]:
+    """COPY_ORDERS prints of the first words of a text, for several numbers of words; edited copies share some prints, other texts seldom share one."""
+    one, _ = word_hashes([words])
+    run = run_hashes(one, 3)
+    least = [np.minimum.accumulate(mixed(run ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))) for k in range(COPY_ORDERS)] if len(run) else []
+    out = []
+    for n in sizes:
+        if n < COPIED_WORDS:
+            out.append([xxhash.xxh64_intdigest(" ".join(words[:n])) >> 1] * COPY_ORDERS)
+        else:
+            out.append([int(x[n - 3]) >> 1 for x in least])
+    return out
 
 
-def _clue_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def copy_prints(words: list[str]) -> list[int]:
+    """The same of a whole text."""
+    return copy_prints_of_prefixes(words, [len(words)])[0]
+
+
+_PARSED = "id bigint, text string, quoted array<int>, forwarded int, runs array<bigint>, lonely array<struct<line:int,print:bigint,alone:boolean>>, copies array<bigint>"
+_LONELY = pa.list_(pa.struct([("line", pa.int32()), ("print", pa.int64()), ("alone", pa.bool_())]))
+
+
+def _parse_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every mail is read once: what later steps need of it are columns."""
+    for whole in batches:
+        for start in range(0, len(whole), 1000):
+            batch = whole.slice(start, 1000)
+            threaded = batch.column("thread").is_valid().to_pylist()
+            texts, quotes, ends, lonelies, copies, words = [], [], [], [], [], []
+            for body, t in zip(batch.column("body").to_pylist(), threaded, strict=True):
+                lines = bare_lines(body)
+                quoted, forwarded, lonely = quoted_lines(lines)
+                texts.append("\n".join(lines))
+                quotes.append([i for i, q in enumerate(quoted) if q])
+                ends.append(forwarded)
+                found = _WORD.findall("\n".join(map(unmarked, lines)).lower()) if t or lonely else []
+                words.append(found if t else [])
+                alone = {i: not any(0 <= k < len(lines) and is_marked(lines[k]) for k in (i - 1, i + 1)) for i in lonely}
+                lonelies.append([{"line": i, "print": line_print(unmarked(lines[i])), "alone": alone[i]} for i in lonely])
+                copies.append(copy_prints(found) if lonely else None)
+            run, text = sampled_runs(words)
+            bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+            yield pa.record_batch({
+                "id": batch.column("id"), "text": pa.array(texts, pa.string()), "quoted": pa.array(quotes, pa.list_(pa.int32())), "forwarded": pa.array(ends, pa.int32()),
+                "runs": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(run), pa.int64())), "lonely": pa.array(lonelies, _LONELY), "copies": pa.array(copies, pa.list_(pa.int64())), **{c: batch.column(c) for c in ("received", "sender", "thread")},
+            })
+
+
+def _passage_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, kinds, prints, texts = [], [], [], []
-        for mail, body, threaded in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), batch.column("threaded").to_pylist(), strict=True):
-            lines = bare_lines(body)
-            lonely = quoted_lines(lines, set())[2]
-            words = words_of(lines, range(len(lines)))[0] if lonely or threaded else []
-            copies = copy_prints(words) if lonely else None
-            marked = {}
-            for i in lonely:
-                alone = not any(0 <= k < len(lines) and MARK.match(lines[k]) for k in (i - 1, i + 1))
-                p = line_print(MARK.sub("", lines[i]))
-                marked[p] = marked.get(p, True) and alone
-            clues = {("mark" if alone else "edge", p, True) for p, alone in marked.items()}
-            if threaded:
-                clues |= {("run", int(p), False) for p in signed(sampled_runs(words))}
-            for kind, p, held in clues:
-                ids.append(mail)
-                kinds.append(kind)
-                prints.append(p)
-                texts.append(copies if held else None)
-        yield pa.record_batch({"id": pa.array(ids, pa.int64()), "kind": pa.array(kinds, pa.string()), "print": pa.array(prints, pa.int64()), "copies": pa.array(texts, pa.list_(pa.int64()))})
-
-
-def _unheld(lines: list[str], among: list[int], text: SuffixAutomaton) -> list[int]:
-    """Those of the lines ``among`` of whose words a text holds less than HELD_SHARE."""
+        ids, prints = [], []
+        for mail, text, runs in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            lines = text.split("\n")
+            found = passages_around(words_of(lines, range(len(lines)))[0], set(runs))
+            prints.append(signed(found))
+            ids.append(np.full(len(found), mail, dtype=np.int64))
+        yield pa.record_batch({"id": pa.array(np.concatenate(ids) if ids else [], pa.int64()), "passage": pa.array(np.concatenate(prints) if prints else [], pa.int64())})
+
+
+def _triples(words: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(*(words[k:] for k in range(HELD_WORDS)), strict=False))
+
+
+def _unheld(lines: list[str], among: list[int], triples: set[tuple[str, ...]]) -> list[int]:
+    """Those of the lines ``among`` of whose words less than HELD_SHARE stand in runs of HELD_WORDS of a text, given as ``triples``."""
     words, at = words_of(lines, among)
-    total = np.bincount(at, minlength=len(lines)) if at else np.zeros(len(lines))
-    held = np.bincount(at, weights=text.inherited(words, HELD_WORDS), minlength=len(lines)) if at else total
-    return [i for i in among if total[i] and held[i] < HELD_SHARE * total[i]]
+    held = [False] * len(words)
+    for i, run in enumerate(zip(*(words[k:] for k in range(HELD_WORDS)), strict=False)):
+        if run in triples:
+            held[i : i + HELD_WORDS] = [True] * HELD_WORDS
+    total, part = Counter(at), Counter(i for i, h in zip(at, held, strict=True) if h)
+    return [i for i in among if total[i] and part[i] < HELD_SHARE * total[i]]
 
 
-def is_copy(lines: list[str], written: list[int], earlier: str) -> bool:
-    """Whether a mail of which the lines ``written`` are not marked as quoted repeats an earlier one, edits aside, and has no passage of its own beside it.
+def is_copy(mail: Mail, earlier: Mail) -> bool:
+    """Whether a mail, what is marked in it as quoted aside, repeats an earlier one, edits aside, and has no passage of its own beside it.
 
     A passage is a line the earlier mail does not hold, unless it stands for a short line of that mail, or belongs to the signature and notices under the mail.
     """
-    source = SuffixAutomaton()
-    source.add(words_by_line(earlier)[0])
-    new = set(_unheld(lines, written, source))
+    lines, written = mail.lines, mail.written()
+    new = set(_unheld(lines, written, _triples(earlier.words)))
     under = len(written)
     while under and (written[under - 1] in new or not _WORD.search(lines[written[under - 1]])):
         under -= 1
@@ -385,9 +482,8 @@ def is_copy(lines: list[str], written: list[int], earlier: str) -> bool:
         return True
     if any(len(_WORD.findall(lines[i])) > REPLACED_WORDS for i in new):
         return False
-    back = SuffixAutomaton()
-    back.add(words_of(lines, written)[0])
-    theirs = bare_lines(earlier)
+    theirs = earlier.lines
+    back = _triples(words_of(lines, written)[0])
     lost = [theirs[i].rstrip()[-1:] for i in _unheld(theirs, list(range(len(theirs))), back) if len(_WORD.findall(theirs[i])) <= REPLACED_WORDS]
     for i in new:
         end = lines[i].rstrip()[-1:]
@@ -398,64 +494,79 @@ def is_copy(lines: list[str], written: list[int], earlier: str) -> bool:
     return True
 
 
-def inherited_lines(body: str, earlier: list[str]) -> list[int]:
-    """The lines of a body (from 0) of whose words more than half are inherited from earlier mails, given in their order.
+def _mostly(at: list[int], marks: list[bool]) -> list[int]:
+    """The lines of whose words more than half are marked."""
+    total, held = np.bincount(at), np.bincount(at, weights=marks)
+    return np.flatnonzero((total > 0) & (held > total / 2)).tolist()
 
-    A copy inherits only what was there before the first mail it repeats. Inherited lines a mail begins with, which the earlier mails themselves have only as
-    quotations, stay: who wrote them is not known, and they stand here as the message.
-    """
-    lines = bare_lines(body)
-    words, at = words_by_line(body)
-    texts = [words_by_line(x)[0] for x in earlier]
 
-    def marked(parts: list[list[str]]) -> list[bool]:
-        automaton = SuffixAutomaton()
-        for part in parts:
-            automaton.add(part)
-        return automaton.inherited(words, INHERITED_WORDS)
+def _marked(mail: Mail, parts: Iterable[list[str]]) -> list[int]:
+    automaton = SuffixAutomaton()
+    for part in parts:
+        automaton.add(part)
+    return _mostly(mail.line_of, automaton.inherited(mail.words, INHERITED_WORDS))
 
-    def mostly(marks: list[bool]) -> list[int]:
-        total, held = np.bincount(at), np.bincount(at, weights=marks)
-        return np.flatnonzero((total > 0) & (held > total / 2)).tolist()
 
-    if not words or not any(marked(texts)):
+def inherited_lines(mail: Mail, thread: SuffixAutomaton, earlier: list[Mail]) -> list[int]:
+    """The lines of a mail (from 0) of whose words more than half are inherited from earlier mails, whose words ``thread`` holds.
+
+    ``earlier`` are those with which the mail has a passage in common, in their order. A copy inherits only what was there before the first mail it repeats. Inherited lines a
+    mail begins with, which the earlier mails themselves have only as quotations, stay: who wrote them is not known, and they stand here as the message.
+    """
+    if not mail.words or not earlier:
+        return []
+    marks = thread.inherited(mail.words, INHERITED_WORDS)
+    if not any(marks):
         return []
-    written = written_lines(lines)
-    first = next((k for k, x in enumerate(earlier) if is_copy(lines, written, x)), len(earlier))
-    found = mostly(marked(texts[:first])) if first else []
+    first = next((k for k, x in enumerate(earlier) if is_copy(mail, x)), len(earlier))
+    if not first:
+        return []
+    found = _mostly(mail.line_of, marks) if first == len(earlier) else _marked(mail, (x.words for x in earlier[:first]))
     opening = []
-    for i in written:
-        if _WORD.search(lines[i]):
+    for i in mail.written():
+        if _WORD.search(mail.lines[i]):
             if i not in found:
                 break
             opening.append(i)
     if opening:
-        own = []
-        for x in earlier[:first]:
-            theirs = bare_lines(x)
-            own.append(words_of(theirs, written_lines(theirs))[0])
-        found = sorted(set(found) - (set(opening) - set(mostly(marked(own)))))
+        known = _marked(mail, (words_of(x.lines, x.written())[0] for x in earlier[:first]))
+        found = sorted(set(found) - (set(opening) - set(known)))
     return found
 
 
-def _inherited_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _thread_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive by thread and part, in the order of time: each part has one automaton, against which its mails are matched before they are added to it."""
+    thread = part = None
+    automaton, held = SuffixAutomaton(), {}
     for batch in batches:
         ids, out = [], []
-        for mail, body, earlier in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), batch.column("earlier").to_pylist(), strict=True):
-            found = inherited_lines(body, earlier)
-            if found:
-                ids.append(mail)
-                out.append(found)
-        yield pa.record_batch({"id": pa.array(ids, pa.int64()), "inherited": pa.array(out, pa.list_(pa.int64()))})
+        for row in batch.to_pylist():
+            if (row["thread"], row["part"]) != (thread, part):
+                thread, part = row["thread"], row["part"]
+                automaton, held = SuffixAutomaton(), {}
+            mail = Mail.read(row["text"], row["quoted"], row["forwarded"])
+            if row["sources"]:
+                found = inherited_lines(mail, automaton, [x for _, x in sorted((held[k] for k in set(row["sources"])), key=lambda x: x[0])])
+                if found:
+                    ids.append(row["id"])
+                    out.append(found)
+            if row["source"]:
+                automaton.add(mail.words)
+                held[row["id"]] = len(held), mail
+        yield pa.record_batch({"id": pa.array(ids, pa.int64()), "inherited": pa.array(out, pa.list_(pa.int32()))})
+
+
+def _mails_of(batch: pa.RecordBatch) -> Iterator[Mail]:
+    for text, quoted, forwarded, alone in zip(*(batch.column(c).to_pylist() for c in ("text", "quoted", "forwarded", "unquoted")), strict=True):
+        yield Mail.read(text, sorted(set(quoted) - set(alone)) if alone else quoted, forwarded)
 
 
 def _ending_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, senders, depths, prints, texts = [], [], [], [], []
-        columns = [batch.column(c).to_pylist() for c in ("id", "sender", "body", "marks", "inherited")]
-        for mail, sender, body, m, i in zip(*columns, strict=True):
-            for depth, suffix, copies in endings_of(body, set(m or ()), set(i or ())):
-                ids.append(mail)
+        for mail, ident, sender, inherited in zip(_mails_of(batch), *(batch.column(c).to_pylist() for c in ("id", "sender", "inherited")), strict=True):
+            for depth, suffix, copies in endings_of(mail, inherited or ()):
+                ids.append(ident)
                 senders.append(sender)
                 depths.append(depth)
                 prints.append(suffix)
@@ -465,8 +576,8 @@ def _ending_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _own_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("body", "marks", "inherited", "ending")]
-        out = [own_lines(body, set(m or ()), set(i or ()), e or 0) for body, m, i, e in zip(*columns, strict=True)]
+        columns = [batch.column(c).to_pylist() for c in ("inherited", "ending")]
+        out = [mail.own(i or (), e or 0) for mail, i, e in zip(_mails_of(batch), *columns, strict=True)]
         yield pa.record_batch({"id": batch.column("id"), "own": pa.array(out, pa.list_(pa.int32()))})
 
 
@@ -476,7 +587,7 @@ def recurring_marks(marked: DataFrame) -> DataFrame:
     Texts count once however many copies they have, and a thread once: of the orders of ``copies``, and the threads, the one with the fewest values counts.
     """
     orders = F.concat("copies", F.array(F.when(F.col("thread").isNull(), F.xxhash64("id")).otherwise(F.xxhash64("thread"))))
-    each = marked.select("print", (F.col("kind") == "mark").alias("alone"), F.posexplode(orders).alias("order", "value"))
+    each = marked.select("print", "alone", F.posexplode(orders).alias("order", "value"))
     each = each.groupBy("print", "order", "value").agg(F.max("alone").alias("alone"))
     counts = each.groupBy("print", "order").agg(F.sum(F.col("alone").cast("int")).alias("alone"), F.count("*").alias("n"))
     counts = counts.groupBy("print").agg(F.min("alone").alias("alone"), F.min(F.col("alone") / F.col("n")).alias("share"))
@@ -493,13 +604,39 @@ def recurring_endings(ended: DataFrame) -> DataFrame:
     return ended.join(again.select("sender", "print"), ["sender", "print"]).groupBy("id").agg(F.max("depth").alias("ending"))
 
 
+def inherited_in_threads(mails: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """``id, inherited``: the lines (from 0) of the mails that stand in an earlier mail of their thread.
+
+    Mails of a thread that hold a sampled run in common are candidates; of those, every passage of INHERITED_WORDS around such a run leads to the first mail that holds the
+    whole passage, so no inherited passage is missed, whoever holds the run alone. A thread's candidates share one automaton; those of a thread of more than ``part_chars`` characters are
+    dealt to parts, each with the first holders its mails need.
+    """
+    runs = mails.where(F.col("thread").isNotNull()).select("id", F.explode("runs").alias("run"), F.xxhash64("thread", "run").alias("key"))
+    again = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    candidates = runs.join(again, "key").groupBy("id").agg(F.collect_set("run").alias("runs"))
+    texts = mails.select("id", "thread", "received", "text", "quoted", "forwarded")
+    candidates = cut(texts.join(candidates, "id"), "candidates")
+    order = F.struct(F.col("received").isNotNull(), "received", "id")
+    passages = candidates.select("id", "text", "runs").mapInArrow(_passage_runner, "id bigint, passage bigint")
+    passages = cut(passages.join(candidates.select("id", "thread", order.alias("at")), "id").select("id", "at", F.xxhash64("thread", "passage").alias("key")), "passages")
+    first = passages.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.id").alias("source"))
+    meets = passages.join(first, "key").where(F.col("id") != F.col("source")).groupBy("id").agg(F.collect_set("source").alias("sources"))
+    members = cut(candidates.select("id", "thread", F.length("text").alias("chars")).join(meets, "id"), "members")
+    parts = members.groupBy("thread").agg(F.ceil(F.sum("chars") / part_chars).alias("parts"))
+    members = members.join(parts, "thread").select("id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "sources")
+    needed = members.select(F.explode("sources").alias("id"), "part").distinct().select("id", "part", F.array().cast("array<bigint>").alias("sources"), F.lit(True).alias("source"))
+    places = members.withColumn("source", F.lit(False)).unionByName(needed).groupBy("id", "part").agg(F.flatten(F.collect_list("sources")).alias("sources"), F.max("source").alias("source"))
+    rows = places.join(candidates.drop("runs"), "id").withColumn("dated", F.col("received").isNotNull())
+    rows = rows.repartition("thread", "part").sortWithinPartitions("thread", "part", "dated", "received", "id")
+    return rows.select("thread", "part", "id", "text", "quoted", "forwarded", "sources", "source").mapInArrow(_thread_runner, "id bigint, inherited array<int>")
+
+
 def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: str, received: str) -> DataFrame:
     """``ident, line_no``: the non-blank lines (from 1) of each mail that its sender newly wrote.
 
     Quoted history goes by its marks and introductions, forwarded mail by its header, and, however it is wrapped, by what the
-    mail inherits: words in a run of ``INHERITED_WORDS`` that an earlier mail of the thread (equal subject but for reply and forward prefixes) holds. A thread's mails meet by sampled
-    runs of words, of which every such passage has one; each mail is then matched against the suffix automaton of the earlier mails it meets, so a thread of
-    any size is never one task. A mail that repeats an earlier one and has no passage of its own is an edited copy and keeps its words. Closing, signature and notices are cut from the end,
+    mail inherits: words in a run of ``INHERITED_WORDS`` that an earlier mail of the thread (equal subject but for reply and forward prefixes) holds, found by the thread's
+    suffix automaton. A mail that repeats an earlier one and has no passage of its own is an edited copy and keeps its words. Closing, signature and notices are cut from the end,
     as are the last lines that several mails of a sender have in common, however many, copies counting once.
 
     Rows of one ``ident`` count once. Null, empty and blank bodies have no lines; a null subject is no thread and a null sender no sender;
@@ -509,26 +646,15 @@ def newly_written(df: DataFrame, ident: str, body: str, subject: str, sender: st
         F.col(ident).cast("bigint").alias("id"), F.col(body).alias("body"), F.col(sender).alias("sender"), F.col(received).alias("received"),
         F.nullif(F.trim(F.regexp_replace(F.lower(F.col(subject)), r"^\s*((re|fwd?|aw|wg|sv|rv|tr)\s*:\s*)+", "")), F.lit("")).alias("thread"),
     )
-    mails = cut(rows.where(F.length(F.trim("body")) > 0).groupBy("id").agg(
-        F.min(F.struct("received", "body", "sender", "thread")).alias("m")
-    ).select("id", "m.*"), "mails")
-    clues = cut(mails.select("id", "body", F.col("thread").isNotNull().alias("threaded")).mapInArrow(_clue_runner, "id bigint, kind string, print bigint, copies array<bigint>"), "clues")
-    marked = clues.where("kind in ('mark', 'edge')").join(mails.select("id", "thread"), "id")
-    common = recurring_marks(marked)
-    marks = marked.select("id", "print").join(common, "print").groupBy("id").agg(F.collect_set("print").alias("marks"))
-    order = F.struct(F.col("received").isNotNull(), "received", "id")
-    runs = clues.where("kind = 'run'").select("id", "print").join(mails.select("id", "thread", order.alias("at")), "id")
-    first = runs.groupBy("thread", "print").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    meets = runs.join(first, ["thread", "print"]).where(F.col("first") < F.col("at")).select("id", F.col("first").alias("place"), F.col("first.id").alias("source")).distinct()
-    texts = mails.select("id", "body")
-    earlier = meets.join(texts.select(F.col("id").alias("source"), F.col("body").alias("text")), "source").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("earlier"))
-    earlier = earlier.withColumn("earlier", F.col("earlier.text"))
-    inherited = earlier.join(texts, "id").select("id", "body", "earlier").mapInArrow(_inherited_runner, "id bigint, inherited array<bigint>")
-    known = cut(mails.select("id").join(marks, "id", "left").join(inherited, "id", "left"), "known")
-    whole = texts.join(known, "id")
+    one = rows.where(F.length(F.trim("body")) > 0).groupBy("id").agg(F.min(F.struct("received", "body", "sender", "thread")).alias("m")).select("id", "m.*")
+    mails = cut(one.mapInArrow(_parse_runner, f"{_PARSED}, received {rows.schema['received'].dataType.simpleString()}, sender string, thread string"), "mails")
+    marked = mails.where(F.size("lonely") > 0).select("id", "thread", "copies", F.inline("lonely"))
+    unquoted = marked.select("id", "line", "print").join(recurring_marks(marked), "print").groupBy("id").agg(F.collect_list("line").alias("unquoted"))
+    known = cut(unquoted.join(inherited_in_threads(mails), "id", "full_outer"), "known")
+    texts = mails.select("id", "sender", "text", "quoted", "forwarded")
     busy = mails.groupBy("sender").agg(F.count("*").alias("n")).where((F.col("n") >= RECURRING_ENDING) & F.col("sender").isNotNull()).select("sender")
-    sent = mails.select("id", "sender", "body").join(busy, "sender").join(known, "id")
-    ended = cut(sent.mapInArrow(_ending_runner, "id bigint, sender string, depth int, print bigint, copies array<bigint>"), "ended")
-    whole = whole.join(recurring_endings(ended), "id", "left").select("id", "body", "marks", "inherited", "ending")
-    own = whole.mapInArrow(_own_runner, "id bigint, own array<int>")
+    ended = cut(texts.join(busy, "sender").join(known, "id", "left").mapInArrow(_ending_runner, "id bigint, sender string, depth int, print bigint, copies array<bigint>"), "ended")
+    told = known.join(recurring_endings(ended), "id", "full_outer")
+    own = texts.drop("sender").join(told, "id", "left").mapInArrow(_own_runner, "id bigint, own array<int>")
     return own.select(F.col("id").cast(df.schema[ident].dataType).alias(ident), F.explode("own").alias("line_no"))
+

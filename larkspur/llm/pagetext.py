@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.mailtext import LONGEST_FRAME_LINE, line_print
+from larkspur.llm.hashing import line_print
 from larkspur.session import cut
 
 # Elements of the page language.
@@ -167,7 +167,7 @@ def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[i
             flags |= HEADLINE * (block.tag == "h1") | HEADING * (block.tag in ("h2", "h3", "h4")) | LINKED * (block.linked >= 0.7 * len(line))
         ends = bool(SENTENCE.search(line))
         flags |= ENDS * ends | RUNNING * (ends and len(line) >= RUNNING_CHARS)
-        flags |= NOTE * bool(len(line) <= LONGEST_FRAME_LINE and (BYLINE.match(line) or DATELINE.match(line) or COMMENT.search(line) or AROUND.search(line)))
+        flags |= NOTE * bool(BYLINE.match(line) or DATELINE.match(line) or COMMENT.search(line) or AROUND.search(line))
         numbers = [bool(NUMBER.match(w)) for w in line.split()] if len(line) < RUNNING_CHARS else []
         flags |= DATA * bool(numbers and (2 * sum(numbers) >= len(numbers) or numbers[0] and len(numbers) <= 5))
         flags |= SITES * bool(LEGAL.search(line))

@@ -1,12 +1,14 @@
 import random
 
+import pytest
+
 from larkspur.llm import mailtext, pagetext
 
 NOW = "1998-02-05 00:00:00"
 
 
 def mails(spark, bodies, subjects=None, senders=None):
-    data = [(i, b, (subjects or {}).get(i), (senders or {}).get(i), f"1998-02-{5 + i:02} 00:00:00", "x") for i, b in enumerate(bodies)]
+    data = [(i, b, (subjects or {}).get(i), (senders or {}).get(i), f"1998-02-05 {i // 60:02}:{i % 60:02}:00", "x") for i, b in enumerate(bodies)]
     df = spark.createDataFrame(data, "mail_id int, body string, subject string, sender string, received_at string, thread string")
     return df.withColumn("received_at", df.received_at.cast("timestamp"))
 
@@ -42,21 +44,28 @@ def test_inherited_passages_however_wrapped(spark):
     assert got == {0: {1}, 1: {1, 4}, 2: {1, 2, 3, 4}, 3: {1}}  # another thread inherits nothing, a copy keeps its text
 
 
+def inherited(body, earlier):
+    texts, automaton = [mailtext.Mail.of(x) for x in earlier], mailtext.SuffixAutomaton()
+    for x in texts:
+        automaton.add(x.words)
+    return mailtext.inherited_lines(mailtext.Mail.of(body), automaton, texts)
+
+
 def test_answers_to_unmarked_mails_of_any_share():
     rng = random.Random(4)
     words = ["w" + str(rng.randint(0, 10**6)) for _ in range(60)]
     told = [" ".join(words[i : i + 10]) for i in range(0, 60, 10)]
     old = "\n".join(["Hi all,", *told, "Ann"])
     between = "A new line of mine.\n" + " ".join(words[5:15]) + "\n" + " ".join(words[15:28]) + "\nAnd one more new line."
-    assert mailtext.inherited_lines(between, [" ".join(words[:30])]) == [1, 2]
-    assert mailtext.inherited_lines("Yes.\n\n" + old, [old]) == list(range(2, 10))
-    assert mailtext.inherited_lines(old + "\n\nThat suits me well, come on Monday.", [old]) == list(range(8))
+    assert inherited(between, [" ".join(words[:30])]) == [1, 2]
+    assert inherited("Yes.\n\n" + old, [old]) == list(range(2, 10))
+    assert inherited(old + "\n\nThat suits me well, come on Monday.", [old]) == list(range(8))
     long_quote = "\n".join("> " + x for x in told)
     other = " ".join("v" + str(i) for i in range(20))
-    assert set(mailtext.inherited_lines("Mine.\n" + long_quote + "\n" + other, [old, other])) == {1, 2, 3, 4, 5, 6, 7}
+    assert set(inherited("Mine.\n" + long_quote + "\n" + other, [old, other])) == {1, 2, 3, 4, 5, 6, 7}
     edited = old.replace("Hi", "Hello").replace(words[25], "x").replace("Ann", "Bea")
-    assert mailtext.inherited_lines(edited, [old]) == [] and mailtext.inherited_lines(old + "\n-- \nTo unsubscribe write to x@y.test", [old]) == []
-    assert mailtext.inherited_lines("Yes.\n\n" + old, [old, "Yes.\n\n" + old]) == list(range(2, 10))  # a copy of an answer
+    assert inherited(edited, [old]) == [] and inherited(old + "\n-- \nTo unsubscribe write to x@y.test", [old]) == []
+    assert inherited("Yes.\n\n" + old, [old, "Yes.\n\n" + old]) == list(range(2, 10))  # a copy of an answer
 
 
 def test_answer_below_an_unmarked_mail(spark):
@@ -122,10 +131,57 @@ def test_suffix_automaton_against_brute_force():
 
 def test_every_long_passage_has_a_sampled_run():
     rng = random.Random(3)
-    shared = [str(rng.random()) for _ in range(mailtext.INHERITED_WORDS)]
-    a, b = ([str(rng.random()) for _ in range(20)] + shared + [str(rng.random()) for _ in range(20)] for _ in range(2))
-    assert set(mailtext.sampled_runs(a).tolist()) & set(mailtext.sampled_runs(b).tolist())
-    assert len(mailtext.sampled_runs(a[:5])) == 0
+    for _ in range(50):
+        shared = [str(rng.random()) for _ in range(mailtext.INHERITED_WORDS)]
+        texts = [[str(rng.random()) for _ in range(rng.randint(0, 20))] + shared + [str(rng.random()) for _ in range(rng.randint(0, 20))] for _ in range(2)]
+        run, text = mailtext.sampled_runs([texts[0], ["a"] * 5, [], texts[1]])
+        assert set(text.tolist()) == {0, 3}
+        both = set(run[text == 0].tolist()) & set(run[text == 3].tolist())
+        alone = mailtext.sampled_runs([texts[1]])[0]
+        assert both and set(alone.tolist()) == set(run[text == 3].tolist())  # a text's runs don't depend on its neighbours
+        signed = {x - 2**64 if x >= 2**63 else x for x in both}
+        passages = [set(mailtext.passages_around(t, signed).tolist()) for t in texts]
+        assert passages[0] & passages[1]
+
+
+def thread(rng, n):
+    """Mails of a thread that repeat passages of any earlier ones without a mark, wrapped anew; and the lines that are new."""
+    def word():
+        return "".join(rng.choices("abcdefghijkl", k=5))
+
+    texts, bodies, want = [], [], {}
+    common = [word() for _ in range(mailtext.SAMPLED_WORDS)]
+    for i in range(n):
+        lines = [[word() for _ in range(rng.randint(6, 11))] for _ in range(rng.randint(3, 5))]
+        if rng.random() < 0.7:  # a run that many hold, inside passages that only some hold
+            k = rng.randrange(len(lines))
+            lines[k] = lines[k][:3] + common + lines[k][3:]
+        mine = [w for x in lines for w in x]
+        body, own = [" ".join(x) for x in lines], set(range(1, len(lines) + 1))
+        for _ in range(rng.randint(0, 2) if i else 0):
+            source = rng.choice(texts)
+            size = rng.randint(16, 30)
+            at = rng.randrange(max(1, len(source) - size))
+            passage = source[at : at + size]
+            for k in range(0, len(passage), 9):
+                if len(passage[k : k + 9]) > 3:
+                    body.append(" ".join(passage[k : k + 9]))
+        texts.append(mine)
+        bodies.append("\n".join(body))
+        want[i] = own
+    return bodies, want
+
+
+@pytest.mark.parametrize("part_chars", [1_000_000, 300])
+def test_passages_of_any_earlier_mail_of_a_thread(spark, part_chars, monkeypatch):
+    monkeypatch.setattr(mailtext.inherited_in_threads, "__defaults__", (part_chars,))
+    bodies, want = thread(random.Random(8), 60)
+    shown = lambda got: {i: {n for n in x if n <= max(want[i])} for i, x in got.items()}
+    got = own(spark, bodies, dict.fromkeys(range(60), "Re: Plan"))
+    assert shown(got) == want
+    assert sum(len(x) for x in got.values()) - sum(len(x) for x in want.values()) <= 2  # ends of passages may fall on other lines
+    alone = own(spark, bodies)
+    assert sum(len(x) for x in alone.values()) > sum(len(x) for x in want.values()) + 50  # without threads nothing is inherited
 
 
 NAV = "".join(f'<li><a href="/{n}">{n}</a>' for n in ("Home", "News", "Help"))
