@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,23 +135,34 @@ NUMBER = re.compile(r"^[$€£+-]?\d")
 SENTENCE = re.compile(r"[.!?。！？…»]['\"”’»)]*$")
 #: Lines that stand in so large a part of all articles, or of a site's, belong to the sites; pages with one article count once. The first bounds how many there are.
 SHARE_OF_PAGES, SHARE_OF_SITE, SITE_PAGES = 0.004, 0.2, 3
+#: Elements that are items of an article beside its paragraphs, and characters in which a line's lead ends in a colon.
+ITEMS, LEAD_CHARS = frozenset(("li", "dt", "dd", "blockquote", "pre")), 40
 #: Characters from which a line of sentences counts as running text.
 RUNNING_CHARS = 60
 
-HEADLINE, LINKED, ENDS, RUNNING, NOTE, HEADING, TITLE, SITES, DATA = 1, 2, 4, 8, 16, 32, 64, 128, 256
+HEADLINE, LINKED, ENDS, RUNNING, NOTE, HEADING, TITLE, SITES, DATA, ITEM = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512
 
 
-def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[int, int, str, int, int, int, int]]:
-    """Of each non-blank line of a page's text: number, print, tag path, section, characters, punctuation and flags.
+def line_shape(line: str) -> str:
+    """A line's form: digits and names masked, and of a line with a lead before a colon only that."""
+    lead, colon, _ = line[:LEAD_CHARS].partition(":")
+    words = (lead if colon else line).split()
+    masked = [re.sub(r"\d+(?:[.,:]\d+)*", "#", "^" if w[:1].isupper() and (k or colon and len(words) > 1) else w.lower()) for k, w in enumerate(words)]
+    return " ".join(masked) + colon
 
-    Lines are matched to the blocks of the mark-up in reading order; a line the (cut or missing) mark-up lacks keeps an empty path.
+
+def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[int, int, int, int, int, int, float]]:
+    """Of each non-blank line of a page's text: number, print, print of its form (0 for a sentence), section, characters, flags and smoothed path ratio.
+
+    Lines are matched to the blocks of the mark-up in reading order; a line the (cut or missing) mark-up lacks has a path of its own.
     """
     blocks = page_blocks(source) if source else []
     places: dict[str, list[int]] = {}
     for k, b in enumerate(blocks):
         places.setdefault(b.text, []).append(k)
     name = " ".join(title.split()) if title else ""
-    out = []
+    out, paths = [], []
+    sums: dict[tuple[int, str], list[int]] = {}
     at = -1
     for number, raw in enumerate(text.split("\n"), 1):
         line = " ".join(raw.split())
@@ -164,7 +175,7 @@ def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[i
                 break
         flags = 0
         if block is not None:
-            flags |= HEADLINE * (block.tag == "h1") | HEADING * (block.tag in ("h2", "h3", "h4")) | LINKED * (block.linked >= 0.7 * len(line))
+            flags |= HEADLINE * (block.tag == "h1") | HEADING * (block.tag in ("h2", "h3", "h4")) | LINKED * (block.linked >= 0.7 * len(line)) | ITEM * (block.tag in ITEMS)
         ends = bool(SENTENCE.search(line))
         flags |= ENDS * ends | RUNNING * (ends and len(line) >= RUNNING_CHARS)
         flags |= NOTE * bool(BYLINE.match(line) or DATELINE.match(line) or COMMENT.search(line) or AROUND.search(line))
@@ -172,14 +183,21 @@ def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[i
         flags |= DATA * bool(numbers and (2 * sum(numbers) >= len(numbers) or numbers[0] and len(numbers) <= 5))
         flags |= SITES * bool(LEGAL.search(line))
         flags |= TITLE * (len(line) > 8 and (name == line or name.startswith(line + " - ") or name.startswith(line + " | ")))
-        out.append((number, line_print(line), block.path if block else "", block.section if block else -1, len(line), len(PUNCTUATION.findall(line)), flags))
-    return out
+        shape = 0 if ends or flags & (DATA | HEADLINE | TITLE) and ":" not in line[:LEAD_CHARS] else xxhash.xxh64_intdigest("form " + line_shape(line)) >> 1
+        path = (block.section, block.path) if block else (-1, str(number))
+        total = sums.setdefault(path, [0, 0, 0, 0])
+        for k, n in enumerate((len(line), len(PUNCTUATION.findall(line)), 1, len(line) if flags & LINKED else 0)):
+            total[k] += n
+        paths.append(path)
+        out.append((number, line_print(line), shape, path[0], len(line), flags))
+    ratio = {path: path_ratio(*x) for path, x in sums.items()}
+    return [(*x, v) for x, v in zip(out, smoothed([ratio[p] for p in paths]), strict=True)]
 
 
 def article_print(lines: list[tuple]) -> int:
     """A print of a page's headline and longest line of running text, which copies of an article share; without a headline, of all its lines."""
-    heads = [x[1] for x in lines if x[6] & HEADLINE] or [x[1] for x in lines if x[6] & TITLE]
-    running = max((x for x in lines if x[6] & RUNNING), key=lambda x: (x[4], x[1]), default=None)
+    heads = [x[1] for x in lines if x[5] & HEADLINE] or [x[1] for x in lines if x[5] & TITLE]
+    running = max((x for x in lines if x[5] & RUNNING), key=lambda x: (x[4], x[1]), default=None)
     if heads and running:
         return xxhash.xxh64_intdigest(f"{heads[-1]} {running[1]}") >> 1
     return xxhash.xxh64_intdigest(" ".join(str(x[1]) for x in lines)) >> 1
@@ -204,43 +222,49 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def article_lines(lines: list[tuple], ratios: dict[str, float], furniture: set[int]) -> list[int]:
+def article_lines(lines: list[tuple], furniture: Collection[int]) -> list[int]:
     """The numbers of the lines that belong to the article.
 
-    Each node has its path's ratio over the site, smoothed along the page; nodes above the page's threshold are content. The section with most of it is
-    the article's, from the headline to where the site's own lines begin; notes, pointers and comments within it are left out.
+    Nodes whose smoothed path ratio is above the page's threshold are content. The section with most content is the article's; it begins at the headline and runs over its content nodes, as long
+    as the site's own lines don't begin. Between them headings, list items and table rows stay; before the first only headings and sentences, after the last only items, rows and sentences.
+    Lines that recur or whose form recurs, notes, pointers and comments are left out.
     """
     if not lines:
         return []
-    values = smoothed([ratios.get(path, 0.0) if path else path_ratio(chars, marks, 1, 0) for _, _, path, _, chars, marks, _ in lines])
+    values = [x[6] for x in lines]
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     threshold = max(mean - 0.5 * spread, 0.3 * max(values))
-    own = [x[1] in furniture and not x[6] & DATA or bool(x[6] & SITES) for x in lines]  # counts and table rows recur with other numbers
+    own = [x[1] in furniture and not x[5] & DATA or bool(x[5] & SITES) for x in lines]  # counts and table rows recur with other numbers
+    note = [bool(x[5] & NOTE) or x[2] != 0 and x[2] in furniture and not x[5] & (HEADLINE | TITLE) for x in lines]
+    content = [x[6] >= threshold and not site and not left for x, site, left in zip(lines, own, note, strict=True)]
     mass: dict[int, float] = {}
-    for (_, _, _, section, chars, _, flags), value, site in zip(lines, values, own, strict=True):
-        if value >= threshold and flags & RUNNING and not (flags & NOTE) and not site:
-            mass[section] = mass.get(section, 0.0) + chars
-    heads = [i for i, x in enumerate(lines) if x[6] & HEADLINE] or [i for i, x in enumerate(lines) if x[6] & TITLE]
-    if not mass and not any(x[6] & HEADLINE for x in lines):
+    for x, good in zip(lines, content, strict=True):
+        if good:
+            mass[x[3]] = mass.get(x[3], 0.0) + x[4] * x[6]
+    heads = [i for i, x in enumerate(lines) if x[5] & HEADLINE] or [i for i, x in enumerate(lines) if x[5] & TITLE]
+    if not mass and not any(x[5] & HEADLINE for x in lines):
         return []
     main = max(mass, key=lambda s: mass[s]) if mass else lines[heads[-1]][3]
     if mass and heads and mass.get(lines[heads[-1]][3], 0) >= 0.3 * mass[main]:
         main = lines[heads[-1]][3]
+    inside = [i for i, x in enumerate(lines) if content[i] and x[3] == main]
     start = heads[-1] if heads else None
-    if mass and (start is None or not any(x[3] == main and x[6] & RUNNING for x in lines[start:])):
-        start = next((i for i, x in enumerate(lines) if x[3] == main and x[6] & RUNNING and not own[i] and not x[6] & NOTE), None)
+    if mass and (start is None or not any(i >= start and lines[i][5] & RUNNING for i in inside)):
+        start = next((i for i in inside if lines[i][5] & RUNNING), None)
         if start is None:
             return []
+    first = next((i for i in inside if i > start), start)
+    last = max((i for i in inside if i >= start), default=start)
     kept = [lines[start][0]]
     body = False
     for i in range(start + 1, len(lines)):
-        number, _, path, section, chars, _, flags = lines[i]
+        number, _, _, section, chars, flags, _ = lines[i]
         if section != main and section >= 0 and main >= 0:
             if any(x[3] == main for x in lines[i + 1 :]):
                 continue
             break
-        if flags & NOTE:
+        if note[i]:
             continue
         if flags & SITES and (main <= 0 or section != main):
             break
@@ -248,24 +272,26 @@ def article_lines(lines: list[tuple], ratios: dict[str, float], furniture: set[i
             continue
         if own[i] and not (flags & ENDS and chars < RUNNING_CHARS):  # a short sentence may recur in articles
             after = lines[i + 1] if i + 1 < len(lines) else None
-            if main > 0 and section == main or after and after[6] & RUNNING and not own[i + 1] and not after[6] & NOTE and not own[i - 1]:
+            if main > 0 and section == main or after and after[5] & RUNNING and not own[i + 1] and not note[i + 1] and not own[i - 1]:
                 continue
             break
         if flags & LINKED and not flags & (ENDS | DATA):
             follows = lines[i + 1] if i + 1 < len(lines) else None
             bounded = main > 0 and section == main  # a section of its own holds no list of other stories
-            if not bounded and (flags & HEADING or (follows and follows[6] & LINKED and not follows[6] & ENDS)):
+            if not bounded and (flags & HEADING or (follows and follows[5] & LINKED and not follows[5] & ENDS)):
                 break
             if chars > 30 and not (bounded and flags & HEADING):
                 continue
+        if i < first and not content[i] and not flags & (HEADING | ENDS | ITEM | DATA) or i > last and not flags & (ENDS | ITEM | DATA):
+            continue
         kept.append(number)
         body = body or bool(flags & RUNNING) or chars > 20
-    return kept if body or len(kept) > 1 and lines[start][6] & HEADLINE else []
+    return kept if body or len(kept) > 1 and lines[start][5] & HEADLINE else []
 
 
-_LINE = "array<struct<line_no:int,print:bigint,path:string,section:int,chars:int,marks:int,flags:int>>"
-_LINE_FIELDS = ("line_no", "print", "path", "section", "chars", "marks", "flags")
-_LINE_ARROW = pa.list_(pa.struct([("line_no", pa.int32()), ("print", pa.int64()), ("path", pa.string()), ("section", pa.int32()), ("chars", pa.int32()), ("marks", pa.int32()), ("flags", pa.int32())]))
+_LINE = "array<struct<line_no:int,print:bigint,shape:bigint,section:int,chars:int,flags:int,value:double>>"
+_LINE_FIELDS = ("line_no", "print", "shape", "section", "chars", "flags", "value")
+_LINE_ARROW = pa.list_(pa.struct([("line_no", pa.int32()), ("print", pa.int64()), ("shape", pa.int64()), ("section", pa.int32()), ("chars", pa.int32()), ("flags", pa.int32()), ("value", pa.float64())]))
 
 
 def _line_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,11 +314,10 @@ def _article_runner(furniture):
             bounds = held.offsets.to_pylist()
             rows = list(zip(*(held.values.field(i).to_pylist() for i in range(len(_LINE_FIELDS))), strict=True))
             out, known = [], {}
-            for k, (site, ratios, own) in enumerate(zip(batch.column("site").to_pylist(), batch.column("ratios"), batch.column("own"), strict=True)):
+            for k, (site, own) in enumerate(zip(batch.column("site").to_pylist(), batch.column("own"), strict=True)):
                 if site not in known:
-                    ratio = {r["path"]: path_ratio(r["chars"], r["marks"], r["nodes"], r["linked"]) for r in ratios.as_py() or ()}
-                    known = {site: (ratio, everywhere.union(own.as_py() or ()))}
-                out.append(article_lines(rows[bounds[k] : bounds[k + 1]], *known[site]))
+                    known = {site: everywhere.union(own.as_py() or ())}
+                out.append(article_lines(rows[bounds[k] : bounds[k + 1]], known[site]))
             yield pa.record_batch({"id": batch.column("id"), "own": pa.array(out, pa.list_(pa.int32()))})
 
     return run
@@ -301,9 +326,9 @@ def _article_runner(furniture):
 def main_content(df: DataFrame, ident: str, url: str, text: str, source: str, title: str) -> DataFrame:
     """``ident, line_no``: the non-blank lines (from 1) of each page's text that belong to its article.
 
-    Lines are matched to the page's mark-up. Per site, the length and punctuation of text are summed for each root-to-leaf tag path; a path's ratio
-    of both, less what is linked, is smoothed along the page and a threshold on it selects the content's section. Lines that stand in a set share of all
-    articles, or of a site's, are the sites' own (pages of one article, under several addresses or on several sites, count once); of the former there are at most lines an article / share, so they are broadcast, the latter are joined by site.
+    Lines are matched to the page's mark-up. The length and punctuation of text are summed for each root-to-leaf tag path of a page's sections; a path's ratio
+    of both, less what is linked, is smoothed along the page, and a threshold on it selects the content nodes and with them the article's section and extent. Lines that stand in a set share of all
+    articles, or of a site's, and forms of lines that do, are the sites' own (pages of one article, under several addresses or on several sites, count once); of the former there are at most lines an article / share, so they are broadcast, the latter are joined by site.
 
     Rows of one ``ident`` count once. A page with null text has no lines; one with null, cut or invalid mark-up is read by its text as far as the mark-up
     fails; a null title or url only lacks what it would tell; an empty table gives no rows; other columns are ignored.
@@ -312,10 +337,11 @@ def main_content(df: DataFrame, ident: str, url: str, text: str, source: str, ti
         F.col(ident).cast("bigint").alias("id"), F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("site"),
         F.col(text).alias("text"), F.col(source).alias("html"), F.col(title).alias("title"),
     ).where(F.col("text").isNotNull())
-    parsed = cut(rows.mapInArrow(_line_runner, f"id bigint, site string, article bigint, lines {_LINE}").dropDuplicates(["id"]), "pages")
+    one = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("site", "text", "html", "title")).alias("m")).select("id", "m.*")
+    parsed = cut(one.mapInArrow(_line_runner, f"id bigint, site string, article bigint, lines {_LINE}"), "pages")
     articles = parsed.select("article").distinct().count()
-    each = parsed.select("site", "article", F.explode("lines").alias("l"))
-    prints = cut(each.select("site", "article", F.col("l.print").alias("print")).distinct(), "prints")
+    both = F.array_distinct(F.filter(F.concat("lines.print", "lines.shape"), lambda p: p != 0))
+    prints = cut(parsed.select("site", "article", F.explode(both).alias("print")).distinct(), "prints")
     often = prints.select("article", "print").distinct().groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= max(float(SITE_PAGES), SHARE_OF_PAGES * articles))
     furniture = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in often.select("print").toLocalIterator()))
     sizes = parsed.select("site", "article").distinct().groupBy("site").agg(F.count("*").alias("articles"))
@@ -323,12 +349,5 @@ def main_content(df: DataFrame, ident: str, url: str, text: str, source: str, ti
         prints.groupBy("site", "print").agg(F.count("*").alias("n")).where(F.col("n") >= SITE_PAGES).join(sizes, "site").where(F.col("n") >= SHARE_OF_SITE * F.col("articles"))
         .groupBy("site").agg(F.collect_set("print").alias("own"))
     )
-    linked = F.when(F.col("l.flags").bitwiseAND(LINKED) != 0, F.col("l.chars")).otherwise(0)
-    ratios = (
-        each.where(F.col("l.path") != "").groupBy("site", F.col("l.path").alias("path"))
-        .agg(F.sum("l.chars").alias("chars"), F.sum("l.marks").alias("marks"), F.count("*").alias("nodes"), F.sum(linked).alias("linked"))
-        .groupBy("site").agg(F.collect_list(F.struct("path", "chars", "marks", "nodes", "linked")).alias("ratios"))
-    )
-    whole = parsed.join(ratios, "site", "left").join(own, "site", "left").select("id", "site", "lines", "ratios", "own")
-    found = whole.mapInArrow(_article_runner(furniture), "id bigint, own array<int>")
+    found = parsed.join(own, "site", "left").select("id", "site", "lines", "own").mapInArrow(_article_runner(furniture), "id bigint, own array<int>")
     return found.select(F.col("id").alias(ident), F.explode("own").alias("line_no"))

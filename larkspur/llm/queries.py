@@ -68,7 +68,7 @@ SELECT queryno, docno FROM kept WHERE place <= 10
 def _fields(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
     """Field name, table with one row a record, identifier and text column."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mails = table(spark, sf_dir, "mails").select("mail_id", "body").dropDuplicates(["mail_id"])
+    mails = table(spark, sf_dir, "mails").groupBy("mail_id").agg(F.min("body").alias("body"))
     return [("text", documents, "doc_id", "text"), ("body", mails, "mail_id", "body")]
 
 
@@ -86,9 +86,9 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that occur at least four times in a record and in at most five records of the field."""
+    """The distinctive terms, however small their weight, that occur at least four times in a record and in at most five records of the field."""
     parts = [
-        terms.rare_repeated_terms(df, ident, text, min_tf=4, max_df=5, records=1).select(F.lit(field).alias("field"), F.col("id").alias("record_id"), "term")
+        terms.distinctive_terms(df, ident, text, min_tf=4, max_df=5).select(F.lit(field).alias("field"), F.col("id").alias("record_id"), "term")
         for field, df, ident, text in _fields(spark, sf_dir)
     ]
     return parts[0].unionByName(parts[1])
@@ -108,19 +108,32 @@ counted AS (SELECT field, term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FR
 SQL["p3_found"] = _WORDS_SQL + "SELECT field, record_id, term FROM held JOIN counted USING (field, term) WHERE tf >= 4 AND df <= 5"
 
 
+SQL["p3_scores"] = _WORDS_SQL + """
+, placed AS MATERIALIZED (SELECT field, record_id, generate_subscripts(l, 1) AS pos, unnest(l) AS term FROM (SELECT field, record_id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS l FROM records)),
+near AS (
+  SELECT DISTINCT a.field, a.record_id, a.term, b.term AS other FROM placed a, (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS d) JOIN placed b ON b.field = a.field AND b.record_id = a.record_id AND b.pos = a.pos + d
+  WHERE a.term <> b.term
+),
+degrees AS (SELECT field, record_id, term, count(*) AS degree FROM near GROUP BY ALL),
+kept AS (SELECT field, count(DISTINCT record_id) AS records FROM held GROUP BY field)
+SELECT field, record_id, term, tf, coalesce(degree, 0) AS degree, df, round(coalesce(degree, 0) * ln((1 + records) / CAST(df AS DOUBLE)), 6) AS score
+FROM held JOIN counted USING (field, term) JOIN kept USING (field) LEFT JOIN degrees USING (field, record_id, term)
+"""
+
+
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences, records and mark of every term of the stories and of the mails."""
+    """Occurrences, records and mark of every term, and every sequence of two and three terms, of the stories and of the mails."""
     parts = []
     for field, df, ident, text in _fields(spark, sf_dir):
-        counted = terms.term_counts(df, ident, text, max_n=1)
+        counted = terms.term_counts(df, ident, text, max_n=3)
         mark = terms.usefulness(F.col("df"), _non_null(df, text), rare_below=3, common_share=0.2)
-        parts.append(counted.select(F.lit(field).alias("field"), "term", "cf", "df", mark.alias("mark")))
+        parts.append(counted.select(F.lit(field).alias("field"), "term", "n", "cf", "df", mark.alias("mark")))
     return parts[0].unionByName(parts[1])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms too rare or too common for the index."""
-    return p4_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", "term", "mark")
+    return p4_terms(spark, sf_dir).where((F.col("n") == 1) & F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
 _MARKED_SQL = """
@@ -129,7 +142,12 @@ _MARKED_SQL = """
   FROM counted JOIN sizes USING (field)
 )
 """
-SQL["p4_terms"] = _WORDS_SQL + _MARKED_SQL + "SELECT field, term, cf, df, mark FROM marked"
+SQL["p4_terms"] = _WORDS_SQL.replace("held AS", """lists AS (SELECT field, record_id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS l FROM records),
+grams AS (SELECT field, record_id, n, array_to_string(l[i:i + n - 1], ' ') AS term FROM (SELECT field, record_id, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM lists, (SELECT unnest([1, 2, 3]) AS n))),
+held_n AS (SELECT field, record_id, n, term, count(*) AS tf FROM grams GROUP BY ALL),
+counted_n AS (SELECT field, term, n, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM held_n GROUP BY ALL),
+held AS""") + """
+SELECT field, term, CAST(c.n AS INTEGER) AS n, cf, df, CASE WHEN df < 3 THEN 'rare' WHEN 5 * df > s.n THEN 'common' END AS mark FROM counted_n c JOIN sizes s USING (field)"""
 SQL["p4_found"] = _WORDS_SQL + _MARKED_SQL + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL"
 
 

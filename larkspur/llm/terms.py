@@ -17,56 +17,65 @@ from larkspur.session import cut
 HELD_ROWS = 1_000_000
 
 
-def suffix_counts(words: Words, max_n: int) -> pa.Table:
-    """Occurrences and records of every n-gram up to ``max_n`` words of a block.
+def block_suffixes(words: Words, max_n: int) -> pa.Table:
+    """The distinct suffixes of a block's records, truncated to ``max_n`` words, with what they add to the counts of their prefixes.
 
-    Each position's suffix, truncated to ``max_n`` words and to its record, is sorted in reverse lexicographic order.
-    Suffixes that share a prefix are then neighbours, and one pass closes the prefixes of each length where the next
-    suffix departs from them - the stack of open prefixes, held here as one array of runs per prefix length.
+    Columns ``w0..``: the words (null past a record's end); ``cf``: occurrences; ``d0..``: of those, the ones that are their record's first with the prefix of that length, so that
+    record sets become numbers that add up. Suffixes count for their prefixes of two and more words; a row of one word counts for the word, so that what follows a frequent word need not meet.
     """
     size = len(words.code)
     columns = [words.code]
     for k in range(1, max_n):
         ahead = np.full(size, -1, dtype=np.int64)
         if size > k:
-            same = words.record[k:] == words.record[:-k]
-            ahead[:-k] = np.where(same, words.code[k:], -1)
+            ahead[:-k] = np.where(words.record[k:] == words.record[:-k], words.code[k:], -1)
         columns.append(ahead)
-    order = np.lexsort([-c for c in reversed(columns)])
-    record = words.record[order]
-    n_records = int(words.record.max()) + 1 if size else 0
-    parts = []
+    order = np.lexsort([words.record, *reversed(columns)])
+    columns, record = [c[order] for c in columns], words.record[order]
+    n_records = int(record.max()) + 1 if size else 1
     departs = np.zeros(size, dtype=bool)
-    if size:
-        departs[0] = True
-    for k, column in enumerate(columns):
-        ordered = column[order]
-        departs[1:] |= ordered[1:] != ordered[:-1]
-        whole = ordered >= 0
+    departs[:1] = True
+    firsts, runs = [], []
+    for column in columns:
+        departs[1:] |= column[1:] != column[:-1]
         run = np.cumsum(departs) - 1
-        heads = np.flatnonzero(departs & whole)
-        runs = run[heads]
-        cf = np.bincount(run[whole], minlength=int(run[-1]) + 1 if size else 0)[runs]
-        held = np.unique(run[whole] * n_records + record[whole]) // max(n_records, 1)
-        df = np.bincount(held, minlength=int(run[-1]) + 1 if size else 0)[runs]
-        grams = words.vocabulary.take(pa.array(columns[0][order][heads]))
-        for j in range(1, k + 1):
-            grams = pc.binary_join_element_wise(grams, words.vocabulary.take(pa.array(columns[j][order][heads])), " ")
-        parts.append(pa.table({"term": grams, "n": pa.array(np.full(len(heads), k + 1), pa.int32()), "cf": pa.array(cf, pa.int64()), "df": pa.array(df, pa.int64())}))
+        first = np.zeros(size, dtype=np.int64)
+        first[np.unique(run * n_records + record, return_index=True)[1]] = 1
+        firsts.append(np.where(column >= 0, first, 0))
+        runs.append(run)
+    parts = []
+    for depth in {0, max_n - 1}:
+        run = runs[depth]
+        heads = np.flatnonzero(np.diff(run, prepend=-1))
+        if depth:
+            whole = columns[1][heads] >= 0
+        else:
+            whole = np.ones(len(heads), dtype=bool)
+        kept = heads[whole]
+        data = {}
+        for k, column in enumerate(columns):
+            codes = column[kept] if k <= depth else np.full(len(kept), -1, dtype=np.int64)
+            data[f"w{k}"] = words.vocabulary.take(pa.array(codes, mask=codes < 0))
+        data["cf"] = pa.array(np.diff(np.append(heads, size))[whole], pa.int64())
+        for k in range(max_n):
+            counted = (k == 0) if depth == 0 else 0 < k
+            data[f"d{k}"] = pa.array(np.bincount(run, weights=firsts[k], minlength=len(heads)).astype(np.int64)[whole] if counted and size else np.zeros(len(kept), dtype=np.int64))
+        parts.append(pa.table(data))
     return pa.concat_tables(parts)
 
 
 def _summed(parts: list[pa.Table]) -> pa.Table:
-    total = pa.concat_tables(parts).group_by(["term", "n"]).aggregate([("cf", "sum"), ("df", "sum")])
-    return total.select(["term", "n", "cf_sum", "df_sum"]).rename_columns(["term", "n", "cf", "df"])
+    names = parts[0].column_names
+    keys, sums = [c for c in names if c[0] == "w"], [c for c in names if c[0] != "w"]
+    return pa.concat_tables(parts).group_by(keys).aggregate([(c, "sum") for c in sums]).select([*keys, *(f"{c}_sum" for c in sums)]).rename_columns(names)
 
 
-def _count_runner(max_n: int):
+def _suffix_runner(max_n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.Table] = []
         rows, floor = 0, 0
         for _, texts in text_blocks(batches):
-            parts.append(suffix_counts(words_of(texts), max_n))
+            parts.append(block_suffixes(words_of(texts), max_n))
             rows += len(parts[-1])
             if rows > max(HELD_ROWS, 2 * floor):
                 parts = [_summed(parts)]
@@ -80,16 +89,82 @@ def _count_runner(max_n: int):
     return run
 
 
-def term_counts(df: DataFrame, ident: str, text: str, max_n: int = 1) -> DataFrame:
+class PrefixStack:
+    """The open prefixes of suffixes that arrive in reverse lexicographic order, one of each length, with their counts so far.
+
+    A prefix closes, and its counts are final, where a suffix departs from it. Suffixes are taken a batch at a time.
+    """
+
+    def __init__(self, max_n: int) -> None:
+        self.max_n = max_n
+        self.last: list[str | None] | None = None
+        self.cf, self.df = [0] * max_n, [0] * max_n
+
+    def _row(self, k: int) -> pa.Table:
+        whole = self.last is not None and None not in self.last[: k + 1] and self.cf[k] > 0
+        return self._table([" ".join(self.last[: k + 1])], k, [self.cf[k]], [self.df[k]]) if whole else self._table([], k, [], [])
+
+    @staticmethod
+    def _table(terms, k: int, cf, df) -> pa.Table:
+        return pa.table({"term": pa.array(terms, pa.string()), "n": pa.array(np.full(len(terms), k + 1), pa.int32()), "cf": pa.array(cf, pa.int64()), "df": pa.array(df, pa.int64())})
+
+    def push(self, batch: pa.RecordBatch) -> pa.Table:
+        """The prefixes that close within the batch."""
+        size = len(batch)
+        words = [batch.column(f"w{k}") for k in range(self.max_n)]
+        single = np.asarray(pc.is_null(words[1])) if self.max_n > 1 else np.ones(size, dtype=bool)
+        cf = batch.column("cf").to_numpy()
+        departs = np.zeros(size, dtype=bool)
+        closed = []
+        for k, word in enumerate(words):
+            held = word.fill_null("")  # no word is empty
+            departs[1:] |= np.asarray(pc.not_equal(held.slice(1), held.slice(0, size - 1)))
+            departs[0] |= self.last is None or (self.last[k] or "") != held[0].as_py()
+            counts = np.where(single == (k == 0), cf, 0), batch.column(f"d{k}").to_numpy()
+            at = np.flatnonzero(departs)
+            starts = at if departs[0] else np.concatenate([[0], at])
+            cfs, dfs = (np.add.reduceat(x, starts) for x in counts)
+            if departs[0]:
+                closed.append(self._row(k))
+            else:
+                cfs[0] += self.cf[k]
+                dfs[0] += self.df[k]
+            self.cf[k], self.df[k] = int(cfs[-1]), int(dfs[-1])
+            done, cfs, dfs = starts[:-1], cfs[:-1], dfs[:-1]
+            whole = np.asarray(pc.is_valid(word))[done] & (cfs > 0)
+            grams = pc.binary_join_element_wise(*(w.take(pa.array(done[whole])) for w in words[: k + 1]), " ") if k else word.take(pa.array(done[whole]))
+            closed.append(self._table(grams, k, cfs[whole], dfs[whole]))
+        self.last = [w[size - 1].as_py() for w in words]
+        return pa.concat_tables(closed)
+
+    def end(self) -> pa.Table:
+        return pa.concat_tables([self._row(k) for k in range(self.max_n)])
+
+
+def _stack_runner(max_n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack = PrefixStack(max_n)
+        for batch in batches:
+            if len(batch):
+                yield from stack.push(batch).combine_chunks().to_batches()
+        yield from stack.end().combine_chunks().to_batches()
+
+    return run
+
+
+def term_counts(df: DataFrame, ident: str, text: str, max_n: int = 3) -> DataFrame:
     """``term, n, cf, df``: occurrences of every n-gram of up to ``max_n`` words and the number of records that hold it.
 
-    ``ident`` is unique. Suffixes are sorted and their prefixes counted block by block inside each task, where a block holds whole
-    records, so that record sets shrink to additive counts; a task adds its blocks up before the shuffle, and a term
-    that every record holds arrives as one row a task. Null and empty texts, and an empty table, give no rows; other columns are ignored.
+    ``ident`` is unique. Suffixes truncated to ``max_n`` words are routed by their first term, and with it by their second, so that a frequent first term is split; what a task has seen of a suffix is
+    added up before. They arrive in reverse lexicographic order and a stack of open prefixes counts all n-grams in one pass. Record sets are carried as numbers of
+    first occurrences within a record, which add up, so no set of records is ever held.
+    Null and empty texts, and an empty table, give no rows; other columns are ignored.
     """
     rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).select("id", "text")
-    partial = rows.mapInArrow(_count_runner(max_n), "term string, n int, cf bigint, df bigint")
-    return partial.groupBy("term", "n").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    words = [f"w{k}" for k in range(max_n)]
+    schema = ", ".join([*(f"{w} string" for w in words), "cf bigint", *(f"d{k} bigint" for k in range(max_n))])
+    routed = rows.mapInArrow(_suffix_runner(max_n), schema).repartition(*words[:2]).sortWithinPartitions(*(F.col(w).desc_nulls_last() for w in words))
+    return routed.mapInArrow(_stack_runner(max_n), "term string, n int, cf bigint, df bigint")
 
 
 def usefulness(df: Column, records: Column | int, rare_below: int, common_share: float) -> Column:
@@ -118,7 +193,7 @@ def word_graph(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return nodes // v, nodes % v, tf, degree
 
 
-def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.DataType):
+def _graph_runner(window: int, min_tf: int, max_df: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[pa.Table] = []
         scored: list[pa.Table] = []
@@ -127,11 +202,11 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
         def flush() -> Iterator[pa.RecordBatch]:
             total = _df_sum(counts)
             keep = pa.concat_tables(scored)
-            if max_df is not None:  # records only add up, so a term past the limit here stays past it
-                over = total.filter(pc.greater(total["df"], max_df))["term"]
-                keep = keep.filter(pc.invert(pc.is_in(keep["term"], value_set=over.combine_chunks())))
+            # records only add up, so a term past the limit here stays past it
+            over = total.filter(pc.greater(total["df"], max_df))["term"]
+            keep = keep.filter(pc.invert(pc.is_in(keep["term"], value_set=over.combine_chunks())))
             empty = pa.nulls(len(total))
-            yield from pa.table({"term": total["term"], "df": total["df"], "id": empty.cast(id_type), "tf": empty.cast(pa.int64()), "degree": empty.cast(pa.int64())}).to_batches()
+            yield from pa.table({"term": total["term"], "df": total["df"], "id": empty.cast(pa.int64()), "tf": empty.cast(pa.int64()), "degree": empty.cast(pa.int64())}).to_batches()
             yield from keep.select(["term", "df", "id", "tf", "degree"]).to_batches()
 
         for ids, texts in text_blocks(batches):
@@ -139,11 +214,12 @@ def _graph_runner(window: int, min_tf: int, max_df: int | None, id_type: pa.Data
             record, code, tf, degree = word_graph(words, window)
             df = np.bincount(code, minlength=len(words.vocabulary))
             counts.append(pa.table({"term": words.vocabulary, "df": pa.array(df, pa.int64())}))
+            counts.append(pa.table({"term": pa.array([None], pa.string()), "df": pa.array([len(np.unique(record))], pa.int64())}))  # without a term: the block's records
             often = np.flatnonzero(tf >= min_tf)
             scored.append(
                 pa.table({
                     "term": words.vocabulary.take(pa.array(code[often])), "df": pa.array(np.zeros(len(often)), pa.int64()),
-                    "id": pa.array(ids, id_type).take(pa.array(record[often])), "tf": pa.array(tf[often], pa.int64()), "degree": pa.array(degree[often], pa.int64()),
+                    "id": pa.array(ids, pa.int64()).take(pa.array(record[often])), "tf": pa.array(tf[often], pa.int64()), "degree": pa.array(degree[often], pa.int64()),
                 })
             )
             rows += len(counts[-1]) + len(scored[-1])
@@ -184,36 +260,27 @@ def _df_sum(parts: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(parts).group_by("term").aggregate([("df", "sum")]).rename_columns(["term", "df"])
 
 
-def _graph_rows(df: DataFrame, ident: str, text: str, window: int, min_tf: int, max_df: int | None) -> DataFrame:
-    rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).select("id", "text")
-    return rows.mapInArrow(_graph_runner(window, min_tf, max_df, pa.int64()), "term string, df bigint, id bigint, tf bigint, degree bigint")
-
-
-def distinctive_terms(df: DataFrame, ident: str, text: str, window: int = 4, min_tf: int = 1) -> DataFrame:
+def distinctive_terms(df: DataFrame, ident: str, text: str, window: int = 4, min_tf: int = 1, max_df: int | None = None, min_score: float = 0.0) -> DataFrame:
     """``id, term, tf, degree, df, score`` of every term of every record: degree in the record's word graph times rarity.
 
     The graph joins terms that stand within ``window`` words; a term's number of distinct neighbours replaces its
     frequency, so repetition in one phrase adds nothing. Rarity is ln((1 + records) / df) over records with a term, where df is the
-    number of records holding the term. ``min_tf`` drops terms rarer in their record from the result, not from
-    the counts. Null and empty texts have no terms; an empty table gives no rows; ``ident`` is unique; other columns are ignored.
+    number of records holding the term. ``min_tf`` drops terms rarer in their record from the result, ``max_df`` those in more records and ``min_score`` those
+    of less weight, none of them from the counts. With ``max_df`` a task sends a term's records only while they can still qualify, and a window over a term sees one count a task and at most
+    ``max_df`` scored rows a task, never the records of a common term. Null and empty texts have no terms; an empty table gives no rows; ``ident`` is unique; other columns are ignored.
     """
     rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).select("id", "text")
+    if max_df is not None:
+        found = cut(rows.mapInArrow(_graph_runner(window, min_tf, max_df), "term string, df bigint, id bigint, tf bigint, degree bigint"), "graph")
+        held = found.where(F.col("term").isNotNull()).withColumn("df", F.sum("df").over(Window.partitionBy("term"))).where(F.col("id").isNotNull() & (F.col("df") <= max_df))
+        records = found.where(F.col("term").isNull()).agg(F.sum("df")).first()[0] or 0
+        return _scored(held, records, min_score)
     blocks = cut(rows.mapInArrow(_block_runner(window, min_tf), "term string, df bigint, held array<struct<id:bigint,tf:bigint,degree:bigint>>"), "graph")
     total = blocks.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
     records = blocks.where(F.col("term").isNull()).agg(F.sum("df")).first()[0] or 0  # the row without term counts a block's records
-    scored = blocks.drop("df").join(total, "term").select("term", "df", F.inline("held"))
-    score = F.round(F.col("degree") * F.log((1 + F.lit(records)) / F.col("df")), 6)
-    return scored.select("id", "term", "tf", "degree", "df", score.alias("score"))
+    return _scored(blocks.drop("df").join(total, "term").select("term", "df", F.inline("held")), records, min_score)
 
 
-def rare_repeated_terms(df: DataFrame, ident: str, text: str, min_tf: int, max_df: int, records: int, window: int = 4) -> DataFrame:
-    """The rows of ``distinctive_terms`` with at least ``min_tf`` occurrences and at most ``max_df`` records, in one pass.
-
-    Each task sends a term's record count and the scored rows that can still qualify; the window over a term then sees
-    one count a task and at most ``max_df`` scored rows a task, never the records of a common term.
-    """
-    rows = _graph_rows(df, ident, text, window, min_tf, max_df)
-    total = F.sum("df").over(Window.partitionBy("term"))
-    kept = rows.withColumn("df", total).where(F.col("id").isNotNull() & (F.col("df") <= max_df))
+def _scored(held: DataFrame, records: int, min_score: float) -> DataFrame:
     score = F.round(F.col("degree") * F.log((1 + F.lit(records)) / F.col("df")), 6)
-    return kept.select("id", "term", "tf", "degree", "df", score.alias("score"))
+    return held.select("id", "term", "tf", "degree", "df", score.alias("score")).where(F.col("score") >= min_score)

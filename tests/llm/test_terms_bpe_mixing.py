@@ -1,5 +1,6 @@
 import math
 import os
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -46,6 +47,28 @@ def test_term_counts_against_brute_force(spark, max_n, monkeypatch):
     assert terms.term_counts(df(spark).limit(0), "id", "text").count() == 0
 
 
+def test_prefix_stack_of_many_batches():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    for max_n in (1, 2, 4):
+        parts = [terms.block_suffixes(words_of(texts[i : i + 7]), max_n) for i in range(0, 40, 7)]
+        keys = [f"w{k}" for k in range(max_n)]
+        rows = terms._summed(parts).sort_by([(k, "descending") for k in keys]).combine_chunks()
+        cf, rec = Counter(), defaultdict(set)
+        for i, t in enumerate(texts):
+            w = t.split()
+            for n in range(1, max_n + 1):
+                for k in range(len(w) - n + 1):
+                    cf[" ".join(w[k : k + n])] += 1
+                    rec[" ".join(w[k : k + n])].add(i)
+        for step in (1, 3, 1000):
+            stack, got = terms.PrefixStack(max_n), []
+            for at in range(0, len(rows), step):
+                got += stack.push(rows.slice(at, step).to_batches()[0]).to_pylist()
+            got += stack.end().to_pylist()
+            assert len(got) == len(cf) and {r["term"]: (r["cf"], r["df"]) for r in got} == {g: (cf[g], len(rec[g])) for g in cf}
+
+
 def test_usefulness_marks(spark):
     d = spark.createDataFrame([(2,), (3,), (20,), (21,)], "d bigint")
     from pyspark.sql import functions as F
@@ -74,8 +97,9 @@ def test_distinctive_terms_against_brute_force(spark, window):
         for t, (tf, degree) in graph(x, window).items():
             r = got[i, t]
             assert (r["tf"], r["degree"], r["df"]) == (tf, degree, held[t]) and math.isclose(r["score"], degree * math.log((1 + n) / held[t]), abs_tol=1e-6)
-    rare = terms.rare_repeated_terms(df(spark, data), "id", "text", min_tf=2, max_df=1, records=n, window=window)
-    assert {(r["id"], r["term"]) for r in rare.collect()} == {k for k, r in got.items() if r["tf"] >= 2 and r["df"] <= 1}
+    rare = terms.distinctive_terms(df(spark, data), "id", "text", window, min_tf=2, max_df=1)
+    assert sorted(map(tuple, rare.collect())) == sorted(tuple(r) for r in got.values() if r["tf"] >= 2 and r["df"] <= 1)
+    assert {r["term"] for r in terms.distinctive_terms(df(spark, data), "id", "text", window, min_score=4.0).collect()} == {t for (_, t), r in got.items() if r["score"] >= 4.0}
 
 
 needs_files = pytest.mark.skipif(not os.path.exists(f"{bpe.TOKENIZERS}/byte_bpe_50k.json"), reason="no vocabulary files here")
