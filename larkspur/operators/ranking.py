@@ -77,8 +77,8 @@ def all_scores(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MO
     """``query_no, doc_id`` and the models' scores of every document with a query term.
 
     One join and one aggregation serve all topics and models. What absent terms add to the language models is not
-    expanded into a grid of documents and terms: for Laplace it is a count, for Jelinek-Mercer a sum over the topic's own
-    short list of terms, computed in the candidate's row.
+    expanded into a grid of documents and terms: for Laplace it is a count, for Jelinek-Mercer a sum for each distinct
+    length of a topic's candidates, which are few.
     """
     unknown = set(models) - set(TERM_MODELS)
     if unknown:
@@ -90,12 +90,21 @@ def all_scores(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MO
     }
     found = matches(index, terms)
     present = found.groupBy("query_no", "doc_id").agg(F.first("len").alias("len"), *(F.sum(parts[m]).alias(m) for m in models))
+    if "jm" in models:
+        present = cut(present, "present")  # read twice: for the lengths and for the scores
     if not {"laplace", "jm"} & set(models):
         return present.select("query_no", "doc_id", *models)
-    asked = terms.join(index.terms, "term").groupBy("query_no").agg(F.collect_list(F.struct("ttf", "tlen")).alias("asked"))
-    grid = F.aggregate("asked", F.lit(0.0), lambda acc, t: acc + jm_absent(F.col("len"), t["ttf"], t["tlen"], compat))
-    whole = {"laplace": F.col("laplace") + F.size("asked") * F.log10(1 / (F.col("len") + F.lit(index.v))), "jm": F.col("jm") + grid}
-    return present.join(asked, "query_no").select("query_no", "doc_id", *(whole[m].alias(m) if m in whole else F.col(m) for m in models))
+    known = cut(terms.join(index.terms, "term").select("query_no", "ttf", "tlen"), "asked")
+    lengths = present.select("query_no", "len").distinct() if "jm" in models else None
+    counts = known.groupBy("query_no").agg(F.count("*").alias("n_asked"))
+    absent = counts
+    if lengths is not None:
+        # what absent terms give depends on topic and length alone
+        grid = lengths.join(known, "query_no").groupBy("query_no", "len").agg(F.sum(jm_absent(F.col("len"), F.col("ttf"), F.col("tlen"), compat)).alias("grid"))
+        absent = grid.join(counts, "query_no")
+    whole = {"laplace": F.col("laplace") + F.col("n_asked") * F.log10(1 / (F.col("len") + F.lit(index.v))), "jm": F.col("jm") + F.col("grid")}
+    joined = present.join(absent, ["query_no", "len"] if lengths is not None else ["query_no"])
+    return joined.select("query_no", "doc_id", *(whole[m].alias(m) if m in whole else F.col(m) for m in models))
 
 
 def run_of(index: Index, scores: DataFrame, score: str, most: int = RUN_LENGTH, digits: int = SCORE_DIGITS) -> DataFrame:
@@ -155,18 +164,19 @@ def proximity(index: Index, terms: DataFrame, most: int = RUN_LENGTH) -> DataFra
     return run_of(index, scored, "score", most)
 
 
-def borda(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MODELS, most: int = RUN_LENGTH) -> DataFrame:
-    """``query_no, doc_id, points``: each model gives a document 1001 less its rank, nothing beyond rank 1000; all candidates are kept.
+def borda(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MODELS, most: int = RUN_LENGTH, every: bool = True) -> DataFrame:
+    """``query_no, doc_id, points``: each model gives a document 1001 less its rank, nothing beyond rank 1000; all candidates are kept, or with ``every=False`` those with points.
 
-    Only each model's best documents are ranked, so a topic that most documents match is not sorted in one task.
+    The models' scores are stacked and ranked in one window, before whose shuffle each task drops what cannot be among a model's best, so a topic that most documents match is not sorted in one task.
     """
-    scores = cut(all_scores(index, terms, models).select("query_no", "doc_id", *(F.round(m, SCORE_DIGITS).alias(m) for m in models)), "scores")
-    given = None
-    for m in models:
-        part = ranked(scores.select("query_no", "doc_id", m), ["query_no"], m, ["doc_id"], most).select("query_no", "doc_id", (F.lit(most + 1) - F.col("rank")).alias("p"))
-        given = part if given is None else given.unionByName(part)
-    every = scores.select("query_no", "doc_id", F.lit(0).alias("p")).unionByName(given)
-    return every.groupBy("query_no", "doc_id").agg(F.sum("p").alias("points"))
+    scores = all_scores(index, terms, models).select("query_no", "doc_id", *(F.round(m, SCORE_DIGITS).alias(m) for m in models))
+    scores = cut(scores, "scores") if every else scores
+    stacked = scores.select("query_no", "doc_id", F.posexplode(F.array(*models)).alias("model", "score"))
+    placed = ranked(stacked, ["query_no", "model"], "score", ["doc_id"], most)
+    given = placed.groupBy("query_no", "doc_id").agg(F.sum(F.lit(most + 1) - F.col("rank")).cast("bigint").alias("points"))
+    if not every:
+        return given
+    return scores.select("query_no", "doc_id").join(given, ["query_no", "doc_id"], "left").select("query_no", "doc_id", F.coalesce("points", F.lit(0)).alias("points"))
 
 
 def search(index: Index, text: str, n: int = RUN_LENGTH, model: str = "bm25", drop_first: int = 0) -> DataFrame:

@@ -53,10 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset and all executors are on this machine."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("executors on several machines need a folder they share: set spark.checkpoint.dir")
     own = os.path.join(tempfile.gettempdir(), f"larkspur-{os.getpid()}")
     os.makedirs(own, exist_ok=True)
     spark.sparkContext.setCheckpointDir(own)
@@ -97,4 +99,7 @@ def cut_buckets(df: DataFrame, key: str, order: list[str], label: str) -> DataFr
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*order).option("path", where).format("parquet").saveAsTable(name)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.table(name)
+    bucketed = spark.table(name)
+    bucketed.schema  # resolved, so that the catalog need not keep the name
+    spark.sql(f"DROP TABLE {name}")
+    return bucketed
