@@ -135,6 +135,8 @@ NUMBER = re.compile(r"^[$€£+-]?\d")
 SENTENCE = re.compile(r"[.!?。！？…»]['\"”’»)]*$")
 #: Lines that stand in so large a part of all articles, or of a site's, belong to the sites; pages with one article count once. The first bounds how many there are.
 SHARE_OF_PAGES, SHARE_OF_SITE, SITE_PAGES = 0.004, 0.2, 3
+#: Forms of lines recur more easily; of all articles they must stand in this part.
+FORM_SHARE = 0.02
 #: Elements that are items of an article beside its paragraphs, and characters in which a line's lead ends in a colon.
 ITEMS, LEAD_CHARS = frozenset(("li", "dt", "dd", "blockquote", "pre")), 40
 #: Characters from which a line of sentences counts as running text.
@@ -152,7 +154,7 @@ def line_shape(line: str) -> str:
 
 
 def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[int, int, int, int, int, int, float]]:
-    """Of each non-blank line of a page's text: number, print, print of its form (0 for a sentence), section, characters, flags and smoothed path ratio.
+    """Of each non-blank line of a page's text: number, print, print of its form (negative; 0 for a sentence), section, characters, flags and smoothed path ratio.
 
     Lines are matched to the blocks of the mark-up in reading order; a line the (cut or missing) mark-up lacks has a path of its own.
     """
@@ -183,7 +185,7 @@ def page_lines(text: str, source: str | None, title: str | None) -> list[tuple[i
         flags |= DATA * bool(numbers and (2 * sum(numbers) >= len(numbers) or numbers[0] and len(numbers) <= 5))
         flags |= SITES * bool(LEGAL.search(line))
         flags |= TITLE * (len(line) > 8 and (name == line or name.startswith(line + " - ") or name.startswith(line + " | ")))
-        shape = 0 if ends or flags & (DATA | HEADLINE | TITLE) and ":" not in line[:LEAD_CHARS] else xxhash.xxh64_intdigest("form " + line_shape(line)) >> 1
+        shape = 0 if flags & (HEADLINE | TITLE) or ends and ":" not in line[:LEAD_CHARS] else -1 - (xxhash.xxh64_intdigest(line_shape(line)) >> 1)
         path = (block.section, block.path) if block else (-1, str(number))
         total = sums.setdefault(path, [0, 0, 0, 0])
         for k, n in enumerate((len(line), len(PUNCTUATION.findall(line)), 1, len(line) if flags & LINKED else 0)):
@@ -226,7 +228,7 @@ def article_lines(lines: list[tuple], furniture: Collection[int]) -> list[int]:
     """The numbers of the lines that belong to the article.
 
     Nodes whose smoothed path ratio is above the page's threshold are content. The section with most content is the article's; it begins at the headline and runs over its content nodes, as long
-    as the site's own lines don't begin. Between them headings, list items and table rows stay; before the first only headings and sentences, after the last only items, rows and sentences.
+    as the site's own lines don't begin. After the last of them, and the last list item, table row or sentence, only such stay.
     Lines that recur or whose form recurs, notes, pointers and comments are left out.
     """
     if not lines:
@@ -236,7 +238,9 @@ def article_lines(lines: list[tuple], furniture: Collection[int]) -> list[int]:
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     threshold = max(mean - 0.5 * spread, 0.3 * max(values))
     own = [x[1] in furniture and not x[5] & DATA or bool(x[5] & SITES) for x in lines]  # counts and table rows recur with other numbers
-    note = [bool(x[5] & NOTE) or x[2] != 0 and x[2] in furniture and not x[5] & (HEADLINE | TITLE) for x in lines]
+    data = [False, *(bool(x[5] & DATA) for x in lines), False]
+    rows = [data[i + 1] and (data[i] or data[i + 2]) for i in range(len(lines))]  # rows and counts that stand together recur in form alone
+    note = [bool(x[5] & NOTE) or x[2] != 0 and x[2] in furniture and not row for x, row in zip(lines, rows, strict=True)]
     content = [x[6] >= threshold and not site and not left for x, site, left in zip(lines, own, note, strict=True)]
     mass: dict[int, float] = {}
     for x, good in zip(lines, content, strict=True):
@@ -254,8 +258,7 @@ def article_lines(lines: list[tuple], furniture: Collection[int]) -> list[int]:
         start = next((i for i in inside if lines[i][5] & RUNNING), None)
         if start is None:
             return []
-    first = next((i for i in inside if i > start), start)
-    last = max((i for i in inside if i >= start), default=start)
+    last = max((i for i, x in enumerate(lines) if i >= start and x[3] == main and (content[i] or x[5] & (ENDS | ITEM | DATA)) and not own[i] and not note[i]), default=start)
     kept = [lines[start][0]]
     body = False
     for i in range(start + 1, len(lines)):
@@ -282,7 +285,7 @@ def article_lines(lines: list[tuple], furniture: Collection[int]) -> list[int]:
                 break
             if chars > 30 and not (bounded and flags & HEADING):
                 continue
-        if i < first and not content[i] and not flags & (HEADING | ENDS | ITEM | DATA) or i > last and not flags & (ENDS | ITEM | DATA):
+        if i > last and not flags & (ENDS | ITEM | DATA):
             continue
         kept.append(number)
         body = body or bool(flags & RUNNING) or chars > 20
@@ -342,7 +345,7 @@ def main_content(df: DataFrame, ident: str, url: str, text: str, source: str, ti
     articles = parsed.select("article").distinct().count()
     both = F.array_distinct(F.filter(F.concat("lines.print", "lines.shape"), lambda p: p != 0))
     prints = cut(parsed.select("site", "article", F.explode(both).alias("print")).distinct(), "prints")
-    often = prints.select("article", "print").distinct().groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= max(float(SITE_PAGES), SHARE_OF_PAGES * articles))
+    often = prints.select("article", "print").distinct().groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= F.greatest(F.lit(float(SITE_PAGES)), F.when(F.col("print") < 0, FORM_SHARE).otherwise(SHARE_OF_PAGES) * articles))
     furniture = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in often.select("print").toLocalIterator()))
     sizes = parsed.select("site", "article").distinct().groupBy("site").agg(F.count("*").alias("articles"))
     own = (

@@ -11,6 +11,8 @@ from larkspur.session import table
 SQL: dict[str, str] = {}
 
 SCORES = ["okapi_score", "tfidf_score", "bm25_score", "laplace_score"]
+#: A high value of each speaks for the document.
+DIRECTIONS = [1, 1, 1, 1]
 
 
 def _latest_scores(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
@@ -22,12 +24,16 @@ def _latest_scores(spark: SparkSession, sf_dir: str, columns: list[str]) -> Data
 
 def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused ranking of every judged document of every query."""
-    return fusion.fused_ranking(_latest_scores(spark, sf_dir, SCORES), "queryno", "docno", SCORES)
+    return _fused(spark, sf_dir).withColumn("projection", F.round("projection", 6))
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fused_ranking(_latest_scores(spark, sf_dir, SCORES), "queryno", "docno", SCORES, DIRECTIONS)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents of each query with at least 50 that lead its fused ranking."""
-    ranking = p2_ranking(spark, sf_dir).where(F.col("n") >= 50)
+    ranking = _fused(spark, sf_dir).where(F.col("n") >= 50)
     return topn.top_n_per_group(ranking, ["queryno"], "projection", "docno", 5).select("queryno", "docno")
 
 
@@ -46,6 +52,32 @@ SELECT queryno, docno FROM placed WHERE place <= 5
 """
 
 
+def _component_sql(rounds: int = 12) -> str:
+    """The loadings of the first component: the correlation matrix is squared again and again, until all its columns point along it."""
+    m = range(len(SCORES))
+    cells = [(i, j) for i in m for j in m if i <= j]
+
+    def cell(t: str, i: int, j: int) -> str:
+        return f"{t}.c{min(i, j)}{max(i, j)}"
+
+    steps = ["m0 AS MATERIALIZED (SELECT " + ", ".join(f"corr(z{i}, z{j}) AS c{i}{j}" for i, j in cells) + " FROM centred)"]
+    for k in range(rounds):
+        trace = " + ".join(cell(f"m{k}", i, i) for i in m)
+        products = ", ".join("(" + " + ".join(f"{cell(f'm{k}', i, x)} * {cell(f'm{k}', x, j)}" for x in m) + f") / (({trace}) * ({trace})) AS c{i}{j}" for i, j in cells)
+        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT {products} FROM m{k})")
+    rows = [" + ".join(cell("x", i, j) for j in m) for i in m]
+    norm = " + ".join(f"({r}) * ({r})" for r in rows)
+    steps.append(f"loading AS MATERIALIZED (SELECT {', '.join(f'({r}) / sqrt({norm}) / d{i} AS w{i}' for i, r in enumerate(rows))} FROM m{rounds} x, (SELECT {', '.join(f'stddev_pop(z{i}) AS d{i}' for i in m)} FROM centred))")
+    return ", ".join(steps)
+
+
+SQL["p2_ranking"] = SQL["p2_found"].split(",\nplaced AS")[0] + f"""
+, centred AS MATERIALIZED (SELECT queryno, docno, n, {", ".join(f"(1 + r{i} - (n + 1) / 2e0) / n AS z{i}" for i in range(len(SCORES)))} FROM ranks),
+{_component_sql()}
+SELECT queryno, docno, n, round({" + ".join(f"z{i} * w{i}" for i in range(len(SCORES)))}, 6) AS projection FROM centred, loading
+"""
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents of each query with the highest BM25 score."""
     rows = _latest_scores(spark, sf_dir, ["bm25_score"])
@@ -181,16 +213,78 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.overlap_report(_mail_overlaps(spark, sf_dir))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mail of a split with its class of equal mails and the number of mails of the other side it overlaps."""
+    rows = splits.overlap_classes(_mail_overlaps(spark, sf_dir))
+    return rows.select(F.col("id").alias("mail_id"), "side", F.col("class").cast("int").alias("class_id"), "members", "links")
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of equal mails that overlap, evaluation first."""
+    rows = splits.overlap_links(_mail_overlaps(spark, sf_dir))
+    return rows.select(F.col("class_1").cast("int").alias("class_1"), F.col("class_2").cast("int").alias("class_2"), "exact")
+
+
+# words become characters, so that the edit distance of strings is that of word sequences
+_OVERLAP_SQL = r"""
+WITH one AS (
+  SELECT mail_id, side, split, source, array_to_string(l, ' ') AS canon, len(l) AS n, l FROM (
+    SELECT mail_id, CASE WHEN lower(trim(min(split))) = 'train' THEN 'train' WHEN lower(trim(min(split))) IN ('dev', 'test') THEN 'eval' END AS side,
+           lower(trim(min(split))) AS split, min(source) AS source, regexp_extract_all(lower(min(body)), '[\p{L}\p{N}]+') AS l FROM mails WHERE body IS NOT NULL GROUP BY mail_id)
+  WHERE side IS NOT NULL AND len(l) > 0
+), vocabulary AS (SELECT w, row_number() OVER (ORDER BY w) AS r FROM (SELECT DISTINCT unnest(l) AS w FROM one)),
+classes AS (SELECT canon, min(mail_id) AS class_id, any_value(n) AS n, any_value(l) AS l, count(*) FILTER (WHERE side = 'train') AS n_train, count(*) FILTER (WHERE side = 'eval') AS n_eval FROM one GROUP BY canon),
+coded AS (
+  SELECT class_id, string_agg(chr(CAST(CASE WHEN r < 50000 THEN r + 256 ELSE r + 10000 END AS INTEGER)), '' ORDER BY pos) AS s
+  FROM (SELECT class_id, generate_subscripts(l, 1) AS pos, unnest(l) AS w FROM classes WHERE n >= 20) JOIN vocabulary USING (w) GROUP BY class_id
+), long AS MATERIALIZED (SELECT class_id, n, n_train, n_eval, s FROM classes JOIN coded USING (class_id)),
+links AS MATERIALIZED (
+  SELECT class_id AS class_1, class_id AS class_2, true AS exact FROM classes WHERE n_train > 0 AND n_eval > 0
+  UNION ALL
+  SELECT a.class_id, b.class_id, false FROM long a JOIN long b ON a.n_eval > 0 AND b.n_train > 0 AND a.class_id <> b.class_id AND abs(a.n - b.n) <= greatest(a.n, b.n) // 5
+    AND levenshtein(a.s, b.s) <= greatest(a.n, b.n) // 5
+), members AS (SELECT one.*, class_id, n_train, n_eval FROM one JOIN classes USING (canon))
+"""
+SQL["p1_links"] = _OVERLAP_SQL + "SELECT class_1, class_2, exact FROM links"
+SQL["p1_found"] = _OVERLAP_SQL + """
+SELECT DISTINCT least(e.mail_id, t.mail_id) AS mail_id_1, greatest(e.mail_id, t.mail_id) AS mail_id_2
+FROM links JOIN members e ON e.class_id = class_1 AND e.side = 'eval' AND e.n >= 20 JOIN members t ON t.class_id = class_2 AND t.side = 'train'
+"""
+SQL["p1_report"] = _OVERLAP_SQL + """
+, met AS (SELECT class_1 AS class_id, max(CASE WHEN exact THEN 1 ELSE 0 END) AS exact, sum(n_train) AS met FROM links JOIN classes ON classes.class_id = class_2 GROUP BY class_1)
+SELECT split, source, count(*) AS records, count(*) FILTER (WHERE exact = 1) AS exact, count(*) FILTER (WHERE exact = 0) AS near, CAST(coalesce(sum(met), 0) AS BIGINT) AS training_records_met
+FROM members LEFT JOIN met USING (class_id) WHERE side = 'eval' GROUP BY split, source
+"""
+SQL["p1_classes"] = _OVERLAP_SQL + """
+, to_train AS (SELECT class_1 AS class_id, sum(n_train) AS k FROM links JOIN classes ON classes.class_id = class_2 GROUP BY class_1),
+to_eval AS (SELECT class_2 AS class_id, sum(n_eval) AS k FROM links JOIN classes ON classes.class_id = class_1 GROUP BY class_2)
+SELECT mail_id, side, class_id, n_train + n_eval AS members, CAST(coalesce(CASE WHEN side = 'eval' THEN t.k ELSE e.k END, 0) AS BIGINT) AS links
+FROM members LEFT JOIN to_train t USING (class_id) LEFT JOIN to_eval e USING (class_id)
+"""
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories that have a passage of at least 200 characters in common."""
     pairs = spans.sharing_pairs(spans.find_shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return pairs.select(F.col("id_1").alias("doc_id_1"), F.col("id_2").alias("doc_id_2"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every story of at least 200 characters with its class of equal stories and the number of stories it shares a passage with."""
+    rows = spans.sharing_classes(spans.find_shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "members", "links")
+
+
+def p10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of equal stories that have a passage in common."""
+    return spans.sharing_links(spans.find_shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shared passages of every story and how much of it they cover."""
     documents = table(spark, sf_dir, "documents")
-    return spans.shared_coverage(documents, "doc_id", "text", spans.find_shared_spans(documents, "doc_id", "text"))
+    rows = spans.shared_coverage(documents, "doc_id", "text", spans.find_shared_spans(documents, "doc_id", "text"))
+    return rows.withColumn("passages", F.array_join(F.transform("passages", lambda p: F.concat(p["start"].cast("string"), F.lit("-"), p["stop"].cast("string"))), " "))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,8 +297,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.main_content(table(spark, sf_dir, "pages"), "page_id", "url", "text", "html_source", "title")
 
 
-SQL["p10_found"] = """
-WITH stretches AS (SELECT DISTINCT doc_id, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
-shared AS (SELECT s FROM stretches GROUP BY s HAVING count(*) > 1)
-SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM stretches a JOIN shared USING (s) JOIN stretches b ON a.s = b.s AND a.doc_id < b.doc_id
+_STRETCHES_SQL = """
+WITH places AS (SELECT doc_id, text, i, substr(text, i, 200) AS s FROM (SELECT doc_id, text, CAST(unnest(range(1, length(text) - 198)) AS INTEGER) AS i FROM documents WHERE length(text) >= 200)),
+stretches AS (SELECT DISTINCT doc_id, s FROM places),
+shared AS MATERIALIZED (SELECT s FROM stretches GROUP BY s HAVING count(*) > 1),
+linked AS MATERIALIZED (SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM stretches a JOIN shared USING (s) JOIN stretches b ON a.s = b.s AND a.doc_id < b.doc_id),
+classes AS (SELECT text, min(doc_id) AS class_id, count(*) AS members FROM documents WHERE length(text) >= 200 GROUP BY text),
+members AS MATERIALIZED (SELECT doc_id, class_id, members FROM documents JOIN classes USING (text))
+"""
+SQL["p10_found"] = _STRETCHES_SQL + "SELECT doc_id_1, doc_id_2 FROM linked"
+SQL["p10_links"] = _STRETCHES_SQL + """
+SELECT DISTINCT least(a.class_id, b.class_id) AS class_1, greatest(a.class_id, b.class_id) AS class_2
+FROM linked JOIN members a ON a.doc_id = doc_id_1 JOIN members b ON b.doc_id = doc_id_2 WHERE a.class_id <> b.class_id
+"""
+SQL["p10_classes"] = _STRETCHES_SQL + """
+, met AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id_1 AS doc_id FROM linked UNION ALL SELECT doc_id_2 FROM linked) GROUP BY doc_id)
+SELECT doc_id, class_id, members, coalesce(k, 0) AS links FROM members LEFT JOIN met USING (doc_id)
+"""
+SQL["p10_coverage"] = _STRETCHES_SQL + """
+, held AS (SELECT doc_id, i, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) >= i - 200 THEN 0 ELSE 1 END AS starts FROM places JOIN shared USING (s)),
+islands AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM held),
+spans AS (SELECT doc_id, min(i) - 1 AS a, max(i) + 199 AS b FROM islands GROUP BY doc_id, island),
+per AS (SELECT doc_id, string_agg(a || '-' || b, ' ' ORDER BY a) AS passages, CAST(sum(b - a) AS BIGINT) AS shared_chars FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, coalesce(passages, '') AS passages, coalesce(shared_chars, 0) AS shared_chars,
+  round(CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0) / CAST(length(text) AS DOUBLE) ELSE 0 END, 6) AS shared_share
+FROM documents LEFT JOIN per USING (doc_id)
 """

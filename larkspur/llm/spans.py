@@ -18,9 +18,9 @@ from larkspur.session import cut
 BLOCK_CHARS = 100_000
 #: Occurrences of a key up to which they are compared two by two; those of more frequent keys meet by their whole stretches.
 COMPARED = 100
-#: Two groups of equal texts are spelt out as pairs up to so many; beyond, each text is paired with the other group's first.
+#: Two groups of equal texts are spelt out as pairs up to so many; beyond, each text is paired with the other group's first, and class rows and links say the rest.
 SPELT_OUT = 1_000_000
-#: Keys a task remembers to have met in several texts.
+#: Keys a task remembers to have met in several texts, and texts it remembers to have read; what it forgets it sends again, and the reducer drops it.
 REMEMBERED = 500_000
 #: A symbol may take part in a round only up to this length, which grows by this factor from round to round.
 FIRST_LENGTH, LENGTH_GROWTH = 2.0, 1.45
@@ -241,6 +241,8 @@ def _anchor_runner(length: int):
             for p, t in zip(batch.column("print").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if p in done:
                     continue
+                if len(done) > REMEMBERED:
+                    done.clear()
                 done.add(p)
                 if texts and size + len(t) > BLOCK_CHARS:
                     yield block(prints, texts)
@@ -335,18 +337,38 @@ class SharedSpans:
     stretches: DataFrame
 
 
+def printed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, text) with a print for each different text, and the texts: print, members, first member, length.
+
+    The print has 64 bits. A second hash, of other 64, tells whether different texts have one in common, which n texts make expect n * n / 2**65 times, three times among ten
+    thousand million; such texts get prints of both hashes.
+    """
+    both = rows.select("id", "text", F.xxhash64("text").alias("print"), F.xxhash64(F.lit(1), "text").alias("second"))
+
+    def classes(df: DataFrame) -> DataFrame:
+        found = df.groupBy("print").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.max(F.length("text")).alias("length"), F.min("second").alias("low"), F.max("second").alias("high"))
+        return cut(found, "classes")
+
+    found = classes(both)
+    clashes = [r[0] for r in found.where("low <> high").select("print").toLocalIterator()]
+    if clashes:
+        both = both.withColumn("print", F.when(F.col("print").isin(clashes), F.xxhash64("print", "second")).otherwise(F.col("print")))
+        found = classes(both)
+    return both.drop("second"), found.drop("low", "high")
+
+
 def find_shared_spans(df: DataFrame, ident: str, text: str, length: int = 200, compared: int = COMPARED) -> SharedSpans:
     """Passages of at least ``length`` characters that two records have in common, character for character.
 
-    Equal texts are one, known by a 64-bit print. Each text is recompressed in rounds that name runs and pairs by hashes, so that
+    Equal texts are one, known by 128 bits. Each text is recompressed in rounds that name runs and pairs by hashes, so that
     the same characters get the same symbols in every task without an exchange; ``anchors`` gives keys of which any two
     equal stretches have one in common. One shuffle brings equal keys together. Texts with a key in common are compared there;
-    keys of more than ``compared`` occurrences are settled by hashes of whole stretches, so that no frequent key is ever expanded into pairs that need not match.
+    keys of more than ``compared`` occurrences are settled by 128-bit hashes of whole stretches, so that no frequent key is ever expanded into pairs that need not match.
+    Matches, classes and members are joined without broadcast, so none of them reaches the driver.
 
     Null texts and texts shorter than ``length`` share nothing; ``ident`` is unique; other columns are ignored; an empty table gives empty tables.
     """
-    rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length("text") >= length)
-    rows = rows.select("id", F.xxhash64("text").alias("print"), "text")
+    rows, texts = printed(df.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length("text") >= length))
     found = rows.select("print", "text").mapInArrow(_anchor_runner(length), "route bigint, key bigint, print bigint, start int, end int, shared boolean")
     shared = cut(
         found.repartition("route").sortWithinPartitions("key").mapInArrow(_shared_runner, "key bigint, print bigint, start int, end int").dropDuplicates(),
@@ -364,12 +386,11 @@ def find_shared_spans(df: DataFrame, ident: str, text: str, length: int = 200, c
         .withColumn("size", F.col("hi") + 2 * length - F.col("from"))
     )
     needed = shared.select("print").distinct()
-    texts = rows.groupBy("print").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.max(F.length("text")).alias("length"))
     # each text that is needed is read from its first record alone, by a key that no two records share
-    first = texts.join(needed, "print").select(F.col("first").alias("id"))
-    whole = cut(rows.join(first, "id", "left_semi").select("print", "text"), "texts")
-    one = diagonals.join(whole.withColumnRenamed("print", "pa"), "pa").withColumn("ta", F.substring("text", F.col("from") + 1, F.col("size"))).drop("text")
-    two = one.join(whole.withColumnRenamed("print", "pb"), "pb").withColumn("tb", F.substring("text", F.col("from") - F.col("diagonal") + 1, F.col("size")))
+    first = texts.join(needed.hint("merge"), "print").select(F.col("first").alias("id"))
+    whole = cut(rows.join(first.hint("merge"), "id", "left_semi").select("print", "text"), "texts")
+    one = diagonals.join(whole.withColumnRenamed("print", "pa").hint("merge"), "pa").withColumn("ta", F.substring("text", F.col("from") + 1, F.col("size"))).drop("text")
+    two = one.join(whole.withColumnRenamed("print", "pb").hint("merge"), "pb").withColumn("tb", F.substring("text", F.col("from") - F.col("diagonal") + 1, F.col("size")))
     matches = two.select("pa", "pb", "from", "diagonal", "ta", "tb").mapInArrow(_match_runner(length), "pa bigint, pb bigint, sa int, sb int, n int")
     around = (
         many.join(whole, "print").withColumn("from", F.greatest(F.lit(0), F.col("start") - length))
@@ -380,22 +401,44 @@ def find_shared_spans(df: DataFrame, ident: str, text: str, length: int = 200, c
     return SharedSpans(rows.select("print", "id", F.length("text").alias("length")), texts, cut(matches, "matches"), cut(stretches.join(several, ["w1", "w2"], "left_semi"), "stretches"))
 
 
+def linked_texts(found: SharedSpans) -> DataFrame:
+    """``pa, pb``: every two different texts with a common passage, by print."""
+    a, b = found.stretches.alias("a"), found.stretches.alias("b")
+    # a passage's first common stretch is the one before which the texts differ, so each passage is met once
+    often = a.join(b, (F.col("a.w1") == F.col("b.w1")) & (F.col("a.w2") == F.col("b.w2")) & (F.col("a.print") < F.col("b.print")) & ((F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1)))
+    return found.matches.select("pa", "pb").unionByName(often.select(F.col("a.print").alias("pa"), F.col("b.print").alias("pb"))).distinct()
+
+
+def sharing_links(found: SharedSpans) -> DataFrame:
+    """``class_1, class_2``: every two classes of equal records whose texts have a common passage; a class is known by its least record."""
+    c = found.classes.select("print", "first")
+    both = linked_texts(found).join(c.select(F.col("print").alias("pa"), F.col("first").alias("x")).hint("merge"), "pa").join(c.select(F.col("print").alias("pb"), F.col("first").alias("y")).hint("merge"), "pb")
+    return both.select(F.least("x", "y").alias("class_1"), F.greatest("x", "y").alias("class_2"))
+
+
+def sharing_classes(found: SharedSpans) -> DataFrame:
+    """``id, class, members, links``: every record long enough, its class of equal records, that class' size, and with how many other records it has a passage in common."""
+    c = found.classes.select("print", "first", "members")
+    linked = linked_texts(found)
+    each = linked.select(F.col("pa").alias("print"), F.col("pb").alias("other")).unionByName(linked.select(F.col("pb").alias("print"), F.col("pa").alias("other")))
+    met = each.join(c.select(F.col("print").alias("other"), "members").hint("merge"), "other").groupBy("print").agg(F.sum("members").alias("met"))
+    rows = found.texts.select("id", "print").join(c.hint("merge"), "print").join(met.hint("merge"), "print", "left")
+    return rows.select("id", F.col("first").alias("class"), "members", (F.coalesce("met", F.lit(0)) + F.col("members") - 1).alias("links"))
+
+
 def sharing_pairs(found: SharedSpans, spelt_out: int = SPELT_OUT) -> DataFrame:
     """``id_1, id_2`` (smaller first) of every two records with a common passage.
 
     Two groups of equal texts with more than ``spelt_out`` pairs are given as stars: every member with the first of the other
-    group, and every member of a large group with its first. No link between different texts is lost.
+    group, and every member of a large group with its first. No link between different texts is lost; ``sharing_classes`` and ``sharing_links`` give all links in rows that grow with records and class pairs.
     """
-    a, b = found.stretches.alias("a"), found.stretches.alias("b")
-    # a passage's first common stretch is the one before which the texts differ, so each passage is met once
-    often = a.join(b, (F.col("a.w1") == F.col("b.w1")) & (F.col("a.w2") == F.col("b.w2")) & (F.col("a.print") < F.col("b.print")) & ((F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1)))
-    linked = found.matches.select("pa", "pb").unionByName(often.select(F.col("a.print").alias("pa"), F.col("b.print").alias("pb"))).distinct()
+    linked = linked_texts(found)
     ca = found.classes.select(F.col("print").alias("pa"), F.col("members").alias("na"), F.col("first").alias("fa"))
     cb = found.classes.select(F.col("print").alias("pb"), F.col("members").alias("nb"), F.col("first").alias("fb"))
-    links = linked.join(ca, "pa").join(cb, "pb")
-    ma, mb = found.texts.select(F.col("print").alias("pa"), F.col("id").alias("x")), found.texts.select(F.col("print").alias("pb"), F.col("id").alias("y"))
+    links = linked.join(ca.hint("merge"), "pa").join(cb.hint("merge"), "pb")
+    ma, mb = found.texts.select(F.col("print").alias("pa"), F.col("id").alias("x")).hint("merge"), found.texts.select(F.col("print").alias("pb"), F.col("id").alias("y")).hint("merge")
     few, many = links.where(F.col("na") * F.col("nb") <= spelt_out), links.where(F.col("na") * F.col("nb") > spelt_out)
-    equal = found.texts.join(found.classes.where("members > 1").select("print", "members", "first"), "print")
+    equal = found.texts.join(found.classes.where("members > 1").select("print", "members", "first").hint("merge"), "print")
     small = equal.where(F.col("members") * F.col("members") <= spelt_out)
     s, t = small.alias("s"), small.alias("t")
     pairs = (

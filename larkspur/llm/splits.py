@@ -18,7 +18,7 @@ from larkspur.session import cut
 WORDS_PER_EDIT = 5
 #: Counters of word pairs by hash; fixed, so that the table of them has at most so many rows whatever the collection's size.
 BUCKETS = 1 << 20
-#: Two groups of equal records are spelt out as pairs up to so many; beyond, each record is paired with the other group's first.
+#: Two groups of equal records are spelt out as pairs up to so many; beyond, each record is paired with the other group's first, and class rows and links say the rest.
 SPELT_OUT = 1_000_000
 
 
@@ -108,24 +108,37 @@ def _rarest_runner(counts):
     return run
 
 
+def nearly_equal(a: list[str], b: list[str]) -> bool:
+    """Whether at most one word in WORDS_PER_EDIT of the longer record is edited; an edit touches one word and two adjacent pairs, which rules most out."""
+    most = max(len(a), len(b)) // WORDS_PER_EDIT
+    if len(set(a) - set(b)) > most or len(set(b) - set(a)) > most:
+        return False
+    if len(set(zip(a, a[1:], strict=False)) - set(zip(b, b[1:], strict=False))) > 2 * most:
+        return False
+    return within_edits(a, b, most)
+
+
 def _verify_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("wa").to_pylist(), batch.column("wb").to_pylist()
+        words: dict[str, list[str]] = {}
         keep = []
-        for x, y in zip(a, b, strict=True):
-            u, v = x.split(" "), y.split(" ")
-            keep.append(within_edits(u, v, max(len(u), len(v)) // WORDS_PER_EDIT))
+        for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
+            for t in (x, y):
+                if t not in words:
+                    words[t] = t.split(" ")
+            keep.append(nearly_equal(words[x], words[y]))
         yield pa.RecordBatch.from_arrays([batch.column("ca"), batch.column("cb")], ["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
 
 @dataclass
 class Overlaps:
     """``members``: id, split, source, side (eval or train) and class of each record; ``links``: (ca, cb), the class of an
-    evaluation record and that of a training record, equal (ca = cb) or nearly so; ``classes``: sizes and first members."""
+    evaluation record and that of a training record, equal (ca = cb) or nearly so; ``classes``: sizes and first members. ``min_words``: words from which records are compared."""
 
     members: DataFrame
     classes: DataFrame
     links: DataFrame
+    min_words: int
 
 
 def find_overlaps(df: DataFrame, ident: str, text: str, split: str, source: str, train: str, evaluation: list[str], min_words: int = 20) -> Overlaps:
@@ -137,14 +150,14 @@ def find_overlaps(df: DataFrame, ident: str, text: str, split: str, source: str,
     the rarest of each, as many as can be missing plus one, have one in common. Hashes of those are joined, evaluation against training, the join condition drops
     most pairs by length and parity bits, and an exact comparison of the words follows. Nothing is lost on the way: all filters are bounds.
 
-    Rows of one ``ident`` count once. Null texts, texts without words and rows of another or no split are no overlap;
+    Rows of one ``ident`` count once (the least, should they differ). Links, classes and members are joined without broadcast, so none of them reaches the driver. Null texts, texts without words and rows of another or no split are no overlap;
     split names are trimmed and lower-cased; a null source is a source. A frequent word pair makes a skewed join key, which adaptive execution splits.
     """
     rows = df.select(F.col(ident).alias("id"), F.lower(F.trim(F.col(split))).alias("split"), F.col(source).alias("source"), F.col(text).alias("text"))
     side = F.when(F.col("split") == train, F.lit("train")).when(F.col("split").isin(evaluation), F.lit("eval"))
     canon = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
     records = cut(
-        rows.withColumn("side", side).where(F.col("side").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["id"])
+        rows.withColumn("side", side).where(F.col("side").isNotNull() & F.col("text").isNotNull()).groupBy("id").agg(F.min(F.struct("side", "split", "source", "text")).alias("m")).select("id", "m.*")
         .withColumn("canon", canon).where(F.col("canon") != "").withColumn("h", F.unhex(F.md5("canon"))).drop("text"),
         "records",
     )
@@ -157,7 +170,7 @@ def find_overlaps(df: DataFrame, ident: str, text: str, split: str, source: str,
         ).withColumn("n", F.length("canon") - F.length(F.replace("canon", F.lit(" "), F.lit(""))) + 1),
         "classes",
     )
-    members = records.drop("canon").join(classes.select("h", "c", "n"), "h").drop("h")
+    members = records.drop("canon").join(classes.select("h", "c", "n").hint("merge"), "h").drop("h")
     long = classes.where(F.col("n") >= min_words).select(F.col("c").alias("id"), F.col("canon").alias("text"), "n_train", "n_eval")
     texts = long.select("id", "text")
     spark = df.sparkSession
@@ -173,22 +186,23 @@ def find_overlaps(df: DataFrame, ident: str, text: str, split: str, source: str,
     near = a.join(b, (F.col("a.pair") == F.col("b.pair")) & (F.col("a.c") != F.col("b.c")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (apart <= 2 * edits))
     candidates = near.select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct()
     wa, wb = classes.select(F.col("c").alias("ca"), F.col("canon").alias("wa")), classes.select(F.col("c").alias("cb"), F.col("canon").alias("wb"))
-    found = candidates.join(wa, "ca").join(wb, "cb").select("ca", "cb", "wa", "wb").mapInArrow(_verify_runner, "ca bigint, cb bigint")
+    found = candidates.join(wa.hint("merge"), "ca").join(wb.hint("merge"), "cb").select("ca", "cb", "wa", "wb").mapInArrow(_verify_runner, "ca bigint, cb bigint")
     equal = classes.where("n_train > 0 AND n_eval > 0").select(F.col("c").alias("ca"), F.col("c").alias("cb"))
-    return Overlaps(cut(members, "members"), classes.drop("canon", "h"), cut(equal.unionByName(found), "links"))
+    return Overlaps(cut(members, "members"), classes.drop("canon", "h"), cut(equal.unionByName(found), "links"), min_words)
 
 
-def overlapping_pairs(found: Overlaps, min_words: int = 20, spelt_out: int = SPELT_OUT) -> DataFrame:
+def overlapping_pairs(found: Overlaps, spelt_out: int = SPELT_OUT) -> DataFrame:
     """``id_1, id_2`` (smaller first) of every evaluation record and every training record whose classes overlap.
 
-    Two classes with more than ``spelt_out`` such pairs are given as stars: every member with the first member of the other class.
+    Two classes with more than ``spelt_out`` such pairs are given as stars: every member with the first member of the other class;
+    ``overlap_classes`` and ``overlap_links`` give the same links whole, in rows that grow with records and class pairs.
     """
-    c = found.classes.where(F.col("n") >= min_words)
-    ea = c.select(F.col("c").alias("ca"), "n_eval", "first_eval")
-    tb = c.select(F.col("c").alias("cb"), "n_train", "first_train")
+    c = found.classes.where(F.col("n") >= found.min_words)
+    ea = c.select(F.col("c").alias("ca"), "n_eval", "first_eval").hint("merge")
+    tb = c.select(F.col("c").alias("cb"), "n_train", "first_train").hint("merge")
     links = found.links.join(ea, "ca").join(tb, "cb")
-    ev = found.members.where("side = 'eval'").select(F.col("c").alias("ca"), F.col("id").alias("e"))
-    tr = found.members.where("side = 'train'").select(F.col("c").alias("cb"), F.col("id").alias("t"))
+    ev = found.members.where("side = 'eval'").select(F.col("c").alias("ca"), F.col("id").alias("e")).hint("merge")
+    tr = found.members.where("side = 'train'").select(F.col("c").alias("cb"), F.col("id").alias("t")).hint("merge")
     few = links.where(F.col("n_eval") * F.col("n_train") <= spelt_out).select("ca", "cb")
     many = links.where(F.col("n_eval") * F.col("n_train") > spelt_out)
     pairs = (
@@ -199,14 +213,29 @@ def overlapping_pairs(found: Overlaps, min_words: int = 20, spelt_out: int = SPE
     return pairs.select(F.least("e", "t").alias("id_1"), F.greatest("e", "t").alias("id_2")).distinct()
 
 
+def overlap_links(found: Overlaps) -> DataFrame:
+    """``class_1, class_2, exact``: every class with evaluation records and class with training records that overlap; a class is known by its least record."""
+    return found.links.select(F.col("ca").alias("class_1"), F.col("cb").alias("class_2"), (F.col("ca") == F.col("cb")).alias("exact"))
+
+
+def overlap_classes(found: Overlaps) -> DataFrame:
+    """``id, side, class, members, links``: every record of either side, its class of equal records, that class' size, and how many records of the other side it overlaps."""
+    sizes = found.classes.select("c", "n_eval", "n_train", (F.col("n_eval") + F.col("n_train")).alias("members")).hint("merge")
+    to_train = found.links.join(sizes.select(F.col("c").alias("cb"), "n_train"), "cb").groupBy(F.col("ca").alias("c")).agg(F.sum("n_train").alias("to_train"))
+    to_eval = found.links.join(sizes.select(F.col("c").alias("ca"), "n_eval"), "ca").groupBy(F.col("cb").alias("c")).agg(F.sum("n_eval").alias("to_eval"))
+    rows = found.members.join(sizes, "c").join(to_train.hint("merge"), "c", "left").join(to_eval.hint("merge"), "c", "left")
+    links = F.when(F.col("side") == "eval", F.col("to_train")).otherwise(F.col("to_eval"))
+    return rows.select("id", "side", F.col("c").alias("class"), "members", F.coalesce(links, F.lit(0)).alias("links"))
+
+
 def overlap_report(found: Overlaps) -> DataFrame:
     """Per evaluation split and source: records, those with an exact and with only a near overlap, and the training records they meet."""
     sizes = found.classes.select(F.col("c").alias("cb"), "n_train")
     per_class = (
-        found.links.join(sizes, "cb").groupBy(F.col("ca").alias("c"))
+        found.links.join(sizes.hint("merge"), "cb").groupBy(F.col("ca").alias("c"))
         .agg(F.max((F.col("ca") == F.col("cb")).cast("int")).alias("exact"), F.sum("n_train").alias("met"))
     )
-    ev = found.members.where("side = 'eval'").join(per_class, "c", "left")
+    ev = found.members.where("side = 'eval'").join(per_class.hint("merge"), "c", "left")
     return ev.groupBy("split", "source").agg(
         F.count("*").alias("records"), F.count_if(F.col("exact") == 1).alias("exact"), F.count_if(F.col("exact") == 0).alias("near"),
         F.coalesce(F.sum("met"), F.lit(0)).alias("training_records_met"),

@@ -20,7 +20,7 @@ HELD_ROWS = 1_000_000
 def block_suffixes(words: Words, max_n: int) -> pa.Table:
     """The distinct suffixes of a block's records, truncated to ``max_n`` words, with what they add to the counts of their prefixes.
 
-    Columns ``w0..``: the words (null past a record's end); ``cf``: occurrences; ``d0..``: of those, the ones that are their record's first with the prefix of that length, so that
+    Columns ``suffix``: its words; ``cf``: occurrences; ``d0..``: of those, the ones that are their record's first with the prefix of that length, so that
     record sets become numbers that add up. Suffixes count for their prefixes of two and more words; a row of one word counts for the word, so that what follows a frequent word need not meet.
     """
     size = len(words.code)
@@ -52,10 +52,8 @@ def block_suffixes(words: Words, max_n: int) -> pa.Table:
         else:
             whole = np.ones(len(heads), dtype=bool)
         kept = heads[whole]
-        data = {}
-        for k, column in enumerate(columns):
-            codes = column[kept] if k <= depth else np.full(len(kept), -1, dtype=np.int64)
-            data[f"w{k}"] = words.vocabulary.take(pa.array(codes, mask=codes < 0))
+        parted = [words.vocabulary.take(pa.array(c[kept], mask=c[kept] < 0)) for c in columns[: depth + 1]]
+        data = {"suffix": pc.binary_join_element_wise(*parted, " ", null_handling="skip") if depth else parted[0]}
         data["cf"] = pa.array(np.diff(np.append(heads, size))[whole], pa.int64())
         for k in range(max_n):
             counted = (k == 0) if depth == 0 else 0 < k
@@ -66,8 +64,15 @@ def block_suffixes(words: Words, max_n: int) -> pa.Table:
 
 def _summed(parts: list[pa.Table]) -> pa.Table:
     names = parts[0].column_names
-    keys, sums = [c for c in names if c[0] == "w"], [c for c in names if c[0] != "w"]
-    return pa.concat_tables(parts).group_by(keys).aggregate([(c, "sum") for c in sums]).select([*keys, *(f"{c}_sum" for c in sums)]).rename_columns(names)
+    return pa.concat_tables(parts).group_by("suffix").aggregate([(c, "sum") for c in names[1:]]).select(["suffix", *(f"{c}_sum" for c in names[1:])]).rename_columns(names)
+
+
+def _packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Suffix and, as one value of 32-bit numbers, its counts."""
+    counts = np.stack([rows[c].to_numpy() for c in rows.column_names[1:]], axis=1).astype("<i4")
+    width = counts.shape[1] * 4
+    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(counts.tobytes())])
+    yield from pa.table({"suffix": rows["suffix"], "counts": packed.cast(pa.binary())}).to_batches()
 
 
 def _suffix_runner(max_n: int):
@@ -81,10 +86,10 @@ def _suffix_runner(max_n: int):
                 parts = [_summed(parts)]
                 rows = floor = len(parts[0])
                 if rows > HELD_ROWS:
-                    yield from parts[0].to_batches()
+                    yield from _packed(parts[0])
                     parts, rows, floor = [], 0, 0
         if parts:
-            yield from _summed(parts).to_batches()
+            yield from _packed(_summed(parts))
 
     return run
 
@@ -111,16 +116,18 @@ class PrefixStack:
     def push(self, batch: pa.RecordBatch) -> pa.Table:
         """The prefixes that close within the batch."""
         size = len(batch)
-        words = [batch.column(f"w{k}") for k in range(self.max_n)]
+        parted = pc.list_slice(pc.split_pattern(batch.column("suffix"), " "), 0, self.max_n, return_fixed_size_list=True)
+        words = [parted.values.take(pa.array(np.arange(size) * self.max_n + k)) for k in range(self.max_n)]
         single = np.asarray(pc.is_null(words[1])) if self.max_n > 1 else np.ones(size, dtype=bool)
-        cf = batch.column("cf").to_numpy()
+        sums = np.frombuffer(batch.column("counts").cast(pa.binary(4 * self.max_n + 4)).buffers()[1], dtype="<i4")[: size * (self.max_n + 1)].reshape(size, -1).astype(np.int64)
+        cf = sums[:, 0]
         departs = np.zeros(size, dtype=bool)
         closed = []
         for k, word in enumerate(words):
             held = word.fill_null("")  # no word is empty
             departs[1:] |= np.asarray(pc.not_equal(held.slice(1), held.slice(0, size - 1)))
             departs[0] |= self.last is None or (self.last[k] or "") != held[0].as_py()
-            counts = np.where(single == (k == 0), cf, 0), batch.column(f"d{k}").to_numpy()
+            counts = np.where(single == (k == 0), cf, 0), sums[:, k + 1]
             at = np.flatnonzero(departs)
             starts = at if departs[0] else np.concatenate([[0], at])
             cfs, dfs = (np.add.reduceat(x, starts) for x in counts)
@@ -161,9 +168,8 @@ def term_counts(df: DataFrame, ident: str, text: str, max_n: int = 3) -> DataFra
     Null and empty texts, and an empty table, give no rows; other columns are ignored.
     """
     rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).select("id", "text")
-    words = [f"w{k}" for k in range(max_n)]
-    schema = ", ".join([*(f"{w} string" for w in words), "cf bigint", *(f"d{k} bigint" for k in range(max_n))])
-    routed = rows.mapInArrow(_suffix_runner(max_n), schema).repartition(*words[:2]).sortWithinPartitions(*(F.col(w).desc_nulls_last() for w in words))
+    suffixes = rows.mapInArrow(_suffix_runner(max_n), "suffix string, counts binary")
+    routed = suffixes.repartition(F.substring_index("suffix", " ", 2)).sortWithinPartitions(F.col("suffix").desc())  # no character of a word comes before the blank
     return routed.mapInArrow(_stack_runner(max_n), "term string, n int, cf bigint, df bigint")
 
 

@@ -3,6 +3,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -52,8 +53,7 @@ def test_prefix_stack_of_many_batches():
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(40)]
     for max_n in (1, 2, 4):
         parts = [terms.block_suffixes(words_of(texts[i : i + 7]), max_n) for i in range(0, 40, 7)]
-        keys = [f"w{k}" for k in range(max_n)]
-        rows = terms._summed(parts).sort_by([(k, "descending") for k in keys]).combine_chunks()
+        rows = pa.Table.from_batches(terms._packed(terms._summed(parts).sort_by([("suffix", "descending")]))).combine_chunks()
         cf, rec = Counter(), defaultdict(set)
         for i, t in enumerate(texts):
             w = t.split()
