@@ -94,4 +94,4 @@ def host_key(url: Column) -> Column:
 
 def twin_key(key: Column) -> Column:
     """The same host under the other of http and https."""
-    return F.when(key.startswith("https://"), F.concat(F.lit("http://"), F.substring(key, 9, 100000))).otherwise(F.concat(F.lit("https://"), F.substring(key, 8, 100000)))
+    return F.when(key.startswith("https://"), F.concat(F.lit("http://"), F.substr(key, F.lit(9)))).otherwise(F.concat(F.lit("https://"), F.substr(key, F.lit(8))))

@@ -23,6 +23,12 @@ def judged(qrels: DataFrame, compat: bool = False) -> DataFrame:
     return qrels.groupBy("query_no", "docno").agg(best.cast("int").alias("rel"))
 
 
+def judged_total(qrels: DataFrame) -> DataFrame:
+    """One row ``topics, lines, judged, relevant``: topics, judging lines, judged documents (a document of two topics is two) and the relevant ones among them."""
+    one = qrels.groupBy("query_no", "docno").agg(F.count("*").alias("lines"), F.max(F.coalesce("rel", F.lit(0))).alias("rel"))
+    return one.agg(F.count_distinct("query_no").alias("topics"), F.sum("lines").alias("lines"), F.count("*").alias("judged"), F.count_if(F.col("rel") > 0).alias("relevant"))
+
+
 def relevant_counts(qrels: DataFrame, compat: bool = False) -> DataFrame:
     """``query_no, n_rel``: relevant documents per topic; ``compat`` counts every judging line."""
     rows = qrels if compat else judged(qrels)
@@ -102,3 +108,35 @@ def summary(run: DataFrame) -> DataFrame:
         F.count("*").alias("topics"), F.sum("ret").alias("retrieved"), F.sum("n_rel").alias("relevant"), F.sum("found").alias("relevant_retrieved"),
         F.avg("avg_prec").alias("map"), F.avg("r_prec").alias("r_prec"), F.avg("ndcg").alias("ndcg"),
     )
+
+
+def measures(run: DataFrame) -> DataFrame:
+    """``query_no, retrieved, relevant, relevant_retrieved`` and every measure of each topic, by name: mean precision, R-precision, nDCG, the interpolated precisions and those at the cut-offs."""
+    totals = run.groupBy("query_no").agg(F.count("*").alias("retrieved"), F.max("n_rel").alias("relevant"), F.sum("rel").alias("relevant_retrieved"))
+    levels = interpolated_precision(run).groupBy("query_no").agg(*(F.max(F.when(F.col("recall") == r, F.col("precision"))).alias(f"at_{round(100 * r):03d}") for r in RECALLS))
+    cuts = precision_recall_at(run).groupBy("query_no").agg(
+        *(F.max(F.when(F.col("cutoff") == k, F.col(m))).alias(f"{a}_{k}") for a, m in (("p", "precision"), ("r", "recall"), ("f1", "f1")) for k in CUTOFFS)
+    )
+    whole = totals
+    for part in (average_precision(run), r_precision(run), ndcg(run), levels, cuts):
+        whole = whole.join(part, "query_no")
+    return whole
+
+
+def report(run: DataFrame) -> DataFrame:
+    """``query_no, line_no, line``: the evaluation as text, topic by topic and under ``all`` in total, numbers with four decimals, halves to even.
+
+    Counts are summed over topics, measures are means. The total comes from one more aggregation of the topics' rows.
+    """
+    topics = measures(run)
+    counts = ("retrieved", "relevant", "relevant_retrieved")
+    names = [c for c in topics.columns if c != "query_no" and c not in counts]
+    total = topics.agg(*(F.sum(c).alias(c) for c in counts), *(F.avg(c).alias(c) for c in names)).select(F.lit("all").alias("query_no"), *counts, *names)
+    rows = topics.select("query_no", *counts, *names).unionByName(total)
+    lines = [F.concat(F.lit(f"{c} "), F.col(c).cast("string")) for c in counts] + [F.concat(F.lit(f"{c} "), four_decimals(F.col(c))) for c in names]
+    return rows.select("query_no", F.posexplode(F.array(*lines)).alias("line_no", "line"))
+
+
+def four_decimals(value: Column) -> Column:
+    """A number with four decimals, a half rounded to the even digit, without grouping."""
+    return F.replace(F.format_number(value, 4), F.lit(","), F.lit(""))

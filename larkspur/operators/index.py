@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.stem import stem_dictionary
 from larkspur.functions.text import MODELS, tokens
-from larkspur.session import cut, cut_buckets
+from larkspur.session import cut, cut_buckets, files_state
 
 
 def positions(documents: DataFrame, ident: str, text: str, model: str = "no_stopwords", algorithm: str = "porter2") -> DataFrame:
@@ -99,6 +99,25 @@ def as_block(postings_array: Column) -> Column:
     return F.concat_ws("", F.transform(postings_array, lambda p: F.concat(p["doc_id"].cast("string"), F.lit(" "), F.array_join(F.transform(p["positions"], lambda x: x.cast("string")), " "), F.lit(","))))
 
 
+def catalog(lines: DataFrame, order: list[str], line: str) -> DataFrame:
+    """``order, start, size``: where each line begins, and its bytes, in a file that holds the lines in order, each with a line feed.
+
+    Offsets are running totals over range partitions, so no task sees all lines; a reader seeks to ``start`` and reads ``size`` bytes.
+    """
+    from larkspur.operators.web import running_total
+
+    sized = lines.select(*order, F.octet_length(line).cast("bigint").alias("size"))
+    placed = running_total(sized, [F.col(c) for c in order], F.col("size") + 1, "stop")
+    return placed.select(*order, (F.col("stop") - F.col("size") - 1).alias("start"), "size")
+
+
+def block_at(path: str, start: int, size: int) -> str:
+    """One block of an index file by its place in the catalog; only its bytes are read."""
+    with open(path, "rb") as f:
+        f.seek(start)
+        return f.read(size).decode()
+
+
 def from_block(block: Column) -> Column:
     """The postings of such a line: an array of document, frequency and positions."""
     parts = F.filter(F.split(block, ","), lambda x: F.trim(x) != "")
@@ -143,12 +162,12 @@ def build_index(documents: DataFrame, ident: str, docno: str, text: str, model:
     return Index(written, docs, terms, stats["d"], terms.count(), avg or 0.0)
 
 
-_BUILT: dict[tuple[str, str, str], Index] = {}
+_BUILT: dict[tuple, Index] = {}
 
 
 def index_of(documents: DataFrame, key: str, model: str = "no_stopwords") -> Index:
-    """The index of a collection, built once per application and kept in the shared folder."""
-    name = (documents.sparkSession.sparkContext.applicationId, key, model)
+    """The index of a collection, built once per application and kept in the shared folder; anew when the collection's files have changed."""
+    name = (documents.sparkSession.sparkContext.applicationId, key, model, files_state(documents))
     if name not in _BUILT:
         _BUILT[name] = build_index(documents, "doc_id", "docno", "text", model)
     return _BUILT[name]

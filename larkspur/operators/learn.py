@@ -82,6 +82,16 @@ def confusion(predictions: DataFrame, label: str, predicted: str) -> DataFrame:
     )
 
 
+def confusion_by(predictions: DataFrame, label: str, predicted: str, split: str) -> DataFrame:
+    """The same for each split and, under ``total``, for all, from one aggregation: every row counts for its split and for the total."""
+    each = predictions.where(F.col(split).isNotNull() & F.col(label).isNotNull()).select(F.explode(F.array(F.col(split), F.lit("total"))).alias("split"), F.col(label).alias("y"), F.col(predicted).alias("p"))
+    y, p = F.col("y") > 0, F.col("p") > 0
+    return each.groupBy("split").agg(
+        F.count_if(y & p).alias("relevant_right"), F.count_if(y & ~p).alias("relevant_wrong"), F.count_if(~y & ~p).alias("irrelevant_right"),
+        F.count_if(~y & p).alias("irrelevant_wrong"), F.avg(F.when(y == p, 1.0).otherwise(0.0)).alias("accuracy"),
+    )
+
+
 def spam_tree(matrix: DataFrame, features: list[str], depth: int = 5):
     """A decision tree by information gain, fitted on the rows with a label."""
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(matrix.where(F.col("label").isNotNull()))
@@ -95,13 +105,15 @@ def tree_predictions(matrix: DataFrame, model, features: list[str]) -> DataFrame
     return out.withColumn("prediction", F.col("prediction").cast("int")).drop("_x", "rawPrediction", "probability")
 
 
-def linear_weights(rows: DataFrame, tokens: str, label: str, strength: float = 0.01, most_terms: int = 1 << 18):
-    """``term, term_id, weight`` of a logistic regression on term counts, the ``most_terms`` most frequent terms as its features.
+def linear_weights(rows: DataFrame, tokens: str, label: str, strength: float = 0.01, most_terms: int = 1 << 24):
+    """``term, term_id, weight`` of a logistic regression on term counts.
 
-    ``most_terms`` bounds the fitted model, which the driver holds; 2**18 covers collections far beyond a mailbox.
+    ``most_terms`` is a documented bound of the fitted model, which the driver and every task hold: 2**24 weights are 128 MB. A larger vocabulary is refused, not cut.
     """
     known = rows.where(F.col(label).isNotNull() & F.col(tokens).isNotNull()).select(F.col(label).cast("double").alias("label"), F.col(tokens).alias("_t"))
-    counter = CountVectorizer(inputCol="_t", outputCol="_x", vocabSize=most_terms).fit(known)
+    counter = CountVectorizer(inputCol="_t", outputCol="_x", vocabSize=most_terms + 1).fit(known)
+    if len(counter.vocabulary) > most_terms:
+        raise ValueError(f"more than {most_terms} terms: raise most_terms, or leave out rare ones before")
     model = LogisticRegression(featuresCol="_x", labelCol="label", regParam=strength, maxIter=25).fit(counter.transform(known))
     pairs = [(t, i + 1, float(w)) for i, (t, w) in enumerate(zip(counter.vocabulary, model.coefficients.toArray(), strict=True))]
     return rows.sparkSession.createDataFrame(pairs, "term string, term_id int, weight double")

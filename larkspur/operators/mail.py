@@ -100,7 +100,7 @@ def term_ids(tokens: DataFrame) -> DataFrame:
     return placed(tokens.select("term").distinct(), ["term"], "term_id").select("term", F.col("term_id").cast("int").alias("term_id"))
 
 
-def libsvm_lines(matrix: DataFrame, label: str, features: str) -> DataFrame:
-    """``line``: label and ``id:value`` pairs by ascending id."""
+def libsvm_lines(matrix: DataFrame, label: str, features: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    """``line``: label and ``id:value`` pairs by ascending id; the columns ``beside`` stay with it."""
     entries = F.array_sort(F.map_entries(features))
-    return matrix.select(F.concat_ws(" ", F.coalesce(F.col(label), F.lit(0)).cast("string"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), " ")).alias("line"))
+    return matrix.select(*beside, F.concat_ws(" ", F.coalesce(F.col(label), F.lit(0)).cast("string"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), " ")).alias("line"))

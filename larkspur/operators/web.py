@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,25 +17,46 @@ from larkspur.functions.urls import canonical, canonical_url, host_key, twin_key
 from larkspur.session import cut
 
 
-def stripped_text(source: Column) -> Column:
-    """Mark-up removed from whole pages, white space collapsed; '' for null."""
-    bare = F.regexp_replace(F.coalesce(source, F.lit("")), r"<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, r"[ \t\r\n\f]+", " "))
+# Elements whose content is no text of the page.
+_SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_TITLE = re.compile(r"<title\b[^>]*>([^<]*)(?:</title\s*>)?", re.I)
+_TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
+_ANCHOR = re.compile(r"<a\s([^>]*)", re.I)
+_TARGET = re.compile(r"(?:^|[\s\"'])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-def page_title(source: Column) -> Column:
-    """The title element's text, '' without one."""
-    return F.trim(F.regexp_extract(F.coalesce(source, F.lit("")), r"(?i)<title[^>]*>([^<]*)", 1))
+def parse_source(source: str | None) -> tuple[str, str, list[str]]:
+    """Title, text and anchor targets of a page: without scripts, styles and comments, character references resolved, whatever the quotes; '' and none for null.
 
+    Cut and invalid mark-up is read as far as it goes. Targets keep their order and repetitions; empty ones are left out.
+    """
+    bare = _SILENT.sub(" ", source or "")
+    title = _TITLE.search(bare)
+    hrefs = []
+    for a in _ANCHOR.finditer(bare):
+        t = _TARGET.search(a.group(1))
+        target = html_.unescape(next((g for g in t.groups() if g is not None), "")).strip() if t else ""
+        if target:
+            hrefs.append(target)
+    text = " ".join(html_.unescape(_TAG.sub(" ", _TITLE.sub(" ", bare))).split())
+    return " ".join(html_.unescape(title.group(1)).split()) if title else "", text, hrefs
+
+
+def _page_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        titles, texts, hrefs = zip(*map(parse_source, batch.column("source").to_pylist()), strict=True) if len(batch) else ((), (), ())
+        yield pa.record_batch({"page_id": batch.column("page_id"), "title": pa.array(titles, pa.string()), "text": pa.array(texts, pa.string()), "hrefs": pa.array(hrefs, pa.list_(pa.string()))})
 
-def page_hrefs(source: Column) -> Column:
-    """The targets of a page's anchors, in order, as they are written."""
-    return F.filter(F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1)), lambda h: h != "")
+
+def parsed_pages(pages: DataFrame, ident: str, source: str) -> DataFrame:
+    """``page_id, title, text, hrefs`` of every page, each parsed once, in Arrow batches. Other columns are ignored."""
+    rows = pages.select(F.col(ident).cast("bigint").alias("page_id"), F.col(source).alias("source"))
+    return rows.mapInArrow(_page_runner, "page_id bigint, title string, text string, hrefs array<string>")
 
 
 def page_links(pages: DataFrame, ident: str, source: str) -> DataFrame:
-    """``page_id, n, href`` of every anchor, numbered from 0."""
-    return pages.select(F.col(ident).alias("page_id"), F.posexplode(page_hrefs(F.col(source))).alias("n", "href"))
+    """``page_id, n, href`` of every anchor as it is written, numbered from 0."""
+    return parsed_pages(pages, ident, source).select("page_id", F.posexplode("hrefs").alias("n", "href"))
 
 
 def canonical_links(pages: DataFrame, url: str, links: str, drop_query: bool = False, same_host: bool = True) -> DataFrame:
@@ -96,6 +118,17 @@ def robots_table(files: DataFrame, host: str, text: str, agent: str = "*") -> Da
     return rules.unionByName(rules.withColumn("host", twin_key(F.col("host")))).distinct()
 
 
+def fetched_robots(hosts: DataFrame, host: str, fetch: Callable[[str], Page | None]) -> DataFrame:
+    """``host, text``: every host's rules file, fetched in the tasks; one that is missing or can't be had is null, and allows everything."""
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pages = [fetch(f"{h}/robots.txt") for h in b["host"]]
+            yield pd.DataFrame({"host": b["host"], "text": [p.source if p and p.status == 200 else None for p in pages]})
+
+    return hosts.where(F.col(host).isNotNull()).select(F.col(host).alias("host")).distinct().mapInPandas(visit, "host string, text string")
+
+
 def robots_filter(urls: DataFrame, url: str, rules: DataFrame) -> DataFrame:
     """The URLs that may be fetched: the longest rule that fits decides, an allowing one before a forbidding one of equal length; no rule allows."""
     u = urls.select(F.col(url).alias("url")).where(F.col("url").isNotNull()).distinct().withColumn("host", host_key(F.col("url")))
@@ -122,14 +155,19 @@ def placed(rows: DataFrame, order: list, name: str) -> DataFrame:
 
     The list of counts has one entry a partition.
     """
+    return running_total(rows, order, F.lit(1), name)
+
+
+def running_total(rows: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """The sum of ``value`` over all rows up to each, in a total order, in the same way."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "dealt")
     before, total = {}, 0
-    for r in sorted(dealt.groupBy("_p").count().collect()):
+    for r in sorted(dealt.groupBy("_p").agg(F.sum(value).alias("s")).collect()):
         before[r["_p"]] = total
-        total += r["count"]
+        total += r["s"]
     shift = F.create_map(*(x for p, b in before.items() for x in (F.lit(p), F.lit(b)))) if before else None
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    local = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return dealt.withColumn(name, (local + (shift[F.col("_p")] if before else F.lit(0))).cast("bigint")).drop("_p")
 
 
@@ -162,11 +200,9 @@ def parse_page(url: str, page: Page) -> dict | None:
     """Title, text and canonical links on the same host of an HTML page; None for anything else."""
     if page.status != 200 or not page.content_type.lower().startswith("text/html"):
         return None
-    title = re.search(r"<title[^>]*>(.*?)</title>", page.source, re.I | re.S)
-    hrefs = re.findall(r"<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)", page.source, re.I)
-    links = [c for h in hrefs if (c := canonical(html_.unescape(h), url))]
-    bare = re.sub(r"<(script|style)\b.*?</\1>", " ", page.source, flags=re.I | re.S)
-    return {"url": url, "title": html_.unescape(title.group(1).strip()) if title else None, "text": " ".join(html_.unescape(re.sub(r"<[^>]*>", " ", bare)).split()), "source": page.source, "out_links": list(dict.fromkeys(links))}
+    title, text, hrefs = parse_source(page.source)
+    links = [c for h in hrefs if (c := canonical(h, url))]
+    return {"url": url, "title": title or None, "text": text, "source": page.source, "out_links": list(dict.fromkeys(links))}
 
 
 def crawl(seeds: DataFrame, url: str, fetch: Callable[[str], Page | None], rules: DataFrame | None = None, waves: int = 2, delay: float = 0.0) -> DataFrame:

@@ -10,7 +10,8 @@ from larkspur.functions.text import STOP_WORDS, ngrams, raw_tokens, tokens
 from larkspur.functions.urls import host_key
 from larkspur.operators import evaluate as ev
 from larkspur.operators import graph, index, learn, mail, ranking, web
-from larkspur.session import cut, table
+from larkspur.session import cut, scratch_path, table
+from larkspur.sources import files
 from larkspur.sources.files import labelled_files
 
 SCORES = ("okapi_score", "tfidf_score", "bm25_score", "laplace_score", "mercer_score")
@@ -51,7 +52,7 @@ def stem_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def token_ngrams(spark: SparkSession, d: str) -> DataFrame:
     grams = _documents(spark, d).select(F.explode(ngrams(raw_tokens(F.col("text")), 2)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 5")
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def postings_tf_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +91,20 @@ def approx_vocab(spark: SparkSession, d: str) -> DataFrame:
     return index.approximate_vocabulary(_documents(spark, d).select(F.explode(tokens(F.col("text"))).alias("term")))
 
 
+def approx_vocab_within(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the sketch's number of terms is within two in a hundred of the exact one."""
+    terms = _documents(spark, d).select(F.explode(tokens(F.col("text"))).alias("term"))
+    both = index.approximate_vocabulary(terms, 0.01).crossJoin(terms.agg(F.count_distinct("term").alias("exact")))  # two single rows
+    return both.select((F.abs(F.col("v") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within"))
+
+
+def index_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Where each posting block begins in a file of all blocks in term order, and its bytes."""
+    p = index.postings(index.positions(_documents(spark, d), "doc_id", "text"))
+    lines = index.merge_partial_indexes([p]).select("term", "block", index.as_block(F.col("postings")).alias("line"))
+    return index.catalog(lines, ["term", "block"], "line")
+
+
 def term_stats_df_ttf_tlen(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).terms
 
@@ -119,6 +134,15 @@ def _rank(model: str):
 rank_okapi, rank_tfidf, rank_bm25, rank_laplace, rank_jm = (_rank(m) for m in ranking.TERM_MODELS)
 
 
+def rank_bm25_original(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.rank(_index(spark, d, "original"), _terms(spark, d), "bm25").select("query_no", "doc_id", "docno", "rank", "score")
+
+
+def rank_bm25_stems_only(spark: SparkSession, d: str) -> DataFrame:
+    """Over the index that stems and keeps stop words."""
+    return ranking.rank(_index(spark, d, "stemmed"), ranking.query_terms(table(spark, d, "topics"), model="stemmed"), "bm25")
+
+
 def rank_bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
     terms = ranking.query_terms(table(spark, d, "topics"), model="no_stopwords_stemmed")
     return ranking.rank(_index(spark, d, "no_stopwords_stemmed"), terms, "bm25")
@@ -187,6 +211,15 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return s.select("topics", "retrieved", "relevant", "relevant_retrieved", *(F.round(c, 6).alias(c) for c in ("map", "r_prec", "ndcg")))
 
 
+def trec_eval_report(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation of the BM25 scores as text, a topic's lines and the totals'."""
+    return ev.report(cut(_judged(spark, d), "judged"))
+
+
+def judged_total(spark: SparkSession, d: str) -> DataFrame:
+    return ev.judged_total(table(spark, d, "qrels"))
+
+
 def pr_curve(spark: SparkSession, d: str) -> DataFrame:
     return ev.pr_curve(_judged(spark, d)).select("query_no", "i", *(F.round(c, 6).alias(c) for c in ("recall", "prec", "interp_prec")))
 
@@ -203,7 +236,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d, "html_source").select("page_id", web.page_title(F.col("html_source")).alias("title"), web.stripped_text(F.col("html_source")).alias("text"))
+    return web.parsed_pages(_pages(spark, d, "html_source"), "page_id", "html_source").select("page_id", "title", "text")
 
 
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -243,11 +276,8 @@ def pagerank_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    """To convergence, over customers and suppliers linked by what was ordered."""
-    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
-    sold = items.join(orders, items.l_orderkey == orders.o_orderkey).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
-    back = sold.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where(F.pmod(F.xxhash64("src", "dst"), F.lit(2)) == 0)
-    return graph.pagerank(cut(sold.unionByName(back), "edges")).select("node", F.round("score", 9).alias("score"))
+    """To convergence."""
+    return graph.pagerank(cut(_edges(spark, d), "edges")).select("node", F.round("score", 9).alias("score"))
 
 
 def _root(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
@@ -286,12 +316,26 @@ def merge_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     return web.insert_if_absent(table(spark, d, "pages").select("url"), links, "url")
 
 
+ROBOTS = """# for all
+User-agent: *
+Disallow: /sport   # but not all of it
+Allow: /sport/m
+Disallow: /tech
+
+User-agent: other
+Disallow: /
+"""
+
+
 def robots_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Every site forbids /sport and /tech, and of the former allows what begins with /sport/m."""
+    """The links that may be fetched where every host gives the same rules file, but for those whose host ends in ``.test``, which have none."""
     links = table(spark, d, "pages").select(F.explode("out_links").alias("url")).where(F.col("url").isNotNull())
-    rules = F.explode(F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(a).alias("allow")) for p, a in (("/sport", False), ("/tech", False), ("/sport/m", True)))))
-    table_ = links.select(host_key(F.col("url")).alias("host")).distinct().select("host", rules.alias("r")).select("host", "r.*")
-    return web.robots_filter(links, "url", table_)
+    hosts = links.select(host_key(F.col("url")).alias("host"))
+
+    def fetch(url: str) -> web.Page | None:
+        return None if url.endswith(".test/robots.txt") else web.Page(200, "text/plain", ROBOTS)
+
+    return web.robots_filter(links, "url", web.robots_table(web.fetched_robots(hosts, "host", fetch), "host", "text"))
 
 
 def seed_hosts(spark: SparkSession, d: str) -> DataFrame:
@@ -329,6 +373,14 @@ def sparse_matrix(spark: SparkSession, d: str) -> DataFrame:
     return mail.libsvm_lines(m.join(labels, "mail_id", "left"), "label", "features")
 
 
+def sparse_matrix_split(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines dealt to training and test, each with its mail."""
+    m = mail.sparse_matrix(cut(mail.mail_tokens(table(spark, d, "mails"), "mail_id", "body"), "tokens"))
+    split = F.when(F.lower(F.trim("split")) == "train", "train").otherwise("test").alias("split")
+    labels = _mails(spark, d, "label", "split").select("mail_id", split, mail.label_of(F.col("label")).alias("label"))
+    return mail.libsvm_lines(m.join(labels, "mail_id"), "label", "features", ("split", "mail_id"))
+
+
 # -- learning
 
 
@@ -355,6 +407,17 @@ def spam_tree(spark: SparkSession, d: str) -> DataFrame:
     return learn.tree_predictions(m, model, features).select("mail_id", "prediction", "p_spam", "label")
 
 
+def spam_tree_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten mails the tree takes most surely for spam."""
+    return graph.top(spam_tree(spark, d), "p_spam", "mail_id", 10)
+
+
+def accuracy_by_split(spark: SparkSession, d: str) -> DataFrame:
+    m = learn.latest_features(table(spark, d, "data_matrix_with_queryno_docno"), ["queryno", "docno"], SCORES, "scored_at")
+    m = m.withColumn("predicted", (F.col("bm25_score") > 5).cast("int")).withColumn("split", learn.modulo_split(F.col("queryno").cast("bigint")))
+    return learn.confusion_by(m, "label", "predicted", "split").withColumn("accuracy", F.round("accuracy", 6))
+
+
 def top_weights(spark: SparkSession, d: str) -> DataFrame:
     """The thousand terms that speak most for spam, by a linear model of the training mails."""
     label = mail.label_of(F.col("label"), F.lower(F.trim("split"))).alias("label")
@@ -376,3 +439,73 @@ def stop_words(spark: SparkSession, d: str) -> DataFrame:
     """The stop words that occur, with their documents."""
     words = _documents(spark, d).select("doc_id", F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("word")).where(F.col("word").isin(STOP_WORDS))
     return words.groupBy("word").agg(F.count("*").alias("df"))
+
+
+# -- text formats, written to the shared folder and read again
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, f"text-{name}")
+
+
+def collection_text(spark: SparkSession, d: str) -> DataFrame:
+    """The stories as tagged documents."""
+    path = _scratch(spark, "collection")
+    doc = F.concat(F.lit("<DOC>\n<DOCNO> "), F.col("doc_id").cast("string"), F.lit(" </DOCNO>\n<TEXT>\n"), F.coalesce("text", F.lit("")), F.lit("\n</TEXT>\n</DOC>"))
+    _documents(spark, d).select(doc.alias("value")).write.text(path)
+    return files.read_collection(spark, path)
+
+
+def topics_text(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "topics")
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    table(spark, d, "topics").where(text != "").select(F.concat("query_no", F.lit(".   "), text).alias("value")).write.text(path)
+    return files.read_topics(spark, path)
+
+
+def run_text(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "run")
+    files.write_run(index.ranked(_matrix_run(spark, d), ["query_no"], "score", ["docno"], 1000), path)
+    return files.read_run(spark, path)
+
+
+def qrels_text(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "qrels")
+    rows = table(spark, d, "qrels").select("query_no", F.coalesce("assessor", F.lit("0")).alias("assessor"), "docno", F.coalesce("rel", F.lit(0)).alias("rel"))
+    rows.select(F.concat_ws(" ", *rows.columns).alias("value")).write.text(path)
+    return files.read_qrels(spark, path)
+
+
+def adjacency_text(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "links")
+    files.write_adjacency(_edges(spark, d), path)
+    return files.read_adjacency(spark, path)
+
+
+def root_set_text(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "root")
+    _root(spark, d, _edges(spark, d)).select(F.col("node").alias("value")).write.text(path)
+    return files.read_nodes(spark, path)
+
+
+def mail_labels_text(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "labels")
+    table(spark, d, "mail_labels").where(F.col("label").isNotNull() & F.col("path").isNotNull()).select(F.concat_ws(" ", "label", "path").alias("value")).write.text(path)
+    return files.read_mail_labels(spark, path)
+
+
+def arff_text(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "arff")
+    m = learn.latest_features(table(spark, d, "data_matrix_with_queryno_docno"), ["queryno", "docno"], SCORES, "scored_at")
+    files.write_arff(m, path, "documents", {**dict.fromkeys(SCORES, "numeric"), "label": "numeric"})
+    return files.read_arff(spark, path)
+
+
+def libsvm_text(spark: SparkSession, d: str) -> DataFrame:
+    """Label, distinct terms and all terms of each mail, read from the lines."""
+    path = _scratch(spark, "libsvm")
+    toks = mail.mail_tokens(table(spark, d, "mails"), "mail_id", "body")
+    labels = _mails(spark, d, "label").select("mail_id", mail.label_of(F.col("label")).alias("label"))
+    files.write_libsvm(mail.sparse_matrix(cut(toks, "tokens")).join(labels, "mail_id", "left"), path)
+    values = F.map_values("features")
+    return files.read_libsvm(spark, path).select("label", F.size("features").alias("terms"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("total"))

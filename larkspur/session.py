@@ -65,6 +65,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def files_state(df: DataFrame) -> int:
+    """A number that changes when a file that ``df`` reads is added, removed or written again (its name, length and time); folders are listed once each."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = set(df.inputFiles())
+    seen = []
+    for folder in {p.rsplit("/", 1)[0] for p in paths}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        for status in path.getFileSystem(conf).listStatus(path):
+            seen.append((status.getPath().getName(), status.getLen(), status.getModificationTime()))
+    names = {p.rsplit("/", 1)[1] for p in paths}
+    return hash(tuple(sorted(x for x in seen if x[0] in names)))
+
+
 def measured(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
     """``cut``, with aggregates of the rows taken while they are written, so that they cost no job of their own."""
     seen = Observation()
@@ -72,6 +86,14 @@ def measured(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict
     return written, seen.get
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, removed when the application ends."""
+    where = f"{shared_dir(spark)}/larkspur-{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -79,11 +101,8 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     uses it twice runs its source once. The files are removed when the application ends.
     """
     spark = df.sparkSession
-    where = f"{shared_dir(spark)}/larkspur-{label}-{uuid.uuid4().hex}"
+    where = scratch_path(spark, label)
     df.write.parquet(where)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(where)
 
 
@@ -94,11 +113,9 @@ def cut_buckets(df: DataFrame, key: str, order: list[str], label: str) -> DataFr
     """
     spark = df.sparkSession
     name = f"larkspur_{label}_{uuid.uuid4().hex}"
-    where = f"{shared_dir(spark)}/{name}"
+    where = scratch_path(spark, label)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*order).option("path", where).format("parquet").saveAsTable(name)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     bucketed = spark.table(name)
     bucketed.schema  # resolved, so that the catalog need not keep the name
     spark.sql(f"DROP TABLE {name}")

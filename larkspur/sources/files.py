@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.graph import adjacency
@@ -139,11 +139,14 @@ def write_libsvm(matrix: DataFrame, path: str, label: str = "label", features: s
 def read_linear_model(spark: SparkSession, path: str, header: int = 6) -> DataFrame:
     """``term_id, weight`` of a linear model's file: ``header`` lines, then one weight a line, numbered from 1.
 
-    The file is one text whose lines are numbered where it is read.
+    Lines are read in splits, each by its own task; a line's number is its place within its split after the lines of the splits before, of which there is one count each.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("n", "value")).where(F.col("n") >= header)
-    return lines.select((F.col("n") - header + 1).cast("int").alias("term_id"), F.trim("value").try_cast("double").alias("weight"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    splits = lines.groupBy("f", "b").agg(F.count("*").alias("c"))
+    before = splits.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    n = F.row_number().over(Window.partitionBy("f", "b").orderBy("i")) + F.col("before") - header
+    numbered = lines.join(F.broadcast(before), ["f", "b"]).withColumn("n", n).where((F.col("n") >= 1) & (F.trim("value") != ""))
+    return numbered.select(F.col("n").cast("int").alias("term_id"), F.regexp_replace(F.trim("value"), "\r$", "").try_cast("double").alias("weight"))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", by: list[str] | None = None) -> None:

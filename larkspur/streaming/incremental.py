@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larkspur.operators.index import positions, postings
+from larkspur.session import cut
 from larkspur.sources.files import parse_collection
 
 
@@ -39,18 +40,22 @@ def inlink_counts(links: DataFrame, late: str = "1 hour", every: str = "10 minut
     return links.withWatermark(at, late).groupBy(F.window(at, every), "url").agg(F.count("*").alias("n"))
 
 
-def merge_stream(fresh: DataFrame, store: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Appends arriving rows whose key the store lacks, and no key twice."""
+def merge_stream(fresh: DataFrame, store: str, key: str, checkpoint: str, parts: int = 256) -> StreamingQuery:
+    """Appends arriving rows whose key the store lacks, and no key twice.
+
+    The store is kept in ``parts`` folders by a hash of the key; a batch reads the keys of the folders it touches, at most one number a folder reaching the driver.
+    """
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        one = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-        try:
-            known = spark.read.parquet(store).select(key)
-            one = one.join(known, key, "left_anti")
-        except Exception as e:  # the store begins with its first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        one.write.mode("append").parquet(store)
+        one = cut(batch.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("part", part), "batch")
+        path = spark._jvm.org.apache.hadoop.fs.Path(store)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        touched = [r[0] for r in one.select("part").distinct().collect()]
+        if fs.exists(path) and any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/part={p}")) for p in touched):
+            known = spark.read.schema(one.schema).parquet(store).where(F.col("part").isin(touched)).select("part", key)
+            one = one.join(known, ["part", key], "left_anti").select(*one.columns)
+        one.write.mode("append").partitionBy("part").parquet(store)
 
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
