@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.stem import stem_dictionary
 from larkspur.functions.text import MODELS, query_tokens
 from larkspur.operators.index import Index, ranked
-from larkspur.session import cut
+from larkspur.session import cut, measured
 
 # Parameters of the models.
 K1, K2, B = 1.2, 1.5, 0.75
@@ -21,6 +21,9 @@ PROXIMITY_CEILING = 1500
 RUN_LENGTH = 1000
 SCORE_DIGITS = 6
 
+#: A topic with more candidates than this is not ranked whole; a table of up to so many small rows is broadcast.
+WHOLE_TOPIC_ROWS, BROADCAST_ROWS = 2_000_000, 1_000_000
+
 TERM_MODELS = ("okapi", "tfidf", "bm25", "laplace", "jm")
 
 
@@ -90,21 +93,25 @@ def all_scores(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MO
     }
     found = matches(index, terms)
     present = found.groupBy("query_no", "doc_id").agg(F.first("len").alias("len"), *(F.sum(parts[m]).alias(m) for m in models))
-    if "jm" in models:
-        present = cut(present, "present")  # read twice: for the lengths and for the scores
     if not {"laplace", "jm"} & set(models):
         return present.select("query_no", "doc_id", *models)
     known = cut(terms.join(index.terms, "term").select("query_no", "ttf", "tlen"), "asked")
-    lengths = present.select("query_no", "len").distinct() if "jm" in models else None
     counts = known.groupBy("query_no").agg(F.count("*").alias("n_asked"))
-    absent = counts
-    if lengths is not None:
+    if "jm" not in models:
+        whole = present.join(counts, "query_no")
+    else:
         # what absent terms give depends on topic and length alone
-        grid = lengths.join(known, "query_no").groupBy("query_no", "len").agg(F.sum(jm_absent(F.col("len"), F.col("ttf"), F.col("tlen"), compat)).alias("grid"))
-        absent = grid.join(counts, "query_no")
-    whole = {"laplace": F.col("laplace") + F.col("n_asked") * F.log10(1 / (F.col("len") + F.lit(index.v))), "jm": F.col("jm") + F.col("grid")}
-    joined = present.join(absent, ["query_no", "len"] if lengths is not None else ["query_no"])
-    return joined.select("query_no", "doc_id", *(whole[m].alias(m) if m in whole else F.col(m) for m in models))
+        present = cut(present, "present")
+        absent = F.sum(jm_absent(F.col("len"), F.col("ttf"), F.col("tlen"), compat)).alias("grid")
+        grid, seen = measured(present.select("query_no", "len").distinct().join(known, "query_no").groupBy("query_no", "len").agg(absent, F.count("*").alias("n_asked")), "grid", n=F.count("*"))
+        whole = present.join(F.broadcast(grid) if seen["n"] <= BROADCAST_ROWS else grid, ["query_no", "len"])
+    out = {"laplace": F.col("laplace") + F.col("n_asked") * F.log10(1 / (F.col("len") + F.lit(index.v))), "jm": F.col("jm") + F.col("grid")}
+    return whole.select("query_no", "doc_id", *(out[m].alias(m) if m in out else F.col(m) for m in models))
+
+
+def scored(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MODELS) -> DataFrame:
+    """``all_scores``, rounded and written once, for any number of runs and fusions."""
+    return cut(all_scores(index, terms, models).select("query_no", "doc_id", *(F.round(m, SCORE_DIGITS).alias(m) for m in models)), "scores")
 
 
 def run_of(index: Index, scores: DataFrame, score: str, most: int = RUN_LENGTH, digits: int = SCORE_DIGITS) -> DataFrame:
@@ -164,19 +171,24 @@ def proximity(index: Index, terms: DataFrame, most: int = RUN_LENGTH) -> DataFra
     return run_of(index, scored, "score", most)
 
 
-def borda(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MODELS, most: int = RUN_LENGTH, every: bool = True) -> DataFrame:
-    """``query_no, doc_id, points``: each model gives a document 1001 less its rank, nothing beyond rank 1000; all candidates are kept, or with ``every=False`` those with points.
+def borda(scores: DataFrame, models: tuple[str, ...] = TERM_MODELS, most: int = RUN_LENGTH, whole_topic_rows: int = WHOLE_TOPIC_ROWS) -> DataFrame:
+    """``query_no, doc_id, points``: each model gives a document 1001 less its rank, nothing beyond rank 1000; all candidates are kept.
 
-    The models' scores are stacked and ranked in one window, before whose shuffle each task drops what cannot be among a model's best, so a topic that most documents match is not sorted in one task.
+    A topic's candidates are dealt to one task, once for all models. Topics with more than ``whole_topic_rows`` of them, of which there are at most rows / ``whole_topic_rows``,
+    are ranked in a window per topic and model before whose shuffle each task drops what cannot be among a model's best.
     """
-    scores = all_scores(index, terms, models).select("query_no", "doc_id", *(F.round(m, SCORE_DIGITS).alias(m) for m in models))
-    scores = cut(scores, "scores") if every else scores
-    stacked = scores.select("query_no", "doc_id", F.posexplode(F.array(*models)).alias("model", "score"))
-    placed = ranked(stacked, ["query_no", "model"], "score", ["doc_id"], most)
-    given = placed.groupBy("query_no", "doc_id").agg(F.sum(F.lit(most + 1) - F.col("rank")).cast("bigint").alias("points"))
-    if not every:
-        return given
-    return scores.select("query_no", "doc_id").join(given, ["query_no", "doc_id"], "left").select("query_no", "doc_id", F.coalesce("points", F.lit(0)).alias("points"))
+    hot = [r[0] for r in scores.groupBy("query_no").agg(F.count("*").alias("n")).where(F.col("n") > whole_topic_rows).select("query_no").toLocalIterator()]
+    usual = scores.where(~F.col("query_no").isin(hot)) if hot else scores
+    place = [F.row_number().over(Window.partitionBy("query_no").orderBy(F.col(m).desc_nulls_last(), "doc_id")).alias(m) for m in models]
+    points = sum((F.greatest(F.lit(most + 1) - F.col(m), F.lit(0)) for m in models), F.lit(0)).cast("bigint").alias("points")
+    found = usual.select("query_no", "doc_id", *place).select("query_no", "doc_id", points)
+    if not hot:
+        return found
+    many = scores.where(F.col("query_no").isin(hot))
+    stacked = many.select("query_no", "doc_id", F.posexplode(F.array(*models)).alias("model", "score"))
+    best = ranked(stacked, ["query_no", "model"], "score", ["doc_id"], most).select("query_no", "doc_id", (F.lit(most + 1) - F.col("rank")).alias("p"))
+    given = many.select("query_no", "doc_id", F.lit(0).alias("p")).unionByName(best).groupBy("query_no", "doc_id").agg(F.sum("p").cast("bigint").alias("points"))
+    return found.unionByName(given)
 
 
 def search(index: Index, text: str, n: int = RUN_LENGTH, model: str = "bm25", drop_first: int = 0) -> DataFrame:

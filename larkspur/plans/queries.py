@@ -10,7 +10,7 @@ from larkspur.functions.text import STOP_WORDS, ngrams, raw_tokens, tokens
 from larkspur.functions.urls import host_key
 from larkspur.operators import evaluate as ev
 from larkspur.operators import graph, index, learn, mail, ranking, web
-from larkspur.session import cut, scratch_path, table
+from larkspur.session import cut, files_state, scratch_path, table
 from larkspur.sources import files
 from larkspur.sources.files import labelled_files
 
@@ -124,9 +124,20 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
+_SCORED: dict[tuple, DataFrame] = {}
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """All models' scores of all topics, computed once per application and state of the tables."""
+    key = (spark.sparkContext.applicationId, d, files_state(_documents(spark, d)), files_state(table(spark, d, "topics")))
+    if key not in _SCORED:
+        _SCORED[key] = ranking.scored(_index(spark, d), _terms(spark, d))
+    return _SCORED[key]
+
+
 def _rank(model: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return ranking.rank(_index(spark, d), _terms(spark, d), model).select("query_no", "doc_id", "docno", "rank", "score")
+        return ranking.run_of(_index(spark, d), _scores(spark, d), model).select("query_no", "doc_id", "docno", "rank", "score")
 
     return run
 
@@ -157,11 +168,11 @@ def rank_proximity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def borda_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.borda(_index(spark, d), _terms(spark, d))
+    return ranking.borda(_scores(spark, d))
 
 
 def trec_run_text(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.run_lines(ranking.rank(_index(spark, d), _terms(spark, d), "bm25"))
+    return ranking.run_lines(rank_bm25(spark, d))
 
 
 # -- evaluation

@@ -56,3 +56,23 @@ def test_ties_go_by_document(spark, rows):
 def test_summary(spark):
     s = ev.summary(run_of(spark, [1, 0, 1])).first()
     assert (s["topics"], s["retrieved"], s["relevant"], s["relevant_retrieved"]) == (1, 3, 2, 2)
+
+
+def test_report_of_topics_and_total(spark):
+    run = run_of(spark, [1, 0, 1], q="1").unionByName(run_of(spark, [0, 1], n_rel=2, q="2"))
+    lines = {}
+    for r in ev.report(run).orderBy("query_no", "line_no").collect():
+        lines.setdefault(r["query_no"], []).append(r["line"])
+    assert set(lines) == {"1", "2", "all"} and len({len(x) for x in lines.values()}) == 1
+    assert lines["1"][:5] == ["retrieved 3", "relevant 2", "relevant_retrieved 2", "avg_prec 0.8333", "r_prec 0.5000"]
+    assert lines["all"][:4] == ["retrieved 5", "relevant 4", "relevant_retrieved 3", "avg_prec 0.5417"] and "at_050 1.0000" in lines["1"] and "p_5 0.4000" in lines["1"]
+
+
+def test_halves_are_rounded_to_even_digits(spark):
+    df = spark.createDataFrame([(0.03125,), (0.09375,), (1234.5,), (0.0,)], "x double")
+    assert [r[0] for r in df.select(ev.four_decimals(df.x)).collect()] == ["0.0312", "0.0938", "1234.5000", "0.0000"]
+
+
+def test_judged_documents_in_total(spark):
+    q = spark.createDataFrame([("1", "a", "d1", 0), ("1", "b", "d1", 2), ("1", "a", "d2", None), ("2", "a", "d1", 0)], "query_no string, assessor string, docno string, rel int")
+    assert tuple(ev.judged_total(q).first()) == (2, 4, 3, 1) and tuple(ev.judged_total(q.limit(0)).first()) == (0, None, 0, 0)

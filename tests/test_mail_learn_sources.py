@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import learn, mail
@@ -72,6 +73,14 @@ def test_graph_mail_and_model_files(spark, tmp_path, rows):
     assert rows(files.read_mail_labels(spark, str(tmp_path / "labels")), "mail_id", "label") == [(7, "spam"), (8, "ham")]
     (tmp_path / "model").write_text("\n".join(["h"] * 6 + ["0.5", "-1"]) + "\n")
     assert rows(files.read_linear_model(spark, str(tmp_path / "model"))) == [(1, 0.5), (2, -1.0)]
+    (tmp_path / "large").write_text("".join(f"h{i}\n" for i in range(6)) + "".join(f"{i}.5\n" for i in range(1, 5001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")  # several splits
+    try:
+        got = {r["term_id"]: r["weight"] for r in files.read_linear_model(spark, str(tmp_path / "large")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i: i + 0.5 for i in range(1, 5001)}
     m = spark.createDataFrame([(0.5, 1.0), (1.5, None)], "f double, class double")
     files.write_arff(m, str(tmp_path / "arff"), "r", {"f": "real", "class": "real"})
     assert rows(files.read_arff(spark, str(tmp_path / "arff"))) == [(0.5, 1.0), (1.5, None)]
@@ -89,6 +98,8 @@ def test_config(tmp_path):
 def test_confusion_and_splits(spark):
     p = spark.createDataFrame([(1.0, 1), (1.0, 0), (0.0, 0), (0.0, 1), (None, 1)], "y double, p int")
     assert tuple(learn.confusion(p, "y", "p").first()) == (1, 1, 1, 1, 0.5)
+    both = spark.createDataFrame([(1.0, 1, "train"), (1.0, 0, "train"), (0.0, 0, "test"), (None, 1, "test"), (1.0, 1, None)], "y double, p int, part string")
+    assert {r["split"]: tuple(r)[1:] for r in learn.confusion_by(both, "y", "p", "part").collect()} == {"train": (1, 1, 0, 0, 0.5), "test": (0, 0, 1, 0, 1.0), "total": (1, 1, 1, 0, 2 / 3)}
     s = spark.range(1000).select(learn.hash_split(F.col("id")).alias("s")).groupBy("s").count().collect()
     assert 150 < {r["s"]: r["count"] for r in s}["test"] < 250
 
@@ -106,6 +117,8 @@ def test_spam_tree_and_weights(spark):
     model = learn.spam_tree(m, ["free"])
     assert all(r["prediction"] == r["label"] for r in learn.tree_predictions(m, model, ["free"]).collect())
     assert learn.top_terms(learn.linear_weights(m, "t", "label"), 1).first()["term"] == "win"
+    with pytest.raises(ValueError, match="terms"):
+        learn.linear_weights(m, "t", "label", most_terms=2)
 
 
 def test_incremental_index(spark, tmp_path, rows):
@@ -124,6 +137,10 @@ def test_merge_stream_inserts_once(spark, tmp_path, rows):
         fresh = spark.readStream.schema("url string, v int").parquet(str(tmp_path / "fresh"))
         incremental.merge_stream(fresh, str(tmp_path / "store"), "url", str(tmp_path / f"c{n}")).awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "store")), "url") == [("a",), ("b",)]
+    spark.createDataFrame([("b", 3), ("c", 4), (None, 5)], "url string, v int").write.parquet(str(tmp_path / "more"))
+    fresh = spark.readStream.schema("url string, v int").parquet(str(tmp_path / "more"))
+    incremental.merge_stream(fresh, str(tmp_path / "store"), "url", str(tmp_path / "c2")).awaitTermination(120)
+    assert rows(spark.read.parquet(str(tmp_path / "store")), "url", "v") == [("a", 1), ("b", 2), ("c", 4)]
 
 
 def test_inlink_counts_by_window(spark, tmp_path, rows):

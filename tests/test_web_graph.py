@@ -61,10 +61,39 @@ def test_crawl_by_waves(spark):
     assert got["http://h/a"]["text"] == "hi & ho x y".replace(" x y", " back b")
 
 
-def test_page_expressions(spark):
-    df = spark.createDataFrame([('<html><title> A </title><a class=x href="/u">l</a><a href="">m</a> b\n c',), (None,)], "h string")
-    got = df.select(web.page_title(F.col("h")).alias("t"), web.stripped_text(F.col("h")).alias("x"), web.page_hrefs(F.col("h")).alias("l")).collect()
-    assert tuple(got[0]) == ("A", "A l m b c", ["/u"]) and tuple(got[1]) == ("", "", [])
+def test_pages_as_they_are_read(spark):
+    cases = {
+        '<html><title> A </title><a class=x href="/u">l</a><a href="">m</a> b\n c': ("A", "l m b c", ["/u"]),
+        "<head><title>A &amp; B</title><style>p{}</style></head><script>if (a<b) x('</p>')</script><p>1 &lt; 2 &eacute;&#33;<!-- no <a href=z> --><A HREF='x?a=1&amp;b=2'>l</A> <a href = y >m</a>": (
+            "A & B", "1 < 2 é! l m", ["x?a=1&b=2", "y"]
+        ),
+        "a < b <b>c</b> <a data-href='n' name=q>d</a> <a href=\"cut": ("", "a < b c d", []), "<script>open": ("", "", []), "plain": ("", "plain", []), "": ("", "", []), None: ("", "", []),
+    }
+    df = spark.createDataFrame([(i, h, "x") for i, h in enumerate(cases)], "id int, h string, text string")
+    got = {r["page_id"]: (r["title"], r["text"], r["hrefs"]) for r in web.parsed_pages(df, "id", "h").collect()}
+    assert got == dict(enumerate(cases.values()))
+    assert [tuple(r) for r in web.page_links(df.where("id = 1"), "id", "h").collect()] == [(1, 0, "x?a=1&b=2"), (1, 1, "y")]
+    assert web.parsed_pages(df.limit(0), "id", "h").count() == 0
+
+
+def test_robots_files_are_fetched_and_missing_ones_allow(spark, rows):
+    def fetch(url):
+        return {"http://a/robots.txt": web.Page(200, "text/plain", "User-agent: *\nDisallow: /x"), "http://b/robots.txt": web.Page(404, "text/html", "User-agent: *\nDisallow: /")}.get(url)
+
+    files = web.fetched_robots(spark.createDataFrame([("http://a",), ("http://a",), ("http://b",), ("http://c",), (None,)], "h string"), "h", fetch)
+    assert rows(files) == [("http://a", "User-agent: *\nDisallow: /x"), ("http://b", None), ("http://c", None)]
+    urls = spark.createDataFrame([(f"http://{h}{p}",) for h in "abc" for p in ("/x", "/y")], "url string")
+    assert rows(web.robots_filter(urls, "url", web.robots_table(files, "host", "text"))) == [("http://a/y",), ("http://b/x",), ("http://b/y",), ("http://c/x",), ("http://c/y",)]
+
+
+def test_running_totals_over_partitions(spark):
+    df = spark.createDataFrame([(i, (i * 7) % 5) for i in range(200)], "k int, v int").repartition(7)
+    got = {r["k"]: r["t"] for r in web.running_total(df, ["k"], F.col("v"), "t").collect()}
+    total = 0
+    for i in range(200):
+        total += (i * 7) % 5
+        assert got[i] == total
+    assert web.running_total(df.limit(0), ["k"], F.col("v"), "t").count() == 0
 
 
 def edges(spark, pairs):
