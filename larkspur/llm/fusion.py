@@ -121,6 +121,7 @@ def rank_transform(
         F.coalesce(F.col(key).cast("string"), F.lit("\u0000")).alias("k"), F.col(ident).alias("d"),
         *(F.when(F.isnan(c) | F.col(c).isNull(), low).otherwise(F.col(c).cast("double")).alias(a) for c, a in zip(scores, names, strict=True)),
     )
+    rows = cut(rows, "scores")  # read for the sizes of groups and for the ranks
     hot = [r["k"] for r in rows.groupBy("k").count().where(F.col("count") > whole_group_rows).select("k").toLocalIterator()]
     usual = rows.where(~F.col("k").isin(hot)) if hot else rows
     kind = rows.schema["d"].dataType

@@ -81,8 +81,8 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, seed: int, total_tokens: floa
     """Rates that bring each source to its share.
 
     ``targets`` (``source, target_share, max_repeats``) is a table of declared targets, one row a source. Shares of sources without tokens are spread
-    over the others in proportion. ``total_tokens`` defaults to the largest size at which every source with a target still reaches its share under
-    its cap. The rate of a source is the smallest at which the documents' own seeded numbers give the wanted tokens: the tokens
+    over the others in proportion. ``total_tokens`` defaults to the largest size at which every source with a target still reaches its share at a rate, its
+    mean number of uses before the cap, no higher than the cap; so no source is merely repeated whole. The rate of a source is the smallest at which the documents' own seeded numbers give the wanted tokens: the tokens
     above each of ``STEPS`` values of the number are summed in one aggregation, whose result is sources x ``STEPS`` rows whatever the collection's size.
     """
     rows = targets.select(_name(F.col("source")).alias("source"), "target_share", "max_repeats").collect()
@@ -98,22 +98,22 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, seed: int, total_tokens: floa
     usable = {s: share[s] for s in share if available[s] and share[s] > 0 and most[s] > 0}
     whole = sum(usable.values())
     usable = {s: x / whole for s, x in usable.items()}
+
+    def realised(source: str, rate: float) -> float:
+        above = np.concatenate([np.cumsum(sums[source][::-1])[::-1], [0.0]])  # tokens of numbers at or above step i
+        at = np.minimum(np.array(poisson_steps(rate, most[source])) * STEPS, STEPS)
+        return float(np.interp(at, np.arange(STEPS + 1), above).sum())
+
     if total_tokens is None:
-        total_tokens = min((available[s] * most[s] / usable[s] for s in usable), default=0.0)
+        total_tokens = min((realised(s, most[s]) / usable[s] for s in usable), default=0.0)
     plan = Plan({}, most, share, available, {s: usable.get(s, 0.0) * total_tokens for s in share})
     for s in usable:
-        above = np.concatenate([np.cumsum(sums[s][::-1])[::-1], [0.0]])  # tokens of numbers at or above step i
-
-        def realised(rate: float, above=above, s=s) -> float:
-            at = np.minimum(np.array(poisson_steps(rate, most[s])) * STEPS, STEPS)
-            return float(np.interp(at, np.arange(STEPS + 1), above).sum())
-
         low, high = 0.0, 1.0
-        while realised(high) < plan.wanted[s] and high < 700:
+        while realised(s, high) < plan.wanted[s] and high < 700:
             high *= 2
         for _ in range(60):
             middle = (low + high) / 2
-            low, high = (middle, high) if realised(middle) < plan.wanted[s] else (low, middle)
+            low, high = (middle, high) if realised(s, middle) < plan.wanted[s] else (low, middle)
         plan.rate[s] = high
     return plan
 

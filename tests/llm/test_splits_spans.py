@@ -58,6 +58,13 @@ def test_overlaps_against_brute_force(spark, spelt_out):
         assert got == want and len(want) > 20
     else:  # stars of large groups: fewer pairs, each true, every record still linked
         assert got < want and {x for p in got for x in p} == {x for p in want for x in p}
+    # class rows and links say the same, whatever is spelt out
+    members = {r["id"]: r for r in splits.overlap_classes(found).collect()}
+    links = {(r["class_1"], r["class_2"]) for r in splits.overlap_links(found).collect()}
+    again = {(min(i, j), max(i, j)) for i, a in members.items() for j, b in members.items() if a["side"] == "eval" and b["side"] == "train" and (a["class"], b["class"]) in links}
+    assert {p for p in again if all(len(rows[x][0]) >= 20 for x in p)} == want and all(r["class"] == min(i for i, x in members.items() if x["class"] == r["class"]) for r in members.values())
+    assert {i: r["links"] for i, r in members.items()} == {i: sum(i in p for p in again) for i in members}
+    assert all(r["members"] == sum(x["class"] == r["class"] for x in members.values()) for r in members.values())
     report = {(r["split"], r["source"]): r for r in splits.overlap_report(found).collect()}
     assert sum(r["exact"] + r["near"] for r in report.values()) == len({e for p in want for e in p if rows[e][1] != "train"} | {1003})
 
@@ -131,6 +138,10 @@ def test_shared_spans_against_brute_force(spark, compared, spelt_out, block, mon
         assert got == want
     else:
         assert got < want and {x for p in got for x in p} == {x for p in want for x in p}
+    members = {r["id"]: r for r in spans.sharing_classes(found).collect()}
+    assert set(members) == {i for i, h in enumerate(held) if h}
+    assert all(r["links"] == sum(i in p for p in want) and r["members"] == texts.count(texts[i]) and r["class"] == texts.index(texts[i]) for i, r in members.items())
+    assert {tuple(r) for r in spans.sharing_links(found).collect()} == {(members[i]["class"], members[j]["class"]) for i, j in want if texts[i] != texts[j]}
     cover = {r["doc_id"]: r for r in spans.shared_coverage(df, "doc_id", "text", found, length).collect()}
     assert len(cover) == len(texts)
     for i, t in enumerate(texts):
@@ -142,6 +153,16 @@ def test_shared_spans_against_brute_force(spark, compared, spelt_out, block, mon
         assert cover[i]["shared_chars"] == marks.sum() and cover[i]["n_chars"] == len(t or "")
 
 
+def test_different_texts_with_one_print_stay_apart(spark, monkeypatch):
+    real = spans.F.xxhash64
+    monkeypatch.setattr(spans.F, "xxhash64", lambda *c: spans.F.lit(7).cast("bigint") if len(c) == 1 and isinstance(c[0], str) else real(*c))
+    df = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "c")], "id bigint, text string")
+    rows, classes = spans.printed(df)
+    by = {r["id"]: r["print"] for r in rows.collect()}
+    assert by[0] == by[2] and len(set(by.values())) == 3
+    assert sorted((r["first"], r["members"]) for r in classes.collect()) == [(0, 2), (1, 1), (3, 1)]
+
+
 def test_shared_spans_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     found = spans.find_shared_spans(df, "doc_id", "text")

@@ -139,6 +139,7 @@ def test_mix_reaches_shares_within_caps(spark):
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.3, 4), ("missing", 0.2, 3)], "source string, target_share double, max_repeats int")
     got = {r["source"]: r for r in mixing.mix_report(docs, "doc_id", "text", "source", targets).collect()}
     assert abs(got["big"]["actual_share"] - 0.625) < 0.02 and abs(got["small"]["actual_share"] - 0.375) < 0.02
+    assert 2.9 < got["small"]["copies"] / got["small"]["documents"] < 3.5  # the source that bounds the size is not merely repeated four times
     assert got["big"]["most_repeats"] == 1 and got["small"]["most_repeats"] <= 4 and got["missing"]["used_tokens"] == 0 and got["other"]["copies"] == 0
     mixed = mixing.mix(docs, "doc_id", "text", "source", targets).collect()
     uses = Counter(r["doc_id"] for r in mixed)
