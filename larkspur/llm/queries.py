@@ -24,7 +24,7 @@ def _latest_scores(spark: SparkSession, sf_dir: str, columns: list[str]) -> Data
 
 def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused ranking of every judged document of every query."""
-    return _fused(spark, sf_dir).withColumn("projection", F.round("projection", 6))
+    return _fused(spark, sf_dir).withColumn("projection", F.round("projection", 4))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,9 @@ def _component_sql(rounds: int = 12) -> str:
 
 
 SQL["p2_ranking"] = SQL["p2_found"].split(",\nplaced AS")[0] + f"""
-, centred AS MATERIALIZED (SELECT queryno, docno, n, {", ".join(f"(1 + r{i} - (n + 1) / 2e0) / n AS z{i}" for i in range(len(SCORES)))} FROM ranks),
+, centred AS MATERIALIZED (SELECT queryno, docno, n, {", ".join(f"(r{i} - (n + 1) / 2e0) / n AS z{i}" for i in range(len(SCORES)))} FROM ranks),
 {_component_sql()}
-SELECT queryno, docno, n, round({" + ".join(f"z{i} * w{i}" for i in range(len(SCORES)))}, 6) AS projection FROM centred, loading
+SELECT queryno, docno, n, round({" + ".join(f"z{i} * w{i}" for i in range(len(SCORES)))}, 4) AS projection FROM centred, loading
 """
 
 
@@ -225,24 +225,29 @@ def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("class_1").cast("int").alias("class_1"), F.col("class_2").cast("int").alias("class_2"), "exact")
 
 
-# words become characters, so that the edit distance of strings is that of word sequences
+# the edit distance of word sequences, row by row of its table, for pairs that lack few enough of each other's words
+_DISTANCE = """list_reduce(
+      list_transform(range(1, len(a.l) + 1), lambda i: [i]),
+      lambda before, i: list_reduce(
+        list_transform(range(1, len(b.l) + 1), lambda j: [j]),
+        lambda row, j: list_append(row, least(row[-1] + 1, before[j[1] + 1] + 1, before[j[1]] + CASE WHEN a.l[i[1]] = b.l[j[1]] THEN 0 ELSE 1 END)), [i[1]]),
+      range(0, len(b.l) + 1))[-1]"""
 _OVERLAP_SQL = r"""
 WITH one AS (
   SELECT mail_id, side, split, source, array_to_string(l, ' ') AS canon, len(l) AS n, l FROM (
     SELECT mail_id, CASE WHEN lower(trim(min(split))) = 'train' THEN 'train' WHEN lower(trim(min(split))) IN ('dev', 'test') THEN 'eval' END AS side,
            lower(trim(min(split))) AS split, min(source) AS source, regexp_extract_all(lower(min(body)), '[\p{L}\p{N}]+') AS l FROM mails WHERE body IS NOT NULL GROUP BY mail_id)
   WHERE side IS NOT NULL AND len(l) > 0
-), vocabulary AS (SELECT w, row_number() OVER (ORDER BY w) AS r FROM (SELECT DISTINCT unnest(l) AS w FROM one)),
-classes AS (SELECT canon, min(mail_id) AS class_id, any_value(n) AS n, any_value(l) AS l, count(*) FILTER (WHERE side = 'train') AS n_train, count(*) FILTER (WHERE side = 'eval') AS n_eval FROM one GROUP BY canon),
-coded AS (
-  SELECT class_id, string_agg(chr(CAST(CASE WHEN r < 50000 THEN r + 256 ELSE r + 10000 END AS INTEGER)), '' ORDER BY pos) AS s
-  FROM (SELECT class_id, generate_subscripts(l, 1) AS pos, unnest(l) AS w FROM classes WHERE n >= 20) JOIN vocabulary USING (w) GROUP BY class_id
-), long AS MATERIALIZED (SELECT class_id, n, n_train, n_eval, s FROM classes JOIN coded USING (class_id)),
+), classes AS MATERIALIZED (SELECT canon, min(mail_id) AS class_id, any_value(n) AS n, any_value(l) AS l, count(*) FILTER (WHERE side = 'train') AS n_train, count(*) FILTER (WHERE side = 'eval') AS n_eval FROM one GROUP BY canon),
+long AS MATERIALIZED (SELECT class_id, n, n_train, n_eval, l, list_distinct(l) AS u FROM classes WHERE n >= 20),
+alike AS MATERIALIZED (
+  SELECT a.class_id AS x, b.class_id AS y FROM long a JOIN long b ON a.n_eval > 0 AND b.n_train > 0 AND a.class_id <> b.class_id AND abs(a.n - b.n) <= greatest(a.n, b.n) // 5
+    AND len(a.u) - len(list_intersect(a.u, b.u)) <= greatest(a.n, b.n) // 5
+),
 links AS MATERIALIZED (
   SELECT class_id AS class_1, class_id AS class_2, true AS exact FROM classes WHERE n_train > 0 AND n_eval > 0
   UNION ALL
-  SELECT a.class_id, b.class_id, false FROM long a JOIN long b ON a.n_eval > 0 AND b.n_train > 0 AND a.class_id <> b.class_id AND abs(a.n - b.n) <= greatest(a.n, b.n) // 5
-    AND levenshtein(a.s, b.s) <= greatest(a.n, b.n) // 5
+  SELECT x, y, false FROM alike JOIN long a ON a.class_id = x JOIN long b ON b.class_id = y WHERE """ + _DISTANCE + """ <= greatest(a.n, b.n) // 5
 ), members AS (SELECT one.*, class_id, n_train, n_eval FROM one JOIN classes USING (canon))
 """
 SQL["p1_links"] = _OVERLAP_SQL + "SELECT class_1, class_2, exact FROM links"
