@@ -66,14 +66,24 @@ def jm_absent(length: Column, ttf: Column, tlen: Column, compat: bool = False) -
     return F.when(tlen - length > 0, F.log10(F.lit(1 - LAMBDA) * ttf / F.when(tlen - length > 0, tlen - length))).otherwise(none)
 
 
-def matches(index: Index, terms: DataFrame, positions: bool = False) -> DataFrame:
+def matches(index: Index, terms: DataFrame, positions: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Query terms joined with their postings and statistics; terms that no document holds fall out.
 
-    The terms are written first: from a table's size Spark knows whether it may broadcast them, and then no posting moves.
+    The terms are written and counted first. Up to ``broadcast_rows`` they are broadcast, so no posting moves and a common term is no hot key; more are
+    dealt by topic to batches of about that size, each broadcast, and each reads of the postings' buckets what its terms need.
     """
-    known = cut(terms.join(index.terms, "term"), "known")
+    known, seen = measured(terms.join(index.terms, "term"), "known", n=F.count("*"))
     columns = ["term", "doc_id", "tf", "len", *(["positions"] if positions else [])]
-    return known.join(index.postings.select(*columns), "term")
+    postings = index.postings.select(*columns)
+    batches = -(-seen["n"] // broadcast_rows)
+    if batches <= 1:
+        return F.broadcast(known).join(postings, "term")
+    part = F.pmod(F.xxhash64("query_no"), F.lit(batches))
+    whole = None
+    for i in range(batches):
+        found = F.broadcast(known.where(part == i)).join(postings, "term")
+        whole = found if whole is None else whole.unionByName(found)
+    return whole
 
 
 def all_scores(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MODELS, compat: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from larkspur.functions.text import STOP_WORDS, TOPIC_WORDS
 from larkspur.operators.mail import ENCODED_CHARS, FRAME_PREFIXES, SPAM_NGRAMS
-from larkspur.plans.queries import BIGRAM, LOOKED_UP, SCORES
+from larkspur.plans.queries import BIGRAM, LOOKED_UP, SCORES, SOUGHT
 
 
 def _list(values) -> str:
@@ -261,6 +261,12 @@ SELECT url, wave, inlinks, arrive, row_number() OVER (ORDER BY wave, inlinks DES
     "hits": _hits(99, 1e-5),
     "approx_vocab_within": "SELECT true AS within",
     "rank_bm25_original": _rank("bm25", f"WITH {ORIGINAL}{_INDEX}, {_SCORED}"),
+    "free_text_search": _rank("bm25", f"WITH {INDEX}, {_SCORED}".replace("[4:] AS l FROM topics", f" AS l FROM (SELECT 'search' AS query_no, '{SOUGHT}' AS text)")).replace("SELECT query_no, doc_id, docno, CAST(rank", "SELECT doc_id, docno, CAST(rank"),
+    "legacy_query_terms": """WITH l AS (SELECT query_no, list_filter(string_split_regex(trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g')), '\\s+'), lambda x: x <> '') AS l FROM topics)
+SELECT query_no, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, lower(unnest(l)) AS term FROM l""",
+    "term_ids": f"WITH {MAIL_TOKENS} SELECT term, CAST(row_number() OVER (ORDER BY term) AS INTEGER) AS term_id FROM (SELECT DISTINCT term FROM tok)",
+    "scores_text": f"WITH {EDGES} SELECT dst || ' ' || count(*) AS line FROM e GROUP BY dst",
+    "words_text": f"WITH {MAIL_TOKENS} SELECT DISTINCT lower(upper(term)) AS word FROM tok",
     "index_catalog": f"""WITH {NOSTOP}, p AS (SELECT term, doc_id, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS ps FROM tok GROUP BY term, doc_id),
 b AS (SELECT term, doc_id // 65536 AS block, strlen(string_agg(CAST(doc_id AS VARCHAR) || ' ' || ps || ',', '' ORDER BY doc_id)) AS size FROM p GROUP BY term, doc_id // 65536)
 SELECT term, block, CAST(sum(size + 1) OVER (ORDER BY term, block ROWS UNBOUNDED PRECEDING) - size - 1 AS BIGINT) AS start, size FROM b""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.stem import stem_dictionary
-from larkspur.functions.text import STOP_WORDS, ngrams, raw_tokens, tokens
+from larkspur.functions.text import STOP_WORDS, legacy_query_tokens, ngrams, raw_tokens, tokens
 from larkspur.functions.urls import host_key
 from larkspur.operators import evaluate as ev
 from larkspur.operators import graph, index, learn, mail, ranking, web
@@ -171,6 +171,17 @@ def borda_fusion(spark: SparkSession, d: str) -> DataFrame:
     return ranking.borda(_scores(spark, d))
 
 
+SOUGHT = "the old bridge, a patrol and an inspector of schools"
+
+
+def free_text_search(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.search(_index(spark, d), SOUGHT).select("doc_id", "docno", "rank", "score")
+
+
+def legacy_query_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "topics").select("query_no", F.posexplode(legacy_query_tokens(F.col("text"))).alias("pos", "term"))
+
+
 def trec_run_text(spark: SparkSession, d: str) -> DataFrame:
     return ranking.run_lines(rank_bm25(spark, d))
 
@@ -384,6 +395,10 @@ def sparse_matrix(spark: SparkSession, d: str) -> DataFrame:
     return mail.libsvm_lines(m.join(labels, "mail_id", "left"), "label", "features")
 
 
+def term_ids(spark: SparkSession, d: str) -> DataFrame:
+    return mail.term_ids(mail.mail_tokens(table(spark, d, "mails"), "mail_id", "body"))
+
+
 def sparse_matrix_split(spark: SparkSession, d: str) -> DataFrame:
     """The same lines dealt to training and test, each with its mail."""
     m = mail.sparse_matrix(cut(mail.mail_tokens(table(spark, d, "mails"), "mail_id", "body"), "tokens"))
@@ -493,6 +508,20 @@ def adjacency_text(spark: SparkSession, d: str) -> DataFrame:
     return files.read_adjacency(spark, path)
 
 
+def scores_text(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with their in-links, best first, as lines that are read as words."""
+    path = _scratch(spark, "scores")
+    files.write_scores(graph.inlinks(_edges(spark, d)), path, "dst", "n")
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def words_text(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of the mails as a list, one a line."""
+    path = _scratch(spark, "words")
+    mail.mail_tokens(table(spark, d, "mails"), "mail_id", "body").select(F.upper("term").alias("value")).distinct().write.text(path)
+    return files.read_words(spark, path)
+
+
 def root_set_text(spark: SparkSession, d: str) -> DataFrame:
     path = _scratch(spark, "root")
     _root(spark, d, _edges(spark, d)).select(F.col("node").alias("value")).write.text(path)

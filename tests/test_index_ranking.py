@@ -124,6 +124,13 @@ def test_borda_keeps_all_candidates(spark):
         assert sorted(got) == list(range(6)) and sorted(got.values()) == [1, 1, 2, 2, 3, 3]
 
 
+def test_terms_in_batches_match_alike(spark):
+    idx = index.build_index(docs(spark, [(i, f"D{i}", "car boat " * (i % 3) + "ship") for i in range(9)]), "doc_id", "docno", "text")
+    terms = spark.createDataFrame([(f"q{i}", t, 1) for i in range(5) for t in ("car", "ship", "none")], "query_no string, term string, qtf bigint")
+    whole, parts = (sorted(map(str, ranking.matches(idx, terms, False, n).collect())) for n in (1000, 3))
+    assert whole == parts and len(whole) == 5 * (6 + 9)
+
+
 def test_catalog_finds_every_block(spark, tmp_path):
     lines = spark.createDataFrame([("b", 0, "1 2 3,"), ("a", 0, "é 1,"), ("b", 1, "x" * 50)], "term string, block int, line string")
     got = index.catalog(lines, ["term", "block"], "line").collect()
