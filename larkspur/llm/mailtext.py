@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from larkspur.session import cut
 #: Words a passage must share with an earlier mail of the thread to count as inherited.
 INHERITED_WORDS = 15
 #: Words of the runs by which mails with a common passage meet; one is sampled from every passage of INHERITED_WORDS.
-SAMPLED_WORDS = 8
+SAMPLED_WORDS = 6
 #: A line is a mail's own beside an earlier one that holds less than this part of its words, in runs of so many; of a copy, a line of so few words may be replaced.
 HELD_SHARE, HELD_WORDS, REPLACED_WORDS = 0.25, 3, 4
 #: In so many texts that are no copies of each other a lonely marked line recurs that is no quotation, and in so large a part of those that hold it.
@@ -54,6 +55,7 @@ NOTICE = re.compile(
     r"confidentiality notice|confidential and\b.{0,200}\bmeant|this message and its attachments|not the intended recipient|views expressed (?:above|in this)|nachricht ist vertraulich|"
     r"\bce message est confidentiel|este mensaje es confidencial", re.I,
 )
+NOTICE_WORDS = ("unsubscribe", "remove me", "removed from", "mailing list", "groups links", "posting guide", "receive this", "receiving this", "confidential", "confidentiel", "attachments", "intended recipient", "views expressed", "vertraulich", "este mensaje")
 CONTACT = re.compile(r"^\s*(?:tel\.?|phone|fax|mobile?)\b.*\d|^\s*(?:https?://|www\.)\S+\s*$|^\s*\S{1,100}@\S{1,100}\.\S{1,100}\s*$|^\s*(?:office|dept\.?|department) of \S+(?: \S+)?\s*$", re.I)
 NAME = re.compile(r"^\s*[^\W\d_]+(?:[ -][^\W\d_]+){0,2}\s*$")
 
@@ -172,9 +174,14 @@ def quoted_lines(lines: list[str]) -> tuple[list[bool], int, list[int]]:
     return quoted, forwarded, lonely
 
 
+def is_notice(line: str) -> bool:
+    low = line.lower()
+    return any(w in low for w in NOTICE_WORDS) and NOTICE.search(line) is not None
+
+
 def _signs(line: str) -> bool:
     """Whether a line is a name, a contact, a rule, a device's or a notice."""
-    return any(p.match(line) for p in (NAME, CONTACT, DEVICE, RULE)) or NOTICE.search(line) is not None
+    return any(p.match(line) for p in (NAME, CONTACT, DEVICE, RULE)) or is_notice(line)
 
 
 def ending_from(lines: list[str], quoted: list[bool], stop: int) -> int:
@@ -183,7 +190,7 @@ def ending_from(lines: list[str], quoted: list[bool], stop: int) -> int:
     for place, i in enumerate(text):
         line = lines[i]
         rest = text[place + 1 :]
-        if DEVICE.match(line) or place and NOTICE.search(line):
+        if DEVICE.match(line) or place and is_notice(line):
             return i
         if CLOSING.match(line) and (place or rest) and (not rest or any(p.match(lines[rest[0]]) for p in (NAME, RULE, DEVICE, CONTACT))):
             return i
@@ -349,12 +356,10 @@ def words_of(lines: list[str], among: Iterable[int]) -> tuple[list[str], list[in
 def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of several texts, and the number of its text."""
     known: dict[str, int] = {}
-    for t in texts:
-        for w in t:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
+    for w in set().union(*texts):
+        known[w] = xxhash.xxh64_intdigest(w)
     size = [len(t) for t in texts]
-    return np.fromiter((known[w] for t in texts for w in t), np.uint64, sum(size)), np.repeat(np.arange(len(texts)), size)
+    return np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.uint64, sum(size)), np.repeat(np.arange(len(texts)), size)
 
 
 def run_hashes(one: np.ndarray, size: int) -> np.ndarray:
@@ -395,13 +400,14 @@ def copy_prints_of_prefixes(words: list[str], sizes: list[int]) -> list[list[int
     """COPY_ORDERS prints of the first words of a text, for several numbers of words; edited copies share some prints, other texts seldom share one."""
     one, _ = word_hashes([words])
     run = run_hashes(one, 3)
-    least = [np.minimum.accumulate(mixed(run ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))) for k in range(COPY_ORDERS)] if len(run) else []
+    orders = np.array([[k * 0x9E3779B97F4A7C15 % 2**64] for k in range(COPY_ORDERS)], dtype=np.uint64)
+    least = np.minimum.accumulate(mixed(run ^ orders) >> np.uint64(1), axis=1) if len(run) else None
     out = []
     for n in sizes:
         if n < COPIED_WORDS:
             out.append([xxhash.xxh64_intdigest(" ".join(words[:n])) >> 1] * COPY_ORDERS)
         else:
-            out.append([int(x[n - 3]) >> 1 for x in least])
+            out.append(least[:, n - 3].tolist())
     return out
 
 

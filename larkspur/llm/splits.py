@@ -16,6 +16,8 @@ from larkspur.session import cut
 
 #: One word in so many of the longer record may differ.
 WORDS_PER_EDIT = 5
+#: Parity bits of a record's words, in 64-bit numbers; with fewer, those of long records say nothing.
+PARITY_NUMBERS = 8
 #: Counters of word pairs by hash; fixed, so that the table of them has at most so many rows whatever the collection's size.
 BUCKETS = 1 << 20
 #: Two groups of equal records are spelt out as pairs up to so many; beyond, each record is paired with the other group's first, and class rows and links say the rest.
@@ -59,16 +61,16 @@ def shared_pairs_needed(n: int) -> int:
 def _word_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Record and hash of every adjacent word pair, its repetitions told apart; each record's words and its parity bits.
 
-    Every word flips one of 256 bits by its hash. An insertion or deletion flips one bit, a replacement at most two, so
+    Every word flips one of 512 bits by its hash. An insertion or deletion flips one bit, a replacement at most two, so
     records ``k`` edits apart differ in at most ``2k`` bits.
     """
     words = words_of(texts)
     own = string_hashes(words.vocabulary)[words.code] if len(words.vocabulary) else np.zeros(0, dtype=np.uint64)
     n = np.bincount(words.record, minlength=len(texts))
-    bit = (mixed(own) & np.uint64(255)).astype(np.int64)
-    parity = np.zeros((len(texts), 256), dtype=np.uint8)
-    np.add.at(parity, (words.record, bit), 1)
-    flags = np.packbits(parity & 1, axis=1).view(np.int64)
+    bits = 64 * PARITY_NUMBERS
+    bit = (mixed(own) % np.uint64(bits)).astype(np.int64)
+    parity = np.bincount(words.record * bits + bit, minlength=len(texts) * bits).reshape(len(texts), bits)
+    flags = np.packbits((parity & 1).astype(np.uint8), axis=1).view(np.int64)
     same = words.record[1:] == words.record[:-1]
     record, pair = words.record[1:][same], paired(own[:-1], own[1:])[same]
     order = np.lexsort((pair, record))
@@ -102,7 +104,7 @@ def _rarest_runner(counts):
             record, pair = record[keep], pair[keep]
             yield pa.record_batch({
                 "pair": pa.array(signed(pair), pa.int64()), "c": pa.array(ids, pa.int64()).take(pa.array(record)), "n": pa.array(n[record], pa.int32()),
-                **{f"b{i}": pa.array(np.ascontiguousarray(flags[record, i])) for i in range(4)},
+                **{f"b{i}": pa.array(np.ascontiguousarray(flags[record, i])) for i in range(PARITY_NUMBERS)},
             })
 
     return run
@@ -178,11 +180,11 @@ def find_overlaps(df: DataFrame, ident: str, text: str, split: str, source: str,
     for b in texts.mapInArrow(_bucket_runner, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():
         counts[b.column("bucket").to_numpy()] = b.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(counts)  # BUCKETS numbers, 8 MB
-    schema = "pair bigint, c bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    schema = "pair bigint, c bigint, n int, " + ", ".join(f"b{i} bigint" for i in range(PARITY_NUMBERS))
     a = long.where("n_eval > 0").select("id", "text").mapInArrow(_rarest_runner(shared), schema).alias("a")
     b = long.where("n_train > 0").select("id", "text").mapInArrow(_rarest_runner(shared), schema).alias("b")
     edits = F.floor(F.greatest("a.n", "b.n") / WORDS_PER_EDIT)
-    apart = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
+    apart = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(1, PARITY_NUMBERS)), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
     near = a.join(b, (F.col("a.pair") == F.col("b.pair")) & (F.col("a.c") != F.col("b.c")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (apart <= 2 * edits))
     candidates = near.select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct()
     wa, wb = classes.select(F.col("c").alias("ca"), F.col("canon").alias("wa")), classes.select(F.col("c").alias("cb"), F.col("canon").alias("wb"))
