@@ -203,6 +203,14 @@ both_ AS (SELECT * FROM rows_ UNION ALL SELECT 'all', line_no, name, CASE WHEN l
 SELECT query_no, CAST(line_no AS INTEGER) AS line_no, name || ' ' || CASE WHEN line_no < 3 THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE printf('%.4f', v) END AS line FROM both_"""
 
 
+def _canonical(x: str) -> str:
+    """An absolute URL in canonical form, as far as the pages' links need it: protocol and host in lower case, default port and fragment dropped, an empty path the root."""
+    host = f"lower(regexp_extract({x}, '^[A-Za-z]+://([^/?#:]+)', 1))"
+    port = f"regexp_replace(regexp_extract({x}, '^[A-Za-z]+://[^/?#:]+(:[0-9]+)?', 1), '^:80$', '')"
+    path = f"regexp_extract({x}, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)"
+    return f"lower(regexp_extract({x}, '^[A-Za-z]+')) || '://' || {host} || {port} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || regexp_extract({x}, '^[^?#]*([?][^#]+)?', 1)"
+
+
 SQL: dict[str, str] = {
     "tokenize_original": f"WITH {ORIGINAL} SELECT doc_id, pos, term FROM tok",
     "tokenize_nostop": f"WITH {NOSTOP} SELECT doc_id, pos, term FROM tok",
@@ -257,6 +265,8 @@ SELECT page_id, {_resolved('title')} AS title, {_resolved('t')} AS text FROM tex
     "frontier_order": f"""WITH {FOUND}, per AS (SELECT url, min(wave) AS wave, count(DISTINCT src) AS inlinks, min(arrive) AS arrive FROM found WHERE url IS NOT NULL AND url <> '' GROUP BY url)
 SELECT url, wave, inlinks, arrive, row_number() OVER (ORDER BY wave, inlinks DESC, arrive, url) AS place FROM per""",
     "merge_insert_if_absent": "SELECT DISTINCT l AS url FROM (SELECT unnest(out_links) AS l FROM pages) WHERE l IS NOT NULL AND l NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)",
+    "canonical_links": f"""WITH raw AS (SELECT DISTINCT trim(url) AS u, trim(unnest(out_links)) AS h FROM pages WHERE url IS NOT NULL)
+SELECT DISTINCT {_canonical('u')} AS src, {_canonical('h')} AS dst FROM raw WHERE h IS NOT NULL AND lower(regexp_extract(u, '^[A-Za-z]+://([^/?#:]+)', 1)) = lower(regexp_extract(h, '^[A-Za-z]+://([^/?#:]+)', 1))""",
     "pagerank": _pagerank(60, 1e-5),
     "hits": _hits(99, 1e-5),
     "approx_vocab_within": "SELECT true AS within",

@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -69,7 +70,7 @@ def files_state(df: DataFrame) -> int:
     """A number that changes when a file that ``df`` reads is added, removed or written again (its name, length and time); folders are listed once each."""
     spark = df.sparkSession
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = set(df.inputFiles())
+    paths = {unquote(p) for p in df.inputFiles()}
     seen = []
     for folder in {p.rsplit("/", 1)[0] for p in paths}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
