@@ -386,14 +386,24 @@ def sampled_runs(texts: list[list[str]], size: int = SAMPLED_WORDS, passage: int
     return run[new], text[new]
 
 
-def passages_around(words: list[str], runs: set[int], size: int = SAMPLED_WORDS, passage: int = INHERITED_WORDS) -> np.ndarray:
-    """Hashes of all passages of ``passage`` words that hold one of the ``runs`` whole."""
-    one, _ = word_hashes([words])
+def passages_around(texts: list[list[str]], runs: list[list[int]], size: int = SAMPLED_WORDS, passage: int = INHERITED_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all passages of ``passage`` words that hold one of their text's ``runs`` whole, and the number of the text of each."""
+    one, text = word_hashes(texts)
     if len(one) < passage:
-        return np.zeros(0, dtype=np.uint64)
-    held = np.isin(run_hashes(one, size), np.fromiter(runs, np.int64, len(runs)).view(np.uint64))
-    some = np.lib.stride_tricks.sliding_window_view(held, passage - size + 1).any(axis=1)
-    return np.unique(run_hashes(one, passage)[some])
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    wanted = np.fromiter(chain.from_iterable(runs), np.int64, sum(map(len, runs))).view(np.uint64)
+    whose = np.repeat(np.arange(len(runs)), [len(r) for r in runs]).astype(np.uint64)
+    run = run_hashes(one, size)
+    held = np.isin(paired(run, text[: len(run)].astype(np.uint64)), paired(wanted, whose))
+    before = np.concatenate([[0], np.cumsum(held)])
+    start = np.flatnonzero(text[: len(one) - passage + 1] == text[passage - 1 :])
+    start = start[before[start + passage - size + 1] > before[start]]
+    found, text = run_hashes(one, passage)[start], text[start]
+    order = np.lexsort((found, text))
+    found, text = found[order], text[order]
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+    return found[new], text[new]
 
 
 def copy_prints_of_prefixes(words: list[str], sizes: list[int]) -> list[list[int]]:
@@ -447,14 +457,12 @@ def _parse_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _passage_runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, prints = [], []
-        for mail, text, runs in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            lines = text.split("\n")
-            found = passages_around(words_of(lines, range(len(lines)))[0], set(runs))
-            prints.append(signed(found))
-            ids.append(np.full(len(found), mail, dtype=np.int64))
-        yield pa.record_batch({"id": pa.array(np.concatenate(ids) if ids else [], pa.int64()), "passage": pa.array(np.concatenate(prints) if prints else [], pa.int64())})
+    for whole in batches:
+        for start in range(0, len(whole), 1000):
+            batch = whole.slice(start, 1000)
+            texts = [_WORD.findall("\n".join(map(unmarked, t.split("\n"))).lower()) for t in batch.column("text").to_pylist()]
+            found, text = passages_around(texts, batch.column("runs").to_pylist())
+            yield pa.record_batch({"id": batch.column("id").take(pa.array(text)), "passage": pa.array(signed(found), pa.int64())})
 
 
 def _triples(words: list[str]) -> set[tuple[str, ...]]:

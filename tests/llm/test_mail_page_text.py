@@ -140,8 +140,9 @@ def test_every_long_passage_has_a_sampled_run():
         alone = mailtext.sampled_runs([texts[1]])[0]
         assert both and set(alone.tolist()) == set(run[text == 3].tolist())  # a text's runs don't depend on its neighbours
         signed = {x - 2**64 if x >= 2**63 else x for x in both}
-        passages = [set(mailtext.passages_around(t, signed).tolist()) for t in texts]
-        assert passages[0] & passages[1]
+        found, whose = mailtext.passages_around([texts[0], [], texts[1]], [list(signed), [], list(signed)])
+        passages = [set(found[whose == k].tolist()) for k in (0, 2)]
+        assert passages[0] & passages[1] and passages[1] == set(mailtext.passages_around([texts[1]], [list(signed)])[0].tolist())
 
 
 def thread(rng, n):
