@@ -110,10 +110,9 @@ def all_scores(index: Index, terms: DataFrame, models: tuple[str, ...] = TERM_MO
     if "jm" not in models:
         whole = present.join(counts, "query_no")
     else:
-        # what absent terms give depends on topic and length alone
-        present = cut(present, "present")
+        # what absent terms give depends on topic and length alone, and those are read from the matches without scores
         absent = F.sum(jm_absent(F.col("len"), F.col("ttf"), F.col("tlen"), compat)).alias("grid")
-        grid, seen = measured(present.select("query_no", "len").distinct().join(known, "query_no").groupBy("query_no", "len").agg(absent, F.count("*").alias("n_asked")), "grid", n=F.count("*"))
+        grid, seen = measured(found.select("query_no", "len").distinct().join(known, "query_no").groupBy("query_no", "len").agg(absent, F.count("*").alias("n_asked")), "grid", n=F.count("*"))
         whole = present.join(F.broadcast(grid) if seen["n"] <= BROADCAST_ROWS else grid, ["query_no", "len"])
     out = {"laplace": F.col("laplace") + F.col("n_asked") * F.log10(1 / (F.col("len") + F.lit(index.v))), "jm": F.col("jm") + F.col("grid")}
     return whole.select("query_no", "doc_id", *(out[m].alias(m) if m in out else F.col(m) for m in models))
