@@ -154,13 +154,10 @@ def _run(model: str, kept: str = "no_stopwords"):
 
 rank_tfidf, rank_laplace, rank_jm = (_rank(m) for m in ("tfidf", "laplace", "jm"))
 rank_bm25, rank_okapi = (_run(m) for m in ("bm25", "okapi"))
+rank_bm25_original = _run("bm25", "original")
 rank_bm25_stems_only = _run("bm25", "stemmed")  # stems, and keeps stop words
 
 
-def rank_bm25_original(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.rank(_index(spark, d, "original"), _terms(spark, d), "bm25").select("query_no", "doc_id", "docno", "rank", "score")
-
-
 def rank_bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
     terms = ranking.query_terms(table(spark, d, "topics"), model="no_stopwords_stemmed")
     return ranking.rank(_index(spark, d, "no_stopwords_stemmed"), terms, "bm25")
