@@ -156,11 +156,7 @@ rank_tfidf, rank_laplace = (_rank(m) for m in ("tfidf", "laplace"))
 rank_bm25, rank_okapi, rank_jm = (_run(m) for m in ("bm25", "okapi", "jm"))
 rank_bm25_original = _run("bm25", "original")
 rank_bm25_stems_only = _run("bm25", "stemmed")  # stems, and keeps stop words
-
-
-def rank_bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    terms = ranking.query_terms(table(spark, d, "topics"), model="no_stopwords_stemmed")
-    return ranking.rank(_index(spark, d, "no_stopwords_stemmed"), terms, "bm25")
+rank_bm25_stemmed = _run("bm25", "no_stopwords_stemmed")
 
 
 def min_window(spark: SparkSession, d: str) -> DataFrame:
