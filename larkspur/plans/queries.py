@@ -152,8 +152,8 @@ def _run(model: str, kept: str = "no_stopwords"):
     return run
 
 
-rank_tfidf, rank_laplace = (_rank(m) for m in ("tfidf", "laplace"))
-rank_bm25, rank_okapi, rank_jm = (_run(m) for m in ("bm25", "okapi", "jm"))
+rank_tfidf = _rank("tfidf")
+rank_bm25, rank_okapi, rank_jm, rank_laplace = (_run(m) for m in ("bm25", "okapi", "jm", "laplace"))
 rank_bm25_original = _run("bm25", "original")
 rank_bm25_stems_only = _run("bm25", "stemmed")  # stems, and keeps stop words
 rank_bm25_stemmed = _run("bm25", "no_stopwords_stemmed")
