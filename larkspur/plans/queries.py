@@ -135,13 +135,6 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return _SCORED[key]
 
 
-def _rank(model: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return ranking.run_of(_index(spark, d), _scores(spark, d), model).select("query_no", "doc_id", "docno", "rank", "score")
-
-    return run
-
-
 def _run(model: str, kept: str = "no_stopwords"):
     """The run of one term model, over documents as streams of chunks."""
 
@@ -152,8 +145,7 @@ def _run(model: str, kept: str = "no_stopwords"):
     return run
 
 
-rank_tfidf = _rank("tfidf")
-rank_bm25, rank_okapi, rank_jm, rank_laplace = (_run(m) for m in ("bm25", "okapi", "jm", "laplace"))
+rank_okapi, rank_tfidf, rank_bm25, rank_laplace, rank_jm = (_run(m) for m in ranking.TERM_MODELS)
 rank_bm25_original = _run("bm25", "original")
 rank_bm25_stems_only = _run("bm25", "stemmed")  # stems, and keeps stop words
 rank_bm25_stemmed = _run("bm25", "no_stopwords_stemmed")
